@@ -108,10 +108,8 @@ def objects_holding(lines: DataFrame, column: str, required: Sequence[str]) -> D
             hold = hold & F.try_variant_get("_v", f"$.{k}", "string").isNotNull()
         hit = level.filter(hold).select(*ids, "json_path", F.to_json("_v").alias("object"))
         found = hit if found is None else found.unionByName(hit)
-        level.createOrReplaceTempView("_json_level")
-        cols = ", ".join(ids + ["json_path"])
-        nested = level.sparkSession.sql(
-            f"SELECT {cols}, e.key AS k, e.value AS v, e.pos AS p FROM _json_level, LATERAL variant_explode(_v) AS e")
+        parts = level.sparkSession.tvf.variant_explode(F.col("_v").outer())
+        nested = level.lateralJoin(parts).withColumnsRenamed({"key": "k", "value": "v", "pos": "p"})
         step = F.when(F.col("k").isNotNull(), F.concat(F.lit("."), F.col("k"))).otherwise(F.format_string("[%d]", F.col("p")))
         level = nested.select(*ids, F.col("v").alias("_v"), F.concat("json_path", step).alias("json_path"))
     return found
