@@ -250,19 +250,19 @@ b AS (SELECT *, max(CASE WHEN better THEN n END) OVER (PARTITION BY config, seed
 c AS (SELECT *, min(CASE WHEN n - bn >= 10 THEN n END) OVER (PARTITION BY config, seed) AS stop_n FROM b),
 d AS (SELECT * FROM c WHERE stop_n IS NULL OR n <= stop_n),
 e AS (SELECT config, seed, max(bn) AS bn, max(epoch) AS last_epoch, count(*) AS epochs_run, bool_or(stop_n IS NOT NULL) AS stopped FROM d GROUP BY ALL)
-SELECT e.config, e.seed, d.epoch AS best_epoch, {r('d.val_acc')} AS best_value, e.last_epoch, e.epochs_run, e.stopped
+SELECT e.config, e.seed, d.epoch AS best_epoch, {r('d.val_acc', 10)} AS best_value, e.last_epoch, e.epochs_run, e.stopped
 FROM e JOIN d ON d.config = e.config AND d.seed = e.seed AND d.n = e.bn
-""")
+""", digits=10)
 def early_stopping(spark, sf):
     return ep.early_stopping(domain.epochs(spark, sf), 10)
 
 
-@query("last_rho", f"WITH {epochs_sql()} SELECT config, seed, {r('arg_max(rho, epoch)')} AS rho_last FROM epochs GROUP BY ALL")
+@query("last_rho", f"WITH {epochs_sql()} SELECT config, seed, {r('arg_max(rho, epoch)', 10)} AS rho_last FROM epochs GROUP BY ALL", digits=10)
 def last_rho(spark, sf):
     return ep.last_value(domain.epochs(spark, sf))
 
 
-@query("rho_curve", f"WITH {epochs_sql()} SELECT config, seed, epoch, {r('rho')} AS rho FROM epochs WHERE epoch % 7 <> 0")
+@query("rho_curve", f"WITH {epochs_sql()} SELECT config, seed, epoch, {r('rho', 10)} AS rho FROM epochs WHERE epoch % 7 <> 0", digits=10)
 def rho_curve(spark, sf):
     """Epochs with a value; every seventh has none here."""
     e = domain.epochs(spark, sf).withColumn("rho", F.when(F.col("epoch") % 7 != 0, F.col("rho")))
@@ -536,9 +536,9 @@ def config_grid_results(spark, sf):
 
 @query("union_of_columns", f"""
 WITH {finals_sql(seed='year')}, {epochs_sql()}
-SELECT config, seed, {r('accuracy')} AS accuracy, NULL::BIGINT AS epoch, NULL::DOUBLE AS val_acc FROM finals
-UNION ALL SELECT config, seed, NULL, epoch, {r('val_acc')} FROM epochs
-""")
+SELECT config, seed, {r('accuracy', 10)} AS accuracy, NULL::BIGINT AS epoch, NULL::DOUBLE AS val_acc FROM finals
+UNION ALL SELECT config, seed, NULL, epoch, {r('val_acc', 10)} FROM epochs
+""", digits=10)
 def union_of_columns(spark, sf):
     """Tables with different columns under the union of all columns, keys first."""
     return tables.union_columns([domain.finals(spark, sf, seed="year").select("config", "seed", "accuracy"), domain.epochs(spark, sf).select("config", "seed", "epoch", "val_acc")])

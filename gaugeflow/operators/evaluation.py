@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -99,29 +101,39 @@ def centroid_scores(df: DataFrame, centres: DataFrame, keys: Sequence[str], labe
                          (-F.sqrt(squared_distance(F.col("_v"), F.col("_c.centroid")))).alias("score"))
 
 
-def silhouette(sample: DataFrame, key: str, label: str, vector: str) -> DataFrame:
+def silhouette(sample: DataFrame, key: str, label: str, vector: str, blocks: int = 8, limit: int = 20_000) -> DataFrame:
     """Mean silhouette (Euclidean) of a bounded sample.
 
-    The sample, of a size the caller chose (at most a few thousand points), is held as one
-    array that every point is measured against; distances are reduced to one mean per class
-    inside the row, so no pair is ever written out.
+    Every block of points is measured against the whole sample in its own task; each task
+    returns one value per point of its block, so no pair leaves a task. The sample is
+    quadratic work by definition: its size is checked.
     """
-    pts = sample.select(key, F.col(label).alias("label"), F.col(vector).alias("v"))
-    every = pts.agg(F.collect_list(F.struct("label", "v")).alias("all"))
-    labels = pts.agg(F.array_sort(F.collect_set("label")).alias("ls"))
-    d = pts.repartition(key).withColumn("_all", every.scalar()).withColumn("_ls", labels.scalar())
-
-    def to_class(l):
-        s = F.aggregate(
-            F.filter("_all", lambda p: p["label"] == l),
-            F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
-            lambda acc, p: F.struct((acc["s"] + F.sqrt(squared_distance(p["v"], F.col("v")))).alias("s"), (acc["n"] + 1).alias("n")))
-        own = l == F.col("label")
-        mean = F.when(own, F.when(s["n"] > 1, s["s"] / (s["n"] - 1))).otherwise(s["s"] / s["n"])
-        return F.struct(own.alias("own"), mean.alias("mean"), s["n"].alias("n"))
-
-    d = d.withColumn("_d", F.transform("_ls", to_class)).withColumn("_d", F.col("_d"))
-    a = F.element_at(F.filter("_d", lambda s: s["own"]), 1)["mean"]
-    b = F.array_min(F.transform(F.filter("_d", lambda s: ~s["own"]), lambda s: s["mean"]))
-    s = F.when(a.isNull(), 0.0).otherwise((b - a) / F.greatest(a, b))
-    return d.agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n"))
+    size = sample.count()
+    if size > limit:
+        raise ValueError(f"{size} points; draw a sample of at most {limit} first")
+    pts = sample.select(F.col(label).cast("string").alias("label"), F.col(vector).alias("v"),
+                        F.pmod(F.xxhash64(key), F.lit(blocks)).alias("own"))
+    spread = pts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def measure(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["v"].to_numpy()).astype(float)
+        codes, names = pd.factorize(pdf["label"])
+        member = np.eye(len(names))[codes]
+        sizes = member.sum(axis=0)
+        mine = np.flatnonzero(pdf["own"].to_numpy() == key[0])
+        out = []
+        for part in np.array_split(mine, max(1, len(mine) // 32)):
+            dist = np.sqrt(((x[part, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+            sums, own = dist @ member, codes[part]
+            rows = np.arange(len(part))
+            alone = sizes[own] <= 1
+            a = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
+            others = sums / sizes
+            others[rows, own] = np.inf
+            b = others.min(axis=1, initial=np.inf)
+            top = np.maximum(a, b)
+            out.append(np.where(alone | ~np.isfinite(b) | (top == 0), 0.0, (b - a) / np.where(top == 0, 1.0, top)))
+        return pd.DataFrame({"s": np.concatenate(out) if out else np.zeros(0)})
+
+    scores = spread.groupBy("block").applyInPandas(measure, "s double")
+    return scores.agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("n"))
