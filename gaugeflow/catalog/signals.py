@@ -37,7 +37,7 @@ SELECT window_id, channel, t, {r(f"v + sqrt(-2 * ln(1 - {u('h', 1)})) * cos(6.28
 
 def _fault(name):
     def run(spark, sf):
-        return _points(degrade.degrade(domain.windows(spark, sf), name, ROW, RUN_SEED, domain.CHANNELS))
+        return _points(degrade.degrade(domain.windows(spark, sf), name, ROW, RUN_SEED, domain.CHANNEL_NAMES))
 
     run.__doc__ = f"Windows with the fault {name}."
     return run
@@ -83,7 +83,7 @@ SELECT window_id, channel, row_number() OVER (PARTITION BY window_id ORDER BY {_
 """)
 def random_channel_subset(spark, sf):
     w = domain.windows(spark, sf).select("window_id", "channel")
-    return degrade.random_subset(w, ROW, "channel", degrade.subset_size(4, 0.6), 5)
+    return degrade.random_subset(w, ROW, "channel", domain.CHANNEL_NAMES, degrade.subset_size(4, 0.6), 5)
 
 
 _ALL_FAULTS = f"""{ELEMENTS}, {STATS},
@@ -111,7 +111,7 @@ WITH {_ALL_FAULTS} SELECT degradation, class, channel, count(*) AS samples, {r('
 """)
 def all_faults(spark, sf):
     """All seven faults by name, with the clean windows, in one table."""
-    d = degrade.all_degradations(domain.windows(spark, sf), ROW, RUN_SEED, channels=domain.CHANNELS)
+    d = degrade.all_degradations(domain.windows(spark, sf), ROW, RUN_SEED, channels=domain.CHANNEL_NAMES)
     e = d.select("degradation", "class", "channel", F.explode("series").alias("x"))
     return e.groupBy("degradation", "class", "channel").agg(
         F.count(F.lit(1)).alias("samples"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
@@ -130,7 +130,7 @@ SELECT degradation, count(*) AS n, {r('avg(CASE WHEN truth = guess THEN 1.0::DOU
 def fault_accuracy(spark, sf):
     """A nearest-centroid scorer fitted on clean windows, on clean and degraded ones, in one pass."""
     w = domain.windows(spark, sf)
-    d = degrade.all_degradations(w, ROW, RUN_SEED, channels=domain.CHANNELS)
+    d = degrade.all_degradations(w, ROW, RUN_SEED, channels=domain.CHANNEL_NAMES)
     whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("channel", "series"))), lambda s: s["series"]))
     vec = d.groupBy("degradation", "window_id", "class").agg(whole.alias("vector"))
     clean = w.groupBy("window_id", "class").agg(whole.alias("vector"))

@@ -79,21 +79,19 @@ def interpolate(df: DataFrame, group: Sequence[str] = ("run_id", "channel"), pos
     return d.withColumn(value, filled).drop("prev", "next")
 
 
-def shared_channels(df: DataFrame) -> DataFrame:
-    """Only the channels that every run has."""
-    present = df.select("run_id", "channel").distinct()
-    runs = present.agg(F.count_distinct("run_id").alias("runs"))
-    per_channel = present.groupBy("channel").agg(F.count(F.lit(1)).alias("in_runs"))
-    common = per_channel.filter(F.col("in_runs") == runs.scalar()).select("channel")
-    return df.join(common, "channel", "left_semi")
+def channel_coverage(df: DataFrame) -> DataFrame:
+    """Per channel: in how many runs it occurs, and whether every run has it.
+
+    The rollup counts the runs of each channel and of all channels in one pass.
+    """
+    counts = df.rollup("channel").agg(F.count_distinct("run_id").alias("in_runs"), F.grouping("channel").alias("_all"))
+    runs = F.max(F.when(F.col("_all") == 1, F.col("in_runs"))).over(Window.partitionBy())  # one row per channel
+    return counts.withColumn("kept", F.col("in_runs") == runs).filter("_all = 0").drop("_all")
 
 
-def channel_coverage(df: DataFrame) -> DataFrame:
-    """Per channel: in how many runs it occurs, and whether it is kept."""
-    present = df.select("run_id", "channel").distinct()
-    runs = present.agg(F.count_distinct("run_id").alias("runs"))
-    per_channel = present.groupBy("channel").agg(F.count(F.lit(1)).alias("in_runs"))
-    return per_channel.withColumn("kept", F.col("in_runs") == runs.scalar())
+def shared_channels(df: DataFrame) -> DataFrame:
+    """Only the channels that every run has."""
+    return df.join(channel_coverage(df).filter("kept").select("channel"), "channel", "left_semi")
 
 
 def run_checks(runs: DataFrame, window: int) -> DataFrame:

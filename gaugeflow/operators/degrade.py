@@ -1,14 +1,15 @@
 """Seven sensor faults on a window table.
 
-Windows are rows (window keys, channel, series). Every fault returns the same rows with
-another ``series``; the input frame is never changed. Values stay on the JVM side.
+Windows are rows (window keys, channel, series). Every fault is a column expression on
+such a row, so faults need no shuffle: the only aggregate is the short table of channel
+moments that some of them are scaled by. Rows and the input frame stay as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeflow.functions.hashing import fast_uniform, key_hash, normal_from, uniform, uniform_from
 from gaugeflow.functions.scalars import array_sum, array_sum_sq
@@ -39,22 +40,34 @@ def subset_size(total: int, frac: float) -> int:
     return max(1, int(round(frac * total)))
 
 
-def random_subset(df: DataFrame, row: Sequence[str], item: str, k: int, seed: int, flag: str = "picked") -> DataFrame:
-    """Marks exactly ``k`` items of every row group, by the order of their hashes.
+def channel_names(windows: DataFrame) -> list[str]:
+    """The sensors of a window table: a short list, like a schema."""
+    return sorted(r[0] for r in windows.select("channel").distinct().collect())
 
-    The group is one window's channels, so it is as small as the sensor count.
+
+def picked_items(row: Sequence[str], items: Sequence[str], k: int, seed: int) -> Column:
+    """Exactly ``k`` of the items for every row key, by the order of their hashes.
+
+    Each row draws the whole short list itself instead of meeting its window's other rows.
     """
-    at = F.row_number().over(Window.partitionBy(*row).orderBy(key_hash(*row, item, seed), item))
-    return df.withColumn(flag, at <= k)
+    drawn = F.transform(F.array(*[F.lit(i) for i in items]),
+                        lambda i: F.struct(key_hash(*row, i, seed).alias("h"), i.alias("i")))
+    return F.transform(F.slice(F.array_sort(drawn), 1, k), lambda s: s["i"])
+
 
+def random_subset(df: DataFrame, row: Sequence[str], item: str, items: Sequence[str], k: int, seed: int,
+                  flag: str = "picked") -> DataFrame:
+    """Marks exactly ``k`` items of every row group."""
+    return df.withColumn(flag, F.array_contains(picked_items(row, items, k, seed), F.col(item)))
 
-def gaussian_noise(windows: DataFrame, row: Sequence[str], seed: int, snr_db: float, exact_hash: bool = True) -> DataFrame:
+
+def noise_series(row: Sequence[str], seed: int, snr_db: float, exact_hash: bool = True) -> Column:
     """White noise whose power lies ``snr_db`` below the channel's.
 
     ``exact_hash`` draws from md5 (the same in any SQL engine); otherwise from xxhash64,
     which is far cheaper per element.
     """
-    sigma = F.sqrt(F.col("power") / (10.0 ** (snr_db / 10.0)))
+    sigma = F.sqrt(F.col("_power") / (10.0 ** (snr_db / 10.0)))
 
     def noisy(v, i):
         if exact_hash:
@@ -62,60 +75,44 @@ def gaussian_noise(windows: DataFrame, row: Sequence[str], seed: int, snr_db: fl
             z = normal_from(uniform_from(digest, 1), uniform_from(digest, 9))
         else:
             z = normal_from(fast_uniform(*row, "channel", i, seed), fast_uniform(*row, "channel", i, seed + 1))
-        return v + z * F.col("_sigma")
+        return v + z * sigma
 
-    joined = windows.join(channel_moments(windows).select("channel", sigma.alias("_sigma")), "channel")
-    return joined.withColumn("series", F.transform("series", noisy)).select(*windows.columns)
+    return F.transform("series", noisy)
 
 
-def drift(windows: DataFrame, row: Sequence[str], seed: int, magnitude: float = 0.5) -> DataFrame:
+def drift_series(seed: int, magnitude: float = 0.5) -> Column:
     """A straight ramp up to ``magnitude`` channel deviations, up or down per channel."""
     sign = F.when(uniform("channel", seed) < 0.5, -1.0).otherwise(1.0)
-    stats = channel_moments(windows).select("channel", (sign * F.col("std") * magnitude).alias("_top"))
-    last = F.greatest(F.size("series") - 1, F.lit(1))
-    ramp = F.transform("series", lambda v, i: v + F.col("_top") * i / last)
-    return windows.join(stats, "channel").withColumn("series", ramp).select(*windows.columns)
-
+    top, last = sign * F.col("_std") * magnitude, F.greatest(F.size("series") - 1, F.lit(1))
+    return F.transform("series", lambda v, i: v + top * i / last)
 
-def _channels(windows: DataFrame) -> int:
-    return windows.select("channel").distinct().count()
 
-
-def bias(windows: DataFrame, row: Sequence[str], seed: int, frac: float = 0.1, magnitude: float = 0.5,
-         channels: int | None = None) -> DataFrame:
+def bias_series(row: Sequence[str], seed: int, channels: Sequence[str], frac: float = 0.1, magnitude: float = 0.5) -> Column:
     """A constant offset on a random tenth of the channels of each window."""
-    k = subset_size(channels or _channels(windows), frac)
-    stats = channel_moments(windows).select("channel", (F.col("std") * magnitude).alias("_off"))
-    marked = random_subset(windows, row, "channel", k, seed).join(stats, "channel")
-    moved = F.when(F.col("picked"), F.transform("series", lambda v: v + F.col("_off"))).otherwise(F.col("series"))
-    return marked.withColumn("series", moved).select(*windows.columns)
+    hit = F.array_contains(picked_items(row, channels, subset_size(len(channels), frac), seed), F.col("channel"))
+    return F.when(hit, F.transform("series", lambda v: v + F.col("_std") * magnitude)).otherwise(F.col("series"))
 
 
-def stuck(windows: DataFrame, row: Sequence[str], seed: int, frac: float = 0.05,
-          channels: int | None = None) -> DataFrame:
+def stuck_series(row: Sequence[str], seed: int, channels: Sequence[str], frac: float = 0.05) -> Column:
     """Some channels of each window keep their first value."""
-    k = subset_size(channels or _channels(windows), frac)
-    frozen = F.array_repeat(F.element_at("series", 1), F.size("series"))
-    marked = random_subset(windows, row, "channel", k, seed)
-    return marked.withColumn("series", F.when(F.col("picked"), frozen).otherwise(F.col("series"))).select(*windows.columns)
+    hit = F.array_contains(picked_items(row, channels, subset_size(len(channels), frac), seed), F.col("channel"))
+    return F.when(hit, F.array_repeat(F.element_at("series", 1), F.size("series"))).otherwise(F.col("series"))
 
 
 def dropped_positions(row: Sequence[str], seed: int, length: Column, frac: float) -> Column:
-    """Positions lost in a window: the same for each of its channels, no shuffle needed."""
+    """Positions lost in a window: the same for each of its channels."""
     k = F.greatest(F.lit(1), F.bround(length * frac)).cast("int")
     drawn = F.transform(F.sequence(F.lit(0), length - 1),
                         lambda i: F.struct(key_hash(*row, i, seed).alias("h"), i.alias("i")))
     return F.transform(F.slice(F.array_sort(drawn), F.lit(1), k), lambda s: s["i"])
 
 
-def dropout(windows: DataFrame, row: Sequence[str], seed: int, frac: float = 0.1) -> DataFrame:
-    """A tenth of the time samples of each window read zero."""
-    with_lost = windows.withColumn("_lost", dropped_positions(row, seed, F.size("series"), frac))
-    zeroed = F.transform("series", lambda v, i: F.when(F.array_contains("_lost", i), 0.0).otherwise(v))
-    return with_lost.withColumn("series", zeroed).select(*windows.columns)
+def dropout_series() -> Column:
+    """A tenth of the time samples of each window read zero (positions in ``_lost``)."""
+    return F.transform("series", lambda v, i: F.when(F.array_contains("_lost", i), 0.0).otherwise(v))
 
 
-def downsample(windows: DataFrame, stride: int = 2) -> DataFrame:
+def downsampled_series(stride: int = 2) -> Column:
     """Every ``stride``-th sample kept, the others on a straight line between kept ones;
     past the last kept sample its value repeats."""
     s = F.col("series")
@@ -127,29 +124,51 @@ def downsample(windows: DataFrame, stride: int = 2) -> DataFrame:
         w = (i - left) / F.lit(float(stride))
         return F.when(i % stride == 0, v).otherwise(F.get(s, left) * (1.0 - w) + F.get(s, right) * w)
 
-    return windows.withColumn("series", F.transform(s, at))
+    return F.transform(s, at)
 
 
-def degrade(windows: DataFrame, name: str, row: Sequence[str], run_seed: int, channels: int | None = None) -> DataFrame:
-    """The fault of that name, with its own seed."""
+def _expression(name: str, row: Sequence[str], run_seed: int, channels: Sequence[str]) -> Column:
     if name not in DEGRADATIONS:
         raise ValueError(f"unknown degradation {name!r}; expected one of {list(DEGRADATIONS)}")
     seed = degradation_seed(run_seed, name)
     if name.startswith("gaussian_noise_snr"):
-        return gaussian_noise(windows, row, seed, float(name.removeprefix("gaussian_noise_snr")))
-    if name == "downsample":
-        return downsample(windows)
-    if name in ("bias", "stuck"):
-        return {"bias": bias, "stuck": stuck}[name](windows, row, seed, channels=channels)
-    return {"drift": drift, "dropout": dropout}[name](windows, row, seed)
+        return noise_series(row, seed, float(name.removeprefix("gaussian_noise_snr")))
+    return {
+        "drift": lambda: drift_series(seed),
+        "bias": lambda: bias_series(row, seed, channels),
+        "stuck": lambda: stuck_series(row, seed, channels),
+        "dropout": dropout_series,
+        "downsample": downsampled_series,
+    }[name]()
+
+
+def _with_inputs(windows: DataFrame, names: Sequence[str], row: Sequence[str], run_seed: int) -> DataFrame:
+    """Adds what the faults are scaled by: channel moments and lost positions."""
+    out = windows
+    if any(n.startswith("gaussian") or n in ("drift", "bias") for n in names):
+        out = out.join(channel_moments(windows).select("channel", F.col("power").alias("_power"), F.col("std").alias("_std")), "channel")
+    if "dropout" in names:
+        out = out.withColumn("_lost", dropped_positions(row, degradation_seed(run_seed, "dropout"), F.size("series"), 0.1))
+    return out
+
+
+def degrade(windows: DataFrame, name: str, row: Sequence[str], run_seed: int, channels: Sequence[str] | None = None) -> DataFrame:
+    """The fault of that name, with its own seed."""
+    needs_names = name in ("bias", "stuck")
+    channels = channels or (channel_names(windows) if needs_names else [])
+    series = _expression(name, row, run_seed, channels)
+    return _with_inputs(windows, [name], row, run_seed).withColumn("series", series).select(*windows.columns)
 
 
 def all_degradations(windows: DataFrame, row: Sequence[str], run_seed: int, with_clean: bool = True,
-                     channels: int | None = None) -> DataFrame:
-    """Clean and degraded windows in one table with a ``degradation`` column."""
-    channels = channels or _channels(windows)
-    out = windows.withColumn("degradation", F.lit("clean")) if with_clean else None
-    for name in DEGRADATIONS:
-        one = degrade(windows, name, row, run_seed, channels).withColumn("degradation", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+                     channels: Sequence[str] | None = None) -> DataFrame:
+    """Clean and degraded windows in one table with a ``degradation`` column.
+
+    The windows are read once; each row fans out into its variants inside its task.
+    """
+    channels = channels or channel_names(windows)
+    variants = [("clean", F.col("series"))] if with_clean else []
+    variants += [(n, _expression(n, row, run_seed, channels)) for n in DEGRADATIONS]
+    fan = F.explode(F.array(*[F.struct(F.lit(n).alias("degradation"), s.alias("series")) for n, s in variants]))
+    keep = [c for c in windows.columns if c != "series"]
+    return _with_inputs(windows, DEGRADATIONS, row, run_seed).withColumn("_v", fan).select(*keep, "_v.degradation", "_v.series")

@@ -30,10 +30,15 @@ def _offsets(chunks: DataFrame, group: Sequence[str], chunk: str, size: str) ->
     )
 
 
+def _sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+
+
 def _rank_chunks(df: DataFrame, group: Sequence[str], chunk: str, order: Sequence[Column],
-                 rank: str, total: str | None) -> DataFrame:
+                 rank: str, total: str | None, sizes: DataFrame | None = None) -> DataFrame:
     keys = [*group, chunk]
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    if sizes is None:
+        sizes = _sizes(df, keys)
     local = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     ranked = df.withColumn("_local", local).join(_offsets(sizes, group, chunk, "_size"), keys)
     out = ranked.withColumn(rank, (F.col("_before") + F.col("_local")).cast("long"))
@@ -77,13 +82,14 @@ def sequence_positions(df: DataFrame, group: Sequence[str], order: Sequence[str]
     steps = max(1, -(-rows * 8 // chunk_rows))
     width = (float(span["hi"]) - float(span["lo"])) / steps or 1.0
     stepped = df.withColumn("_chunk", F.floor((lead - F.lit(span["lo"])) / F.lit(width)))
-    largest = stepped.groupBy(*group, "_chunk").count().agg(F.max("count")).first()[0]
-    if largest > chunk_rows:
+    sizes = checkpointed(_sizes(stepped, [*group, "_chunk"]))  # read twice: here and for the offsets
+    if sizes.agg(F.max("_size")).first()[0] > chunk_rows:
         parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // chunk_rows))
         ranged = df.repartitionByRange(parts, *group, *order)
         # range bounds come from a sample: fix them before two branches read them
         stepped = checkpointed(ranged.withColumn("_chunk", F.spark_partition_id()))
-    ranked = _rank_chunks(stepped, group, "_chunk", cols, "_rank", None)
+        sizes = None
+    ranked = _rank_chunks(stepped, group, "_chunk", cols, "_rank", None, sizes)
     return ranked.withColumn(pos, F.col("_rank") - 1).drop("_rank")
 
 

@@ -53,10 +53,9 @@ def null_table(finals: DataFrame, keys: Sequence[str] = ("config",)) -> DataFram
 
 def degradation_rows(finals: DataFrame, column: str = "degradation", keys: Sequence[str] = ()) -> DataFrame:
     """(keys, config, seed, degradation, accuracy) from the map of degraded accuracies, clean included."""
-    ids = [*keys, "config", "seed"]
+    every = F.map_concat(F.create_map(F.lit("clean"), F.col("accuracy")), F.col(column))
     d = finals.filter(F.size(column) > 0)
-    degraded = d.select(*ids, F.explode(column).alias("degradation", "accuracy"))
-    return d.select(*ids, F.lit("clean").alias("degradation"), "accuracy").unionByName(degraded)
+    return d.select(*keys, "config", "seed", F.explode(every).alias("degradation", "accuracy"))
 
 
 def degradation_means(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -64,13 +63,6 @@ def degradation_means(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.avg("accuracy").alias("mean"), std_or_zero(F.col("accuracy")).alias("std"), F.count(F.lit(1)).alias("n"))
 
 
-def _deltas(means: DataFrame, keys: Sequence[str], config: str | None) -> DataFrame:
-    base = means.filter("degradation = 'clean'").select(*keys, "config", F.col("mean").alias("clean"))
-    d = means if config is None else means.filter(F.col("config") == config)
-    d = d.join(base, [*keys, "config"])
-    return d.groupBy(*keys, "degradation").agg(percent_points(F.avg(F.col("mean") - F.col("clean"))).alias("delta_pp"))
-
-
 def degradation_table(means: DataFrame, mode: str = "average", baseline: str = "full", keys: Sequence[str] = ()) -> DataFrame:
     """Long table with the loss against clean in percentage points.
 
@@ -78,8 +70,12 @@ def degradation_table(means: DataFrame, mode: str = "average", baseline: str = "
     """
     if mode not in ("average", "baseline"):
         raise ValueError(f"unknown mode {mode!r}")
-    deltas = _deltas(means, keys, baseline if mode == "baseline" else None)
-    return means.join(deltas, [*keys, "degradation"], "left")
+    # the table of means has one row per configuration and degradation: windows are short
+    clean = F.max(F.when(F.col("degradation") == "clean", F.col("mean"))).over(Window.partitionBy(*keys, "config"))
+    loss = means.withColumn("_loss", F.col("mean") - clean)
+    counted = F.when(F.col("config") == baseline, F.col("_loss")) if mode == "baseline" else F.col("_loss")
+    delta = percent_points(F.avg(counted).over(Window.partitionBy(*keys, "degradation")))
+    return loss.withColumn("delta_pp", delta).drop("_loss")
 
 
 def degradation_order(name="degradation") -> Column:
@@ -92,8 +88,7 @@ def degradation_pivot(table: DataFrame, configs: Sequence[str]) -> DataFrame:
     """One row per degradation, one "mean±std" column per configuration."""
     return (
         table.withColumn("cell_text", mean_std_text("mean", "std"))
-        .groupBy("degradation").pivot("config", list(configs)).agg(F.max("cell_text"))
-        .join(table.groupBy("degradation").agg(F.max("delta_pp").alias("delta_vs_clean_pp")), "degradation")
+        .groupBy("degradation", F.col("delta_pp").alias("delta_vs_clean_pp")).pivot("config", list(configs)).agg(F.max("cell_text"))
         .orderBy(degradation_order(), "degradation"))
 
 
@@ -103,17 +98,15 @@ def drop_and_gain(means: DataFrame, baseline: str, other: str, cell: str = "cell
     wide = means.groupBy(cell, "degradation").agg(
         F.max(F.when(F.col("config") == baseline, F.col("mean"))).alias("f"),
         F.max(F.when(F.col("config") == other, F.col("mean"))).alias("o"))
-    clean = wide.filter("degradation = 'clean'").select(cell, F.col("f").alias("c"))
-    return wide.filter("degradation <> 'clean'").join(clean, cell).select(
+    clean = F.max(F.when(F.col("degradation") == "clean", F.col("f"))).over(Window.partitionBy(cell))
+    return wide.withColumn("c", clean).filter("degradation <> 'clean'").select(
         cell, "degradation", ((F.col("c") - F.col("f")) * 100).alias("drop_pp"), ((F.col("o") - F.col("f")) * 100).alias("gain_pp"))
 
 
 def change_against(results: DataFrame, baseline: str, keys: Sequence[str] = ()) -> DataFrame:
     """Accuracy change of each configuration against the baseline in percentage points."""
-    base = results.filter(F.col("config") == baseline).select(*keys, F.col("accuracy_mean").alias("_b"))
-    other = results.filter(F.col("config") != baseline)
-    joined = other.join(base, list(keys)) if keys else other.withColumn("_b", base.select("_b").scalar())
-    return joined.select(*keys, "config", percent_points(F.col("accuracy_mean") - F.col("_b")).alias("change_pp"))
+    base = F.max(F.when(F.col("config") == baseline, F.col("accuracy_mean"))).over(Window.partitionBy(*keys))
+    return results.withColumn("_b", base).filter(F.col("config") != baseline).select(*keys, "config", percent_points(F.col("accuracy_mean") - F.col("_b")).alias("change_pp"))
 
 
 def regime_map(epochs: DataFrame, finals: DataFrame, config: str = "full", epoch: int = 3, cell: str = "cell") -> DataFrame:
@@ -196,20 +189,21 @@ def seed_by_cell(finals: DataFrame, value: str, cells: Sequence[str], config: st
     """One indicator, seeds down and cells across, with rows of means and deviations."""
     d = finals.filter(F.col("config") == config)
 
-    def side(df, label, agg):
-        return df.groupBy(label.alias("seed")).pivot(cell, list(cells)).agg(agg)
+    label = F.explode(F.array(F.col("seed").cast("string"), F.lit("Mean"), F.lit("SD")))
+    text = d.select(cell, label.alias("seed"), value)
+
+    def at(name):
+        return F.when(F.col(cell) == name, F.col(value))
 
-    rows = side(d, F.col("seed").cast("string"), F.avg(value))
-    mean = side(d, F.lit("Mean"), F.avg(value))
-    sd = side(d, F.lit("SD"), std_or_zero(F.col(value)))
-    return rows.unionByName(mean).unionByName(sd)
+    return text.groupBy("seed").agg(*[
+        F.when(F.max("seed") == "SD", F.when(F.count(at(c)) > 0, F.coalesce(F.stddev_samp(at(c)), F.lit(0.0)))).otherwise(F.avg(at(c))).alias(c)
+        for c in cells])
 
 
 def seed_coverage(finals: DataFrame, keys: Sequence[str] = ("config",)) -> DataFrame:
     """Configurations with fewer seeds than the best covered one."""
     n = finals.groupBy(*keys).agg(F.count_distinct("seed").alias("seeds"))
-    most = n.agg(F.max("seeds").alias("m"))
-    return n.withColumn("most", most.scalar()).filter(F.col("seeds") < F.col("most"))
+    return n.withColumn("most", F.max("seeds").over(Window.partitionBy())).filter(F.col("seeds") < F.col("most"))
 
 
 def merge_runs(primary: DataFrame, extra: DataFrame, keys: Sequence[str] = ("config", "seed")) -> DataFrame:

@@ -50,11 +50,9 @@ def class_profile(means: DataFrame, label: str = "class") -> DataFrame:
     per = means.groupBy(label).agg(
         F.avg("alpha").alias("alpha_mean"), F.coalesce(F.stddev_samp("alpha"), F.lit(0.0)).alias("alpha_std"),
         F.count(F.lit(1)).alias("windows"))
-    band = per.agg(F.struct(F.min("alpha_mean").alias("lo"), F.max("alpha_mean").alias("hi")).alias("b"))
-    b = band.scalar()
-    return per.select(
-        "*", b["lo"].alias("band_min"), b["hi"].alias("band_max"), (b["hi"] - b["lo"]).alias("band_spread")
-    ).orderBy(F.lower(label), label)
+    every = Window.partitionBy()  # one row per class
+    lo, hi = F.min("alpha_mean").over(every), F.max("alpha_mean").over(every)
+    return per.select("*", lo.alias("band_min"), hi.alias("band_max"), (hi - lo).alias("band_spread")).orderBy(F.lower(label), label)
 
 
 def gate_saturation(gates: DataFrame, group: Sequence[str] = (), tau: float = SATURATED) -> DataFrame:
@@ -115,14 +113,15 @@ def permutation_null(windows: DataFrame, row: Sequence[str], replicates: int, se
                      statistic=moving_average_variance) -> DataFrame:
     """Observed statistic, its null distribution under shuffled time, and z.
 
-    Replicates are extra rows of the same tasks, reduced on the map side; z is NULL where
-    it would be 0/0 or not finite.
+    Replicates are extra rows of the same tasks, reduced on the map side; replicate 0 is the
+    observed order, so the windows are read once. z is NULL where it would be 0/0.
     """
-    observed = windows.agg(F.avg(statistic(F.col("series"))).alias("observed"))
-    reps = windows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    shuffled = reps.withColumn("series", permuted_series(F.col("series"), row, F.col("replicate"), seed))
-    null = shuffled.groupBy("replicate").agg(F.avg(statistic(F.col("series"))).alias("stat"))
-    return null_summary(null.withColumn("observed", observed.scalar()))
+    reps = windows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    s = F.col("series")
+    shuffled = F.when(F.col("replicate") == 0, s).otherwise(permuted_series(s, row, F.col("replicate"), seed))
+    stats = reps.withColumn("series", shuffled).groupBy("replicate").agg(F.avg(statistic(s)).alias("stat"))
+    observed = F.max(F.when(F.col("replicate") == 0, F.col("stat"))).over(Window.partitionBy())  # one row per replicate
+    return null_summary(stats.withColumn("observed", observed).filter("replicate > 0"))
 
 
 def null_summary(null: DataFrame, group: Sequence[str] = ()) -> DataFrame:

@@ -47,10 +47,14 @@ def metric_rows(finals: DataFrame, metrics: Sequence[str] = ("accuracy", "macro_
 
 
 def pair_by_seed(rows: DataFrame, baseline: str, keys: Sequence[str] = ("metric",)) -> DataFrame:
-    """Pairs every configuration with the baseline run of the same seed."""
-    on = [*keys, "seed"]
-    base = rows.filter(F.col("config") == baseline).select(*on, F.col("value").alias("b"))
-    return rows.filter(F.col("config") != baseline).select(*on, "config", F.col("value").alias("a")).join(base, on)
+    """Pairs every configuration with the baseline run of the same seed.
+
+    A seed has one row per configuration, so the baseline value is handed to the other rows
+    of its seed by a window; the results are read once, not once per side of a join.
+    """
+    base = F.max(F.when(F.col("config") == baseline, F.col("value"))).over(Window.partitionBy(*keys, "seed"))
+    paired = rows.select(*keys, "seed", "config", F.col("value").alias("a"), base.alias("b"))
+    return paired.filter((F.col("config") != baseline) & F.col("b").isNotNull())
 
 
 def pair_by_position(rows: DataFrame, baseline: str, keys: Sequence[str] = ("metric",), order: str = "position") -> DataFrame:
@@ -61,12 +65,14 @@ def pair_by_position(rows: DataFrame, baseline: str, keys: Sequence[str] = ("met
 
 
 def pair_contrasts(rows: DataFrame, contrasts=CONTRASTS) -> DataFrame:
-    """Pairs of planned contrasts; ``config`` becomes the contrast's tag."""
+    """Pairs of planned contrasts; seeds without both configurations drop out."""
     flat = [(tag, a, b, m) for tag, a, b, metrics in contrasts for m in metrics]
     dim = F.broadcast(rows.sparkSession.createDataFrame(flat, "contrast string, cfg_a string, cfg_b string, metric string"))
-    left = rows.select("metric", "seed", F.col("config").alias("cfg_a"), F.col("value").alias("a")).join(dim, ["cfg_a", "metric"])
-    right = rows.select("metric", "seed", F.col("config").alias("cfg_b"), F.col("value").alias("b"))
-    return left.join(right, ["cfg_b", "metric", "seed"])
+    # one entry per configuration of the grid
+    by_seed = rows.groupBy("metric", "seed").agg(F.map_from_entries(F.collect_list(F.struct("config", "value"))).alias("_v"))
+    return by_seed.join(dim, "metric").select(
+        "metric", "seed", "contrast", "cfg_a", "cfg_b", F.col("_v")[F.col("cfg_a")].alias("a"), F.col("_v")[F.col("cfg_b")].alias("b"),
+    ).filter("a IS NOT NULL AND b IS NOT NULL")
 
 
 def unmatched_seeds(rows: DataFrame, baseline: str) -> DataFrame:
@@ -82,105 +88,137 @@ def unmatched_seeds(rows: DataFrame, baseline: str) -> DataFrame:
     )
 
 
+def _differences(pairs: DataFrame) -> DataFrame:
+    return pairs.filter(finite("a").isNotNull() & finite("b").isNotNull()).withColumn("d", F.col("a") - F.col("b"))
+
+
+
+def _moment_aggs() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), F.avg("a").alias("a_mean"), F.avg("b").alias("b_mean"),
+            F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd_diff")]
+
+
 def paired_moments(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    d = F.col("a") - F.col("b")
-    return pairs.filter(finite("a").isNotNull() & finite("b").isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("a").alias("a_mean"), F.avg("b").alias("b_mean"),
-        F.avg(d).alias("mean_diff"), F.stddev_samp(d).alias("sd_diff"))
+    return _differences(pairs).groupBy(*keys).agg(*_moment_aggs())
 
 
-def paired_t(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mean difference, 95 % and 90 % intervals, effect size and p; NULL without spread."""
-    m = paired_moments(pairs, keys)
+def _add_t(m: DataFrame) -> DataFrame:
+    """Intervals, effect size and p from the moments; NULL without spread."""
     usable = (F.col("n") > 1) & (F.col("sd_diff") > 0)
-    se = F.when(usable, F.col("sd_diff") / F.sqrt(F.col("n")))
-    df = F.when(usable, F.col("n") - 1)
-    m = m.withColumn("_se", se).withColumn("_df", df)
+    m = m.withColumn("_se", F.when(usable, F.col("sd_diff") / F.sqrt("n"))).withColumn("_df", F.when(usable, F.col("n") - 1))
     m = m.select(
         "*", t_critical(0.975, F.col("_df")).alias("_t95"), t_critical(0.95, F.col("_df")).alias("_t90"),
         t_two_sided_p(F.col("mean_diff") / F.col("_se"), F.col("_df")).alias("t_p"))
-    h95, h90, md = F.col("_t95") * F.col("_se"), F.col("_t90") * F.col("_se"), F.col("mean_diff")
-    return m.select(
-        *keys, "n", "a_mean", "b_mean", "mean_diff", "sd_diff",
-        (md - h95).alias("ci95_lo"), (md + h95).alias("ci95_hi"),
-        (md - h90).alias("ci90_lo"), (md + h90).alias("ci90_hi"),
-        F.when(usable, md / F.col("sd_diff")).alias("cohens_dz"), "t_p")
-
+    md, out = F.col("mean_diff"), {}
+    for name, t in (("ci95", "_t95"), ("ci90", "_t90")):
+        out[f"{name}_lo"], out[f"{name}_hi"] = md - F.col(t) * F.col("_se"), md + F.col(t) * F.col("_se")
+    out["cohens_dz"] = F.when(F.col("sd_diff") > 0, md / F.col("sd_diff"))
+    return m.withColumns(out).drop("_se", "_df", "_t95", "_t90")
 
-def signed_rank_sums(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Signed-rank sums of the non-zero differences with average ranks for ties.
 
-    Equal differences are counted first, so the ordered window sees distinct sizes only.
-    """
-    d = pairs.withColumn("d", F.col("a") - F.col("b")).filter("d <> 0").withColumn("size", F.abs("d"))
-    sizes = d.groupBy(*keys, "size").agg(
-        F.count(F.lit(1)).alias("ties"), F.count(F.when(F.col("d") > 0, 1)).alias("pos"))
-    run = Window.partitionBy(*keys).orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum("ties").over(run)
-    ranked = sizes.withColumn("doubled", (2 * upto - F.col("ties") + 1).cast("long"))
-    total = F.sum("ties").over(Window.partitionBy(*keys))
-    ranked = ranked.withColumn("_n", total)
-    small = F.when(F.col("_n") <= EXACT_PAIRS, F.array_repeat(F.col("doubled"), F.col("ties").cast("int")))
-    return ranked.groupBy(*keys).agg(
-        F.sum("ties").cast("long").alias("n_nonzero"),
-        F.sum(F.col("doubled") * F.col("pos")).cast("long").alias("doubled_pos"),
-        F.sum(F.col("doubled") * F.col("ties")).cast("long").alias("doubled_all"),
-        F.sum(F.col("ties") * F.col("ties") * F.col("ties") - F.col("ties")).cast("double").alias("tie_term"),
-        F.flatten(F.collect_list(small)).alias("doubled_ranks"),  # at most EXACT_PAIRS ranks
-    )
-
-
-def wilcoxon(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Two-sided signed-rank test: exact up to 50 pairs, normal approximation beyond."""
-    s = signed_rank_sums(pairs, keys)
+def paired_t(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean difference, 95 % and 90 % intervals, effect size and p."""
+    return _add_t(paired_moments(pairs, keys))
+
+
+def _ranked(d: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rank of each non-zero difference by size (doubled, ties averaged), and its place and
+    normal score in value order. A comparison has one row per seed."""
+    size = F.when(F.col("d") != 0, F.abs("d"))
+    d = d.withColumn("size", size)
+    whole = Window.partitionBy(*keys)
+    by_size = whole.orderBy("size")  # zero differences are NULL and come first
+    zeros = F.count(F.when(F.col("size").isNull(), 1)).over(whole)
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, "size"))
+    d = d.withColumn("ties", F.when(F.col("size").isNotNull(), ties))
+    d = d.withColumn("doubled", F.when(F.col("size").isNotNull(), 2 * (F.rank().over(by_size) - zeros) + F.col("ties") - 1).cast("long"))
+    d = d.withColumn("i", F.row_number().over(whole.orderBy("d", "seed"))).withColumn("_n", F.count(F.lit(1)).over(whole))
+    return d.withColumn("m", normal_quantile((F.col("i") - 0.375) / (F.col("_n") + 0.25)))
+
+
+def _rank_aggs() -> list[Column]:
+    few = F.when(F.col("_n") <= EXACT_PAIRS, F.col("doubled"))
+    return [
+        F.count("size").alias("n_nonzero"),
+        F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("doubled"))), F.lit(0)).cast("long").alias("_pos"),
+        F.coalesce(F.sum("doubled"), F.lit(0)).cast("long").alias("_all"),
+        F.coalesce(F.sum(F.col("ties") * F.col("ties") - 1), F.lit(0)).cast("double").alias("_ties"),
+        F.collect_list(few).alias("_ranks"),  # at most EXACT_PAIRS ranks, empty for longer lists
+        F.max("_n").alias("_pairs"),
+    ]
+
+
+def _add_wilcoxon(s: DataFrame) -> DataFrame:
     n = F.col("n_nonzero").cast("double")
-    mean = n * (n + 1) / 4
-    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_term") / 48
-    low = F.least(F.col("doubled_pos"), F.col("doubled_all") - F.col("doubled_pos")) / 2.0
-    z = F.when((F.col("n_nonzero") > EXACT_PAIRS) & (var > 0), (mean - low) / F.sqrt(var))
-    exact = F.when(F.col("n_nonzero") <= EXACT_PAIRS, F.col("doubled_ranks"))
-    s = s.select("*", normal_upper_p(z).alias("_upper"), exact_signed_rank_p(exact, F.col("doubled_pos")).alias("_exact"))
-    p = F.when(F.col("n_nonzero") <= EXACT_PAIRS, F.col("_exact")).otherwise(F.least(F.lit(1.0), 2.0 * F.col("_upper")))
-    return s.select(*keys, "n_nonzero", low.alias("statistic"), p.alias("wilcoxon_p"))
+    low = F.least(F.col("_pos"), F.col("_all") - F.col("_pos")) / 2.0
+    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48
+    z = F.when((F.col("_pairs") > EXACT_PAIRS) & (var > 0), (n * (n + 1) / 4 - low) / F.sqrt(var))
+    exact = F.when((F.col("_pairs") <= EXACT_PAIRS) & (n > 0), F.col("_ranks"))
+    s = s.select("*", normal_upper_p(z).alias("_upper"), exact_signed_rank_p(exact, F.col("_pos")).alias("_exact"))
+    p = F.when(F.col("_pairs") <= EXACT_PAIRS, F.col("_exact")).otherwise(F.least(F.lit(1.0), 2.0 * F.col("_upper")))
+    return s.withColumns({"statistic": low, "wilcoxon_p": p}).drop("_pos", "_all", "_ties", "_ranks", "_pairs", "_upper", "_exact")
 
 
-def shapiro(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """W test of normality of the differences (three pairs or more).
+def wilcoxon(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Two-sided signed-rank test, zeros dropped: exact up to 50 pairs, normal approximation beyond."""
+    return _add_wilcoxon(_ranked(_differences(pairs), keys).groupBy(*keys).agg(*_rank_aggs())).filter("n_nonzero > 0")
 
-    The weights depend on the rank alone, so W comes from one aggregate over ranked rows
-    instead of a sorted sample in one place.
-    """
-    d = pairs.withColumn("d", F.col("a") - F.col("b"))
-    w = Window.partitionBy(*keys).orderBy("d", "seed")
-    ranked = d.withColumn("i", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    ranked = ranked.filter("n >= 3").withColumn("m", normal_quantile((F.col("i") - 0.375) / (F.col("n") + 0.25)))
 
+def _score_aggs() -> list[Column]:
     def at(col, rank):
         return F.max(F.when(F.col("i") == rank, F.col(col)))
 
-    agg = ranked.groupBy(*keys).agg(
-        F.max("n").cast("double").alias("n"), F.var_pop("d").alias("var"), F.sum(F.col("m") * F.col("m")).alias("mm"),
-        F.sum(F.col("m") * F.col("d")).alias("md"), at("m", 1).alias("m1"), at("m", 2).alias("m2"),
-        at("d", 1).alias("x1"), at("d", 2).alias("x2"), at("d", F.col("n") - 1).alias("y2"), at("d", F.col("n")).alias("y1"))
-    n, rs = F.col("n"), 1.0 / F.sqrt(F.col("n"))
-    norm = F.sqrt("mm")
-    a1 = polynomial(_SW_TOP, rs) - F.col("m1") / norm
-    a2 = F.when(n > 5, polynomial(_SW_SECOND, rs) - F.col("m2") / norm).otherwise(0.0)
-    agg = agg.withColumn("a1", F.when(n == 3, F.sqrt(F.lit(0.5))).otherwise(a1)).withColumn("a2", a2)
-    m1, m2 = F.col("m1"), F.when(n > 5, F.col("m2")).otherwise(0.0)
-    scale = F.sqrt((F.col("mm") - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * F.col("a1") ** 2 - 2 * F.col("a2") ** 2))
-    outer, second = F.col("y1") - F.col("x1"), F.col("y2") - F.col("x2")
-    inner = (F.col("md") + m1 * outer + m2 * second) / scale
-    top = F.when(n == 3, F.col("a1") * outer).otherwise(inner + F.col("a1") * outer + F.col("a2") * second)
-    agg = agg.withColumn("w", F.when(F.col("var") > 0, F.least(F.lit(1.0), top * top / (n * F.col("var")))))
-    ln_n, y = F.ln(n), F.ln(1.0 - F.col("w"))
+    return [
+        F.var_pop("d").alias("_var"), F.sum(F.col("m") * F.col("m")).alias("_mm"), F.sum(F.col("m") * F.col("d")).alias("_md"),
+        at("m", 1).alias("_m1"), at("m", 2).alias("_m2"), at("d", 1).alias("_x1"), at("d", 2).alias("_x2"),
+        at("d", F.col("_n") - 1).alias("_y2"), at("d", F.col("_n")).alias("_y1"), F.max("_n").cast("double").alias("_sw_n"),
+    ]
+
+
+def _add_shapiro(agg: DataFrame) -> DataFrame:
+    """W and p from sums over ranked rows; NULL below three pairs or without spread.
+
+    The weights of the W statistic depend on the rank alone, so no sorted sample has to be
+    in one place.
+    """
+    n = F.col("_sw_n")
+    rs, norm = 1.0 / F.sqrt(n), F.sqrt("_mm")
+    a1 = F.when(n == 3, F.sqrt(F.lit(0.5))).otherwise(polynomial(_SW_TOP, rs) - F.col("_m1") / norm)
+    a2 = F.when(n > 5, polynomial(_SW_SECOND, rs) - F.col("_m2") / norm).otherwise(0.0)
+    agg = agg.withColumns({"_a1": a1, "_a2": a2})
+    m1, m2 = F.col("_m1"), F.when(n > 5, F.col("_m2")).otherwise(0.0)
+    rest = 1 - 2 * F.col("_a1") * F.col("_a1") - 2 * F.col("_a2") * F.col("_a2")
+    scale = F.when(n > 3, F.sqrt((F.col("_mm") - 2 * m1 * m1 - 2 * m2 * m2) / rest))
+    outer, second = F.col("_y1") - F.col("_x1"), F.col("_y2") - F.col("_x2")
+    inner = (F.col("_md") + m1 * outer + F.when(n > 5, m2 * second).otherwise(0.0)) / scale
+    ends = F.col("_a1") * outer + F.when(n > 5, F.col("_a2") * second).otherwise(0.0)
+    top = F.when(n == 3, ends).otherwise(inner + ends)
+    agg = agg.withColumn("w", F.when((n >= 3) & (F.col("_var") > 0), F.least(F.lit(1.0), top * top / (n * F.col("_var")))))
+    ln_n, y = F.ln(n), F.when(F.col("w") < 1, F.ln(1.0 - F.col("w")))
     gamma = polynomial(_SW_SMALL_GAMMA, n)
-    z = F.when(n <= 11, (-F.ln(gamma - y) - polynomial(_SW_SMALL_MEAN, n)) / F.exp(polynomial(_SW_SMALL_SD, n))).otherwise(
-        (y - polynomial(_SW_LARGE_MEAN, ln_n)) / F.exp(polynomial(_SW_LARGE_SD, ln_n)))
+    small = F.when(y < gamma, (-F.ln(gamma - y) - polynomial(_SW_SMALL_MEAN, n)) / F.exp(polynomial(_SW_SMALL_SD, n)))
+    large = (y - polynomial(_SW_LARGE_MEAN, ln_n)) / F.exp(polynomial(_SW_LARGE_SD, ln_n))
+    agg = agg.select("*", normal_upper_p(F.when(n > 3, F.when(n <= 11, small).otherwise(large))).alias("_p"))
     three = F.greatest(F.lit(0.0), 6.0 / F.lit(3.141592653589793) * (F.asin(F.sqrt("w")) - F.asin(F.sqrt(F.lit(0.75)))))
-    agg = agg.select("*", normal_upper_p(F.when((n > 3) & (F.col("w") < 1), z)).alias("_p"))
-    p = F.when(n == 3, three).when(F.col("w") >= 1, 1.0).when((n <= 11) & (y >= gamma), 0.0).otherwise(F.col("_p"))
-    return agg.select(*keys, F.col("n").cast("long").alias("n"), "w", p.alias("shapiro_p"))
+    p = (F.when(F.col("w").isNull(), F.lit(None)).when(n == 3, three).when(F.col("w") >= 1, 1.0)
+         .when((n <= 11) & (y >= gamma), 0.0).otherwise(F.col("_p")))
+    helpers = [c for c in agg.columns if c.startswith("_")]
+    return agg.withColumn("shapiro_p", p).drop(*helpers)
+
+
+def shapiro(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """W test of normality of the differences (three pairs or more)."""
+    ranked = _ranked(_differences(pairs), keys).filter("_n >= 3")
+    return _add_shapiro(ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *_score_aggs()))
+
+
+def paired_tests(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All paired tests out of one grouping: the pairs are built and read once."""
+    one = _ranked(_differences(pairs), keys).groupBy(*keys).agg(*_moment_aggs(), *_rank_aggs(), *_score_aggs())
+    scores = ["_var", "_mm", "_md", "_m1", "_m2", "_x1", "_x2", "_y2", "_y1", "_sw_n"]
+    keep = F.struct(*scores).alias("sw")
+    done = _add_wilcoxon(_add_t(one.withColumn("sw", keep).drop(*scores)))
+    return _add_shapiro(done.select("*", "sw.*").drop("sw", "n_nonzero", "statistic"))
 
 
 def holm(df: DataFrame, p: str, out: str, family: Sequence[str], key: Sequence[str], missing_as_one: bool = False) -> DataFrame:
@@ -228,9 +266,7 @@ def tost(pairs: DataFrame, keys: Sequence[str], margins: Sequence[float] = EQUIV
 def compare(pairs: DataFrame, keys: Sequence[str] = ("metric", "config"), family: Sequence[str] = ("metric",)) -> DataFrame:
     """All tests of each comparison, corrected within the family, with its tier."""
     keys = list(keys)
-    tests = paired_t(pairs, keys).filter("n >= 2")
-    tests = tests.join(wilcoxon(pairs, keys).drop("n_nonzero", "statistic"), keys, "left")
-    tests = tests.join(shapiro(pairs, keys).drop("n", "w"), keys, "left")
+    tests = paired_tests(pairs, keys).filter("n >= 2")
     for p, name in (("t_p", "t"), ("wilcoxon_p", "wilcoxon")):
         tests = holm(tests, p, f"{name}_holm_p", family, keys)
         tests = benjamini_hochberg(tests, p, f"{name}_bh_p", family, keys)
@@ -246,10 +282,7 @@ def significance_table(finals: DataFrame, baseline: str, keys: Sequence[str] = (
 def contrast_table(finals: DataFrame, contrasts=CONTRASTS) -> DataFrame:
     """Planned contrasts with one family per metric; a missing signed-rank p counts as 1 there."""
     keys = ["metric", "contrast", "cfg_a", "cfg_b"]
-    pairs = pair_contrasts(metric_rows(finals), contrasts)
-    tests = paired_t(pairs, keys)
-    tests = tests.join(wilcoxon(pairs, keys).select(*keys, "wilcoxon_p"), keys, "left")
-    tests = tests.join(shapiro(pairs, keys).select(*keys, "shapiro_p"), keys, "left")
+    tests = paired_tests(pair_contrasts(metric_rows(finals), contrasts), keys)
     tests = holm(tests, "t_p", "holm_p_t", ["metric"], keys)
     return holm(tests, "wilcoxon_p", "holm_p_w", ["metric"], keys, missing_as_one=True)
 
@@ -307,7 +340,7 @@ def protocol_comparison(finals: DataFrame, treatment: str, baseline: str, protoc
     rows = metric_rows(finals.filter(F.col("config").isin(treatment, baseline)), keys=[protocol])
     keys = [protocol, "metric"]
     pairs = pair_by_seed(rows, baseline, keys)
-    t = paired_t(pairs, keys).join(wilcoxon(pairs, keys).select(*keys, "wilcoxon_p"), keys, "left")
+    t = paired_tests(pairs, keys)
     signs = Window.partitionBy("metric")
     turned = F.min(F.signum("mean_diff")).over(signs) * F.max(F.signum("mean_diff")).over(signs) < 0
     return t.select(*keys, "n", "mean_diff", percent_points("mean_diff").alias("diff_pp"), "cohens_dz", "t_p", "wilcoxon_p",

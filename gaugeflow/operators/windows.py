@@ -27,7 +27,7 @@ def zscore_by_train(df: DataFrame, channel: str = "channel", value: str = "value
     sums = df.groupBy(channel).agg(
         F.avg(train).alias("_m1"), F.stddev_pop(train).alias("_s1"), F.avg(value).alias("_m0"),
         F.stddev_pop(value).alias("_s0"), F.count(train).alias("_n1"))
-    any_train = df.agg(F.count(train).alias("n")).select(F.col("n") > 0).scalar()
+    any_train = F.sum("_n1").over(Window.partitionBy()) > 0  # one row per channel
     mean = F.when(any_train, F.col("_m1")).otherwise(F.col("_m0"))
     std = F.when(any_train, F.col("_s1")).otherwise(F.col("_s0"))
     stats = sums.select(channel, mean.alias("mean"), F.when(std < FLAT_STD, 1.0).otherwise(std).alias("std"))

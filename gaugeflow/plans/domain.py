@@ -13,6 +13,7 @@ from gaugeflow.operators.degrade import DEGRADATIONS
 from gaugeflow.operators.ranking import sequence_positions
 
 CHANNELS, SERIES_LENGTH = 4, 16
+CHANNEL_NAMES = ("c0", "c1", "c2", "c3")
 CONFIG_NAMES = {"NO": "full", "AF": "w/o_spectral", "AO": "w/o_temporal", "NF": "w/o_fusion", "RF": "w/o_gating", "RO": "full_r1"}
 PRIORITY_NAMES = {
     "1-URGENT": "full", "2-HIGH": "w/o_spectral", "3-MEDIUM": "w/o_temporal", "4-NOT SPECIFIED": "w/o_fusion", "5-LOW": "w/o_gating"}
