@@ -105,9 +105,9 @@ def example_windows(spark, sf):
 WITH {_CENTROID}, a AS (SELECT y_true, arg_min(window_id, (CASE WHEN y_true = y_pred THEN 0 ELSE 1 END) * 1000000000 + window_id) AS window_id,
   max((y_true = y_pred)::BIGINT) AS has_correct FROM pr GROUP BY y_true),
 p AS (SELECT * FROM a ORDER BY y_true LIMIT 5)
-SELECT p.y_true, p.window_id, p.has_correct, {r('avg(CASE WHEN 1 / (1 + exp(-5 * v)) > 0.6 THEN 1.0::DOUBLE ELSE 0 END)')} AS saturation
+SELECT p.y_true, p.window_id, p.has_correct, {r('avg(CASE WHEN 1 / (1 + exp(-5 * v)) > 0.6 THEN 1.0::DOUBLE ELSE 0 END)', 10)} AS saturation
 FROM p JOIN el ON el.window_id = p.window_id GROUP BY ALL
-""")
+""", digits=10)
 def example_saturation(spark, sf):
     """First correct window of five classes and how saturated its gates are."""
     return evaluation.attach_saturation(evaluation.example_windows(_nearest(spark, sf)), domain.alphas(spark, sf), tau=0.6)
@@ -270,17 +270,17 @@ def rho_curve(spark, sf):
 
 
 @query("mean_curves", f"""
-WITH {epochs_sql()} SELECT config, epoch, {r('avg(rho)')} AS rho_mean, {r('coalesce(stddev_samp(rho), 0)')} AS rho_std,
-  {r('avg(s_tau)')} AS s_tau_mean, {r('coalesce(stddev_samp(s_tau), 0)')} AS s_tau_std, count(*) AS runs FROM epochs GROUP BY ALL
-""")
+WITH {epochs_sql()} SELECT config, epoch, {r('avg(rho)', 10)} AS rho_mean, {r('coalesce(stddev_samp(rho), 0)', 10)} AS rho_std,
+  {r('avg(s_tau)', 10)} AS s_tau_mean, {r('coalesce(stddev_samp(s_tau), 0)', 10)} AS s_tau_std, count(*) AS runs FROM epochs GROUP BY ALL
+""", digits=10)
 def mean_curves(spark, sf):
     return ep.mean_curve(domain.epochs(spark, sf), ("rho", "s_tau"))
 
 
 @query("early_mean_curve", f"""
-WITH {epochs_sql()} SELECT config, epoch, {r('avg(rho)')} AS rho_mean, {r('coalesce(stddev_samp(rho), 0)')} AS rho_std, count(*) AS runs
+WITH {epochs_sql()} SELECT config, epoch, {r('avg(rho)', 10)} AS rho_mean, {r('coalesce(stddev_samp(rho), 0)', 10)} AS rho_std, count(*) AS runs
 FROM epochs WHERE epoch <= 15 AND config = 'full' GROUP BY ALL
-""")
+""", digits=10)
 def early_mean_curve(spark, sf):
     return ep.mean_curve(ep.early_epochs(domain.epochs(spark, sf), 15, "full"))
 

@@ -256,9 +256,9 @@ def class_routing_profile(spark, sf):
 
 
 @query("gate_saturation", f"""
-WITH {ALPHA} SELECT tau, class, {r('avg(CASE WHEN a > tau THEN 1.0::DOUBLE ELSE 0 END)')} AS saturation
+WITH {ALPHA} SELECT tau, class, {r('avg(CASE WHEN a > tau THEN 1.0::DOUBLE ELSE 0 END)', 10)} AS saturation
 FROM al, (SELECT unnest([0.6::DOUBLE, 0.9::DOUBLE]) AS tau) GROUP BY ALL
-""")
+""", digits=10)
 def gate_saturation(spark, sf):
     a = domain.alphas(spark, sf)
     parts = [routing.gate_saturation(a, ["class"], tau).withColumn("tau", F.lit(tau)) for tau in (0.6, 0.9)]

@@ -97,14 +97,15 @@ def _nulls(out, *args) -> pd.Series:
 
 def t_two_sided_p(t: Column, df: Column) -> Column:
     def f(t: pd.Series, df: pd.Series) -> pd.Series:
-        d = df.fillna(1)
-        return _nulls(np.minimum(1.0, 2.0 * t_upper(t.abs().fillna(0), d)), t, df)
+        df = df.where(df >= 1)
+        return _nulls(np.minimum(1.0, 2.0 * t_upper(t.abs().fillna(0), df.fillna(1))), t, df)
 
     return _udf(f)(t.cast("double"), df.cast("double"))
 
 
 def t_upper_p(t: Column, df: Column) -> Column:
     def f(t: pd.Series, df: pd.Series) -> pd.Series:
+        df = df.where(df >= 1)
         return _nulls(t_upper(t.fillna(0), df.fillna(1)), t, df)
 
     return _udf(f)(t.cast("double"), df.cast("double"))
@@ -112,6 +113,7 @@ def t_upper_p(t: Column, df: Column) -> Column:
 
 def t_critical(p: float, df: Column) -> Column:
     def f(df: pd.Series) -> pd.Series:
+        df = df.where(df >= 1)
         return _nulls(t_quantile(p, df.fillna(1)), df)
 
     return _udf(f)(df.cast("double"))

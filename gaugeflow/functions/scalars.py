@@ -11,6 +11,15 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row.
+
+    A derived array that a lambda refers to would otherwise be computed again for every
+    element, because the optimizer puts its expression in place of the column.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def binary_entropy(a) -> Column:
     """Entropy of a two-way choice in bits; 0 and 1 are moved inside by 1e-12."""
     a = F.least(F.greatest(_c(a), F.lit(EPS)), F.lit(1.0 - EPS))
@@ -34,19 +43,14 @@ def array_sum_sq(xs) -> Column:
 
 
 def array_var_pop(xs) -> Column:
-    """Population variance of an array, around its own mean."""
-    xs = _c(xs)
-    with_mean = F.aggregate(
-        xs,
-        F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s")),
-        lambda a, x: F.struct(
-            (a["n"] + 1.0).alias("n"),
-            (a["m"] + (x - a["m"]) / (a["n"] + 1.0)).alias("m"),
-            (a["s"] + (x - a["m"]) * (x - a["m"]) * a["n"] / (a["n"] + 1.0)).alias("s"),
-        ),
-        lambda a: a["s"] / a["n"],
-    )
-    return F.when(F.size(xs) > 0, with_mean)
+    """Population variance of an array, around its own running mean; NULL when empty."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s"))
+
+    def step(a, x):
+        gap, n = x - a["m"], a["n"] + 1.0
+        return F.struct(n.alias("n"), (a["m"] + gap / n).alias("m"), (a["s"] + gap * gap * a["n"] / n).alias("s"))
+
+    return F.aggregate(_c(xs), start, step, lambda a: F.try_divide(a["s"], a["n"]))
 
 
 def finite(x) -> Column:

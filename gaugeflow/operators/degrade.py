@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeflow.functions.hashing import fast_uniform, key_hash, normal_from, uniform, uniform_from
-from gaugeflow.functions.scalars import array_sum, array_sum_sq
+from gaugeflow.functions.scalars import array_sum, array_sum_sq, let
 
 # Names in evaluation order, and the offset of their seeds from the run seed.
 DEGRADATIONS = (
@@ -107,9 +107,10 @@ def dropped_positions(row: Sequence[str], seed: int, length: Column, frac: float
     return F.transform(F.slice(F.array_sort(drawn), F.lit(1), k), lambda s: s["i"])
 
 
-def dropout_series() -> Column:
-    """A tenth of the time samples of each window read zero (positions in ``_lost``)."""
-    return F.transform("series", lambda v, i: F.when(F.array_contains("_lost", i), 0.0).otherwise(v))
+def dropout_series(row: Sequence[str], seed: int, frac: float = 0.1) -> Column:
+    """A tenth of the time samples of each window read zero."""
+    lost = dropped_positions(row, seed, F.size("series"), frac)
+    return let(lost, lambda gone: F.transform("series", lambda v, i: F.when(F.array_contains(gone, i), 0.0).otherwise(v)))
 
 
 def downsampled_series(stride: int = 2) -> Column:
@@ -137,19 +138,16 @@ def _expression(name: str, row: Sequence[str], run_seed: int, channels: Sequence
         "drift": lambda: drift_series(seed),
         "bias": lambda: bias_series(row, seed, channels),
         "stuck": lambda: stuck_series(row, seed, channels),
-        "dropout": dropout_series,
+        "dropout": lambda: dropout_series(row, seed),
         "downsample": downsampled_series,
     }[name]()
 
 
-def _with_inputs(windows: DataFrame, names: Sequence[str], row: Sequence[str], run_seed: int) -> DataFrame:
-    """Adds what the faults are scaled by: channel moments and lost positions."""
-    out = windows
-    if any(n.startswith("gaussian") or n in ("drift", "bias") for n in names):
-        out = out.join(channel_moments(windows).select("channel", F.col("power").alias("_power"), F.col("std").alias("_std")), "channel")
-    if "dropout" in names:
-        out = out.withColumn("_lost", dropped_positions(row, degradation_seed(run_seed, "dropout"), F.size("series"), 0.1))
-    return out
+def _with_moments(windows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Adds the channel moments when one of the faults is scaled by them."""
+    if not any(n.startswith("gaussian") or n in ("drift", "bias") for n in names):
+        return windows
+    return windows.join(channel_moments(windows).select("channel", F.col("power").alias("_power"), F.col("std").alias("_std")), "channel")
 
 
 def degrade(windows: DataFrame, name: str, row: Sequence[str], run_seed: int, channels: Sequence[str] | None = None) -> DataFrame:
@@ -157,7 +155,7 @@ def degrade(windows: DataFrame, name: str, row: Sequence[str], run_seed: int, ch
     needs_names = name in ("bias", "stuck")
     channels = channels or (channel_names(windows) if needs_names else [])
     series = _expression(name, row, run_seed, channels)
-    return _with_inputs(windows, [name], row, run_seed).withColumn("series", series).select(*windows.columns)
+    return _with_moments(windows, [name]).withColumn("series", series).select(*windows.columns)
 
 
 def all_degradations(windows: DataFrame, row: Sequence[str], run_seed: int, with_clean: bool = True,
@@ -171,4 +169,4 @@ def all_degradations(windows: DataFrame, row: Sequence[str], run_seed: int, with
     variants += [(n, _expression(n, row, run_seed, channels)) for n in DEGRADATIONS]
     fan = F.explode(F.array(*[F.struct(F.lit(n).alias("degradation"), s.alias("series")) for n, s in variants]))
     keep = [c for c in windows.columns if c != "series"]
-    return _with_inputs(windows, DEGRADATIONS, row, run_seed).withColumn("_v", fan).select(*keep, "_v.degradation", "_v.series")
+    return _with_moments(windows, DEGRADATIONS).withColumn("_v", fan).select(*keep, "_v.degradation", "_v.series")

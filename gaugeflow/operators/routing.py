@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugeflow.functions.hashing import key_hash
-from gaugeflow.functions.scalars import EPS, array_mean, array_sum, array_var_pop, binary_entropy, sigmoid
+from gaugeflow.functions.scalars import EPS, array_sum, array_var_pop, binary_entropy, let, sigmoid
 
 HISTOGRAM_BINS = 60
 SATURATED = 0.9
@@ -98,9 +98,15 @@ def exact_quantiles(values: DataFrame, value: str, probs: Sequence[float], lo: f
 
 def moving_average_variance(series: Column, width: int = 3) -> Column:
     """Variance over time of a short moving average: depends on the order of the samples."""
-    n = F.size(series)
-    smooth = F.transform(F.sequence(F.lit(0), n - width), lambda i: array_mean(F.slice(series, i + 1, width)))
-    return array_var_pop(smooth)
+
+    def smooth(s):
+        parts = [F.slice(s, j + 1, F.size(s) - width + 1) for j in range(width)]
+        total = parts[0]
+        for p in parts[1:]:
+            total = F.zip_with(total, p, lambda a, b: a + b)
+        return array_var_pop(F.transform(total, lambda x: x / width))
+
+    return let(series, smooth)
 
 
 def permuted_series(series: Column, row: Sequence, replicate: Column, seed: int) -> Column:

@@ -48,7 +48,8 @@ def malformed_lines(parsed: DataFrame) -> DataFrame:
 
 def final_records(parsed: DataFrame) -> DataFrame:
     """The last final record of each file; files without one do not appear."""
-    f = parsed.filter("rec._bad IS NULL AND rec.final IS NOT NULL")
+    # a plain text test first: only few lines are finals, and parsing is the costly part
+    f = parsed.filter(F.col("line").contains('"final"')).filter("rec._bad IS NULL AND rec.final IS NOT NULL")
     last = f.groupBy("slug", "seed").agg(F.max_by("rec.final", "line_no").alias("final"))
     return last.select("slug", "seed", *flatten_final())
 
@@ -71,7 +72,8 @@ def unfinished_files(parsed: DataFrame) -> DataFrame:
 
 def epoch_records(parsed: DataFrame) -> DataFrame:
     fields = [f.strip().split(" ")[0] for f in EPOCH_FIELDS.split(",")]
-    return parsed.filter("rec._bad IS NULL AND rec.epoch IS NOT NULL").select("slug", "seed", *[F.col(f"rec.{f}").alias(f) for f in fields])
+    lines = parsed.filter(F.col("line").contains('"epoch"'))
+    return lines.filter("rec._bad IS NULL AND rec.epoch IS NOT NULL").select("slug", "seed", *[F.col(f"rec.{f}").alias(f) for f in fields])
 
 
 def name_configs(df: DataFrame, configs: DataFrame, keep_unknown: bool = False) -> DataFrame:
