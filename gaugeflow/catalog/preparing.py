@@ -173,8 +173,7 @@ SELECT run_id, channel, pos, {r('CASE WHEN p0 IS NULL THEN v1 WHEN p1 IS NULL OR
 """, digits=9)
 def interpolated_gaps(spark, sf):
     """Empty channels leave their run, the other gaps are filled by position."""
-    d = cleaning.drop_empty_channels(domain.gappy_samples(spark, sf))
-    return cleaning.interpolate(d).select("run_id", "channel", "pos", "value")
+    return cleaning.interpolate(domain.gappy_samples(spark, sf)).select("run_id", "channel", "pos", "value")
 
 
 @query("channel_coverage", f"""

@@ -141,6 +141,7 @@ _LOGS = """lines AS (
 def _log_lines(spark, sf):
     """Orders written as log lines: status F is a final record, O an epoch, P a broken line."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    o = domain.spread(o, "o_orderkey")
     config = F.element_at(F.create_map(*[F.lit(x) for kv in domain.PRIORITY_NAMES.items() for x in kv]), F.col("o_orderpriority"))
     p = F.col("o_totalprice")
     final = F.to_json(F.struct(F.struct(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gaugeflow.catalog.base import ALPHA, ELEMENTS, query, r, u
 from gaugeflow.functions.scalars import array_mean, binary_entropy, sigmoid
 from gaugeflow.operators import degrade, evaluation, routing, spectral
-from gaugeflow.plans import domain
+from gaugeflow.plans import audit, domain
 
 ROW = ["window_id"]
 RUN_SEED = 42
@@ -437,3 +437,10 @@ def two_expert_routing(spark, sf):
     paired = routing.two_expert_weight("lg", 0.5, paired=True)
     return d.select("window_id", "class", routing.two_expert_weight("lg", 0.5).alias("soft"), paired.alias("paired"),
                     routing.route_hard(paired, F.col("s_t"), F.col("s_f")).alias("hard"))
+
+
+@query("ablation_audit")
+def ablation_audit(spark, sf):
+    """Feature-family ablation fitted and scored per seed, clean and under every fault."""
+    finals = audit.audit(domain.windows(spark, sf), "class", "window_id", seeds=(1, 2))
+    return finals.select("config", "seed", "accuracy", "macro_f1", F.explode("degradation").alias("degradation", "degraded_accuracy"))

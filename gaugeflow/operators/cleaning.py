@@ -65,8 +65,12 @@ def drop_gappy_channels(df: DataFrame, group: Sequence[str] = ("run_id", "channe
 
 
 def interpolate(df: DataFrame, group: Sequence[str] = ("run_id", "channel"), pos: str = "pos",
-                value: str = "value", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Straight line between filled neighbours by position; edges repeat the nearest value."""
+                value: str = "value", drop_empty: bool = True, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Straight line between filled neighbours by position; edges repeat the nearest value.
+
+    A channel without any value in its run has no neighbour at all; its rows are dropped
+    here, which saves counting values beforehand.
+    """
     d = fill_neighbours(df, group, pos, value, chunk_rows)
     p0, v0, p1, v1 = F.col("prev.pos"), F.col("prev.value"), F.col("next.pos"), F.col("next.value")
     line = v0 + (v1 - v0) * (F.col(pos) - p0) / (p1 - p0)
@@ -76,7 +80,8 @@ def interpolate(df: DataFrame, group: Sequence[str] = ("run_id", "channel"), pos
         .when(p1.isNull(), v0)
         .otherwise(line)
     )
-    return d.withColumn(value, filled).drop("prev", "next")
+    out = d.withColumn(value, filled).drop("prev", "next")
+    return out.filter(F.col(value).isNotNull()) if drop_empty else out
 
 
 def channel_coverage(df: DataFrame) -> DataFrame:

@@ -60,8 +60,10 @@ def align_rates(fast: DataFrame, slow: DataFrame, unit: str, fast_channels: Sequ
     # positions are contiguous from 0, so rows with every channel are the common length
     wide = both.groupBy(unit, "pos").agg(
         *[F.max(F.when(F.col("channel") == c, F.col("value"))).alias(c) for c in names],
-        F.count_distinct("channel").alias("_have"))
-    return wide.filter(F.col("_have") == len(names)).drop("_have")
+        *[F.count(F.when(F.col("channel") == c, 1)).alias(f"_{c}") for c in names])
+    for c in names:
+        wide = wide.filter(F.col(f"_{c}") > 0).drop(f"_{c}")
+    return wide
 
 
 def missing_channels(df: DataFrame, unit: str, channels: Sequence[str]) -> DataFrame:

@@ -24,6 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spreads a table that has fewer partitions than the cluster has cores, ahead of work
+    that is heavy per row. A table of enough files is left where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _lookup(column, names: dict[str, str]):
     return F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), column)
 
@@ -62,7 +69,7 @@ def multirate(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An embedding is one window of four channels with 16 samples each."""
     parts = F.array(*[F.slice("embedding", c * SERIES_LENGTH + 1, SERIES_LENGTH).cast("array<double>") for c in range(CHANNELS)])
-    emb = table(spark, sf_dir, "embeddings")
+    emb = spread(table(spark, sf_dir, "embeddings"), "vec_id")
     return emb.select(F.col("vec_id").alias("window_id"), "label", F.posexplode(parts).alias("_c", "series")).select(
         "window_id", F.concat(F.lit("L"), "label").alias("class"), F.concat(F.lit("c"), "_c").alias("channel"), "series")
 
@@ -73,7 +80,7 @@ def alphas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(
+    return spread(table(spark, sf_dir, "embeddings"), "vec_id").select(
         F.col("vec_id").alias("window_id"), "label", F.col("embedding").cast("array<double>").alias("vector"))
 
 
