@@ -115,7 +115,7 @@ def silhouette(sample: DataFrame, key: str, label: str, vector: str, blocks: int
                         F.pmod(F.xxhash64(key), F.lit(blocks)).alias("own"))
     spread = pts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
-    def measure(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def measure(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["v"].to_numpy()).astype(float)
         codes, names = pd.factorize(pdf["label"])
         member = np.eye(len(names))[codes]
