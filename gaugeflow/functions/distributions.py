@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
 
-_lgamma = np.frompyfunc(math.lgamma, 1, 1)
-_erfc = np.frompyfunc(math.erfc, 1, 1)
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+_erfc = np.vectorize(math.erfc, otypes=[float])
 
 
 def _beta_fraction(a, b, x):
@@ -42,7 +42,7 @@ def reg_inc_beta(a, b, x):
     x = np.clip(x, 0.0, 1.0)
     with np.errstate(divide="ignore", invalid="ignore"):
         front = np.exp(
-            (_lgamma(a + b) - _lgamma(a) - _lgamma(b)).astype(float) + a * np.log(x) + b * np.log1p(-x))
+            _lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(x) + b * np.log1p(-x))
         low = x < (a + 1.0) / (a + b + 2.0)
         xs = np.where(low, x, 1.0 - x)
         part = front * _beta_fraction(np.where(low, a, b), np.where(low, b, a), xs) / np.where(low, a, b)
@@ -69,7 +69,7 @@ def t_quantile(p, df):
 
 
 def normal_upper(z):
-    return 0.5 * _erfc(np.asarray(z, dtype=float) / math.sqrt(2.0)).astype(float)
+    return 0.5 * _erfc(np.asarray(z, dtype=float) / math.sqrt(2.0))
 
 
 def signed_rank_p(doubled: list[int] | np.ndarray, positive: int) -> float:

@@ -234,7 +234,7 @@ def holm(df: DataFrame, p: str, out: str, family: Sequence[str], key: Sequence[s
     m = F.count("_p").over(Window.partitionBy(*fam))
     d = d.withColumn("_v", F.least(F.lit(1.0), (m - F.row_number().over(order) + 1) * F.col("_p")))
     running = order.rowsBetween(Window.unboundedPreceding, 0)
-    return d.withColumn(out, F.max("_v").over(running)).drop("_p", "_v")
+    return d.withColumn(out, F.when(F.col("_p").isNotNull(), F.max("_v").over(running))).drop("_p", "_v")
 
 
 def benjamini_hochberg(df: DataFrame, p: str, out: str, family: Sequence[str], key: Sequence[str]) -> DataFrame:
@@ -246,7 +246,8 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str, family: Sequence[str], k
     down = Window.partitionBy(*fam).orderBy(F.desc("_p"), *[F.desc(k) for k in key])
     d = d.withColumn("_v", F.col("_p") * m / F.row_number().over(up))
     running = down.rowsBetween(Window.unboundedPreceding, 0)
-    return d.withColumn(out, F.least(F.lit(1.0), F.min("_v").over(running))).drop("_p", "_v")
+    lowest = F.least(F.lit(1.0), F.min("_v").over(running))
+    return d.withColumn(out, F.when(F.col("_p").isNotNull(), lowest)).drop("_p", "_v")
 
 
 def tost(pairs: DataFrame, keys: Sequence[str], margins: Sequence[float] = EQUIVALENCE_MARGINS) -> DataFrame:
