@@ -58,7 +58,8 @@ def u(h: str, first: int = 1) -> str:
 
 RUNS = """runs AS (
   SELECT 'R' || user_id AS run_id, 'C' || (user_id % 5) AS class,
-         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_type, value
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_type, value,
+         json_extract_string(props, '$.k')::DOUBLE AS level
   FROM events)"""
 
 GAPPY = RUNS + """,

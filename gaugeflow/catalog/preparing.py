@@ -34,9 +34,10 @@ split AS (
   SELECT run_id, class, length, n, CASE WHEN n = 1 THEN NULL WHEN rk <= n_test THEN 'test'
      WHEN n >= 3 AND rk <= 2 * n_test THEN 'val' ELSE 'train' END AS split FROM counted)"""
 ZSCORED = RUNS + ", " + SPLIT + """,
-long AS (SELECT r.run_id, r.class, s.split, r.pos, r.value FROM runs r JOIN split s USING (run_id)),
-stats AS (SELECT avg(value) AS mean, stddev_pop(value) AS std FROM long WHERE split = 'train'),
-z AS (SELECT run_id, class, split, pos, (value - mean) / CASE WHEN std < 1e-8 THEN 1 ELSE std END AS value FROM long, stats)"""
+chan AS (SELECT run_id, class, pos, 'value' AS channel, value FROM runs UNION ALL SELECT run_id, class, pos, 'level', level FROM runs),
+long AS (SELECT r.run_id, r.class, s.split, r.channel, r.pos, r.value FROM chan r JOIN split s USING (run_id)),
+stats AS (SELECT channel, avg(value) AS mean, stddev_pop(value) AS std FROM long WHERE split = 'train' GROUP BY channel),
+z AS (SELECT run_id, class, split, channel, pos, (value - mean) / CASE WHEN std < 1e-8 THEN 1 ELSE std END AS value FROM long JOIN stats USING (channel))"""
 
 
 def _split(spark, sf):
@@ -45,8 +46,7 @@ def _split(spark, sf):
 
 def _zscored(spark, sf):
     assigned = _split(spark, sf).select("run_id", "split")
-    long = domain.samples(spark, sf).join(assigned, "run_id").withColumn("channel", F.lit("value"))
-    return win.zscore_by_train(long)
+    return win.zscore_by_train(domain.channel_samples(spark, sf).join(assigned, "run_id"))
 
 
 def _windows(spark, sf):
@@ -66,7 +66,8 @@ FROM w GROUP BY class UNION ALL SELECT 'C9', 0, 0, 0, 0, 0, 0
 def split_window_summary(spark, sf):
     """Runs to a stratified split, train-only scaling and windows, counted per class."""
     classes = spark.createDataFrame([(f"C{i}",) for i in (0, 1, 2, 3, 4, 9)], "class string")
-    return splitting.split_summary(_split(spark, sf), _windows(spark, sf), classes)
+    # every channel of a run has the same windows: counting one of them is enough
+    return splitting.split_summary(_split(spark, sf), _windows(spark, sf).filter("channel = 'value'"), classes)
 
 
 @query("run_split", f"WITH {SPLIT} SELECT run_id, class, length, n, split FROM split")
@@ -130,9 +131,9 @@ def within_run_windows(spark, sf):
                     F.aggregate("series", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("series").alias("n"))
 
 
-@query("train_only_zscore", f"WITH {ZSCORED} SELECT run_id, split, pos, {r('value')} AS value FROM z")
+@query("train_only_zscore", f"WITH {ZSCORED} SELECT run_id, split, channel, pos, {r('value')} AS value FROM z")
 def train_only_zscore(spark, sf):
-    return _zscored(spark, sf).select("run_id", "split", "pos", "value")
+    return _zscored(spark, sf).select("run_id", "split", "channel", "pos", "value")
 
 
 @query("channel_statistics", f"""
@@ -144,14 +145,14 @@ def channel_statistics(spark, sf):
 
 @query("sliding_windows", f"""
 WITH {ZSCORED}, w AS (
-  SELECT run_id, class, split, list(value ORDER BY pos) AS s FROM z GROUP BY ALL),
-ix AS (SELECT run_id, class, split, s, unnest(range(0, (len(s) - {W}) // {STRIDE} + 1)) AS j FROM w WHERE len(s) >= {W})
-SELECT run_id, class, split, j AS win_idx, j * {STRIDE} AS start, t - 1 AS t, {r(f's[j * {STRIDE} + t]')} AS value
+  SELECT run_id, class, split, channel, list(value ORDER BY pos) AS s FROM z GROUP BY ALL),
+ix AS (SELECT run_id, class, split, channel, s, unnest(range(0, (len(s) - {W}) // {STRIDE} + 1)) AS j FROM w WHERE len(s) >= {W})
+SELECT run_id, class, split, channel, j AS win_idx, j * {STRIDE} AS start, t - 1 AS t, {r(f's[j * {STRIDE} + t]')} AS value
 FROM ix, range(1, {W + 1}) AS g(t)
 """)
 def sliding_windows(spark, sf):
     """Every value of every window of the scaled runs."""
-    return _windows(spark, sf).select("run_id", "class", "split", "win_idx", "start", F.posexplode("series").alias("t", "value"))
+    return _windows(spark, sf).select("run_id", "class", "split", "channel", "win_idx", "start", F.posexplode("series").alias("t", "value"))
 
 
 @query("window_counts", f"""
@@ -475,8 +476,7 @@ def classes_without_runs(spark, sf):
 WITH {MULTIRATE} SELECT unit, channel, pos // 16 AS pos, {r('avg(value)')} AS value FROM fast GROUP BY unit, channel, pos // 16 HAVING count(*) = 16
 """)
 def pooled_fast_channel(spark, sf):
-    fast, _ = domain.multirate(spark, sf)
-    return win.mean_pool(fast, ["unit", "channel"])
+    return win.mean_pool(domain.multirate(spark, sf).filter("channel = 'vibration'"), ["unit", "channel"])
 
 
 _ALIGNED = MULTIRATE + """,
@@ -489,8 +489,7 @@ FROM pool JOIN (SELECT * FROM slow WHERE channel = 'force') f USING (unit, pos)
 """)
 def aligned_rates(spark, sf):
     """Fast and slow channels on one grid, trimmed to the shortest."""
-    fast, slow = domain.multirate(spark, sf)
-    return win.align_rates(fast, slow, "unit", ["vibration"], ["force", "torque"])
+    return win.align_rates(domain.multirate(spark, sf), "unit", ["vibration"], ["force", "torque"])
 
 
 @query("rate_warnings", f"""
@@ -498,10 +497,9 @@ WITH {MULTIRATE}, l AS (SELECT unit, count(*) AS fast_len, count(*) FILTER (pos
 SELECT unit, fast_len, slow_len, {r('fast_len / slow_len')} AS ratio, abs(fast_len / slow_len - 9.5) > 0.45 AS rate_off FROM l
 """)
 def rate_warnings(spark, sf):
-    fast, slow = domain.multirate(spark, sf)
-    a = fast.groupBy("unit").agg(F.count(F.lit(1)).alias("fast_len"))
-    b = slow.filter("channel = 'force'").groupBy("unit").agg(F.count(F.lit(1)).alias("slow_len"))
-    return win.rate_warnings(a.join(b, "unit"), factor=9.5, tolerance=0.45)
+    lengths = domain.multirate(spark, sf).groupBy("unit").agg(
+        F.count(F.when(F.col("channel") == "vibration", 1)).alias("fast_len"), F.count(F.when(F.col("channel") == "force", 1)).alias("slow_len"))
+    return win.rate_warnings(lengths, factor=9.5, tolerance=0.45)
 
 
 @query("missing_channels", """

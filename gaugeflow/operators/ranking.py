@@ -105,7 +105,15 @@ def fill_neighbours(df: DataFrame, group: Sequence[str], pos: str, value: str,
     at = F.when(F.col(value).isNotNull(), F.struct(F.col(pos).alias("pos"), F.col(value).alias("value")))
     d = df.withColumn("_chunk", F.floor(F.col(pos) / chunk_rows)).withColumn("_at", at)
     keys = [*group, "_chunk"]
-    ends = d.groupBy(*keys).agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    filled = F.when(F.col(value).isNotNull(), F.col(pos))
+    ends = d.groupBy(*keys).agg(
+        F.min(filled).alias("_p0"), F.min_by(value, filled).alias("_v0"),
+        F.max(filled).alias("_p1"), F.max_by(value, filled).alias("_v1"))
+
+    def end(p, v):
+        return F.when(F.col(p).isNotNull(), F.struct(F.col(p).alias("pos"), F.col(v).alias("value")))
+
+    ends = ends.select(*keys, end("_p0", "_v0").alias("_first"), end("_p1", "_v1").alias("_last"))
     down = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     up = Window.partitionBy(*group).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(

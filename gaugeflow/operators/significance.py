@@ -224,29 +224,27 @@ def paired_tests(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 def holm(df: DataFrame, p: str, out: str, family: Sequence[str], key: Sequence[str], missing_as_one: bool = False) -> DataFrame:
     """Step-down correction within a family of comparisons (one row each).
 
-    Missing p-values are left out of the family, or count as 1 when asked.
+    Missing p-values are left out of the family, or count as 1 when asked. They sort last,
+    so every correction partitions by the family alone and shares one shuffle.
     """
-    value = finite(p)
-    value = F.coalesce(value, F.lit(1.0)) if missing_as_one else value
+    value = F.coalesce(finite(p), F.lit(1.0)) if missing_as_one else finite(p)
     d = df.withColumn("_p", value)
-    fam = [*family, F.col("_p").isNull()]
-    order = Window.partitionBy(*fam).orderBy("_p", *key)
-    m = F.count("_p").over(Window.partitionBy(*fam))
-    d = d.withColumn("_v", F.least(F.lit(1.0), (m - F.row_number().over(order) + 1) * F.col("_p")))
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    return d.withColumn(out, F.when(F.col("_p").isNotNull(), F.max("_v").over(running))).drop("_p", "_v")
+    order = Window.partitionBy(*family).orderBy(F.asc_nulls_last("_p"), *key)
+    m = F.count("_p").over(Window.partitionBy(*family))
+    step = F.least(F.lit(1.0), (m - F.row_number().over(order) + 1) * F.col("_p"))
+    d = d.withColumn("_v", F.when(F.col("_p").isNotNull(), step))
+    highest = F.max("_v").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn(out, F.when(F.col("_p").isNotNull(), highest)).drop("_p", "_v")
 
 
 def benjamini_hochberg(df: DataFrame, p: str, out: str, family: Sequence[str], key: Sequence[str]) -> DataFrame:
     """False-discovery correction; the running minimum goes from the largest p down."""
     d = df.withColumn("_p", finite(p))
-    fam = [*family, F.col("_p").isNull()]
-    m = F.count("_p").over(Window.partitionBy(*fam))
-    up = Window.partitionBy(*fam).orderBy("_p", *key)
-    down = Window.partitionBy(*fam).orderBy(F.desc("_p"), *[F.desc(k) for k in key])
+    m = F.count("_p").over(Window.partitionBy(*family))
+    up = Window.partitionBy(*family).orderBy(F.asc_nulls_last("_p"), *key)
+    down = Window.partitionBy(*family).orderBy(F.desc_nulls_last("_p"), *[F.desc(k) for k in key])
     d = d.withColumn("_v", F.col("_p") * m / F.row_number().over(up))
-    running = down.rowsBetween(Window.unboundedPreceding, 0)
-    lowest = F.least(F.lit(1.0), F.min("_v").over(running))
+    lowest = F.least(F.lit(1.0), F.min("_v").over(down.rowsBetween(Window.unboundedPreceding, 0)))
     return d.withColumn(out, F.when(F.col("_p").isNotNull(), lowest)).drop("_p", "_v")
 
 

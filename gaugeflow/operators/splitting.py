@@ -189,9 +189,12 @@ def uncovered_cells(df: DataFrame, cell: Sequence[str], splits: Sequence[str] =
 
 
 def split_summary(assigned: DataFrame, windows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Runs and windows of each class in each split; classes without runs show zeros."""
+    """Runs and windows of each class in each split; classes without runs show zeros.
+
+    ``assigned`` has one row per run (or segment of a run) and split, ``windows`` one per window.
+    """
     runs = assigned.groupBy("class").agg(
-        *[F.count_distinct(F.when(F.col("split") == s, F.col("run_id"))).alias(f"{s}_runs") for s in SPLITS])
+        *[F.count(F.when(F.col("split") == s, 1)).alias(f"{s}_runs") for s in SPLITS])
     wins = windows.groupBy("class").agg(
         *[F.count(F.when(F.col("split") == s, 1)).alias(f"{s}_windows") for s in SPLITS])
     out = classes.join(runs, "class", "left").join(wins, "class", "left")

@@ -45,20 +45,26 @@ def mean_pool(df: DataFrame, keys: Sequence[str], factor: int = POOL_FACTOR, val
     )
 
 
-def align_rates(fast: DataFrame, slow: DataFrame, unit: str, fast_channels: Sequence[str],
-                slow_channels: Sequence[str], factor: int = POOL_FACTOR) -> DataFrame:
+def align_rates(samples: DataFrame, unit: str, fast_channels: Sequence[str], slow_channels: Sequence[str],
+                factor: int = POOL_FACTOR) -> DataFrame:
     """One row per (unit, pos) with all channels on the slow grid.
 
     Fast channels are mean-pooled, slow ones kept, other channels ignored, and the unit
-    ends with its shortest channel. Both sides are long: unit, channel, pos, value.
-    A unit without one of the channels has no row here; ``missing_channels`` lists it.
+    ends with its shortest channel. Samples are long: unit, channel, pos, value; both rates
+    go through one grouping. A unit without one of the channels has no row here;
+    ``missing_channels`` lists it.
     """
-    pooled = mean_pool(fast.filter(F.col("channel").isin(*fast_channels)), [unit, "channel"], factor)
-    kept = slow.filter(F.col("channel").isin(*slow_channels)).select(unit, "channel", "pos", "value")
     names = [*fast_channels, *slow_channels]
-    both = pooled.select(unit, "channel", "pos", "value").unionByName(kept)
+    fast = F.col("channel").isin(*fast_channels)
+    block = F.when(fast, F.floor(F.col("pos") / factor)).otherwise(F.col("pos")).cast("long")
+    pooled = (
+        samples.filter(F.col("channel").isin(*names))
+        .groupBy(unit, "channel", block.alias("pos"))
+        .agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("_n"))
+        .filter(~fast | (F.col("_n") == factor))
+    )
     # positions are contiguous from 0, so rows with every channel are the common length
-    wide = both.groupBy(unit, "pos").agg(
+    wide = pooled.groupBy(unit, "pos").agg(
         *[F.max(F.when(F.col("channel") == c, F.col("value"))).alias(c) for c in names],
         *[F.count(F.when(F.col("channel") == c, 1)).alias(f"_{c}") for c in names])
     for c in names:

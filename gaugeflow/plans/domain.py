@@ -37,11 +37,17 @@ def _lookup(column, names: dict[str, str]):
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events in time order are the samples of one run; five classes of runs."""
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     placed = sequence_positions(ev, ["user_id"], ["ts", "event_id"], "ts")
     return placed.select(
         F.concat(F.lit("R"), "user_id").alias("run_id"), F.concat(F.lit("C"), F.col("user_id") % 5).alias("class"),
-        "pos", "event_type", "value")
+        "pos", "event_type", "value", F.get_json_object("props", "$.k").cast("double").alias("level"))
+
+
+def channel_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs in long form with two channels: the event's value and its level."""
+    ids = ["run_id", "class", "pos"]
+    return samples(spark, sf_dir).select(*ids, "value", "level").unpivot(ids, ["value", "level"], "channel", "value")
 
 
 def gappy_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,17 +59,19 @@ def gappy_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples(spark, sf_dir).withColumn("channel", types).select("run_id", "class", "channel", "pos", reading.alias("value"))
 
 
-def multirate(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def multirate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A supplier's line items in order are one unit: quantity is the fast channel, tax and
     discount, kept every tenth sample, are slow ones."""
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_tax", "l_discount", *order)
     placed = sequence_positions(li, ["l_suppkey"], order, "l_shipdate").withColumnRenamed("l_suppkey", "unit")
-    fast = placed.select("unit", F.lit("vibration").alias("channel"), "pos", F.col("l_quantity").alias("value"))
-    tenth = placed.filter(F.col("pos") % 10 == 0).withColumn("pos", F.floor(F.col("pos") / 10).cast("long"))
-    slow = tenth.select("unit", "pos", F.col("l_tax").alias("force"), F.col("l_discount").alias("torque")).unpivot(
-        ["unit", "pos"], ["force", "torque"], "channel", "value").select("unit", "channel", "pos", "value")
-    return fast, slow
+    at, tenth = F.col("pos"), F.col("pos") % 10 == 0
+    slow_at = F.floor(at / 10).cast("long")
+    readings = F.array(
+        F.struct(F.lit("vibration").alias("channel"), at.alias("pos"), F.col("l_quantity").alias("value")),
+        F.when(tenth, F.struct(F.lit("force").alias("channel"), slow_at.alias("pos"), F.col("l_tax").alias("value"))),
+        F.when(tenth, F.struct(F.lit("torque").alias("channel"), slow_at.alias("pos"), F.col("l_discount").alias("value"))))
+    return placed.select("unit", F.explode(F.filter(readings, lambda x: x.isNotNull())).alias("_s")).select("unit", "_s.*")
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:

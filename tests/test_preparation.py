@@ -145,9 +145,9 @@ def test_rate_alignment(spark):
     fast = [("u", c, p, float(p)) for c in ("x", "junk") for p in range(160)] + [("w", "x", p, 0.0) for p in range(160)]
     slow = [("u", "y", p, float(-p)) for p in range(7)] + [("u", "temp", 0, 1.0)]
     schema = "unit string, channel string, pos long, value double"
-    rows = win.align_rates(spark.createDataFrame(fast, schema), spark.createDataFrame(slow, schema), "unit", ["x"], ["y"]).collect()
-    assert sorted((r.unit, r.pos, r.x, r.y) for r in rows) == [("u", p, p * 16 + 7.5, -float(p)) for p in range(7)]
     both = spark.createDataFrame(fast + slow, schema)
+    rows = win.align_rates(both, "unit", ["x"], ["y"]).collect()
+    assert sorted((r.unit, r.pos, r.x, r.y) for r in rows) == [("u", p, p * 16 + 7.5, -float(p)) for p in range(7)]
     assert [(r.unit, r.channel) for r in win.missing_channels(both, "unit", ["x", "y"]).collect()] == [("w", "y")]
 
 
