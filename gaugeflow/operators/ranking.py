@@ -16,6 +16,7 @@ from gaugeflow.functions.hashing import key_hash
 from gaugeflow.session import checkpointed
 
 CHUNK_ROWS = 2_000_000
+CHUNK_DIGITS = 3
 
 
 def _offsets(chunks: DataFrame, group: Sequence[str], chunk: str, size: str) -> DataFrame:
@@ -48,12 +49,13 @@ def _rank_chunks(df: DataFrame, group: Sequence[str], chunk: str, order: Sequenc
 
 
 def hash_ranked(df: DataFrame, group: Sequence[str], key: Sequence[str], seed: int,
-                rank: str = "rank", total: str | None = "n") -> DataFrame:
+                rank: str = "rank", total: str | None = "n", digits: int = CHUNK_DIGITS) -> DataFrame:
     """1-based rank of each row in its group, in a seeded random but repeatable order.
 
-    The first hex digits of the hash spread every group evenly over 4,096 chunks.
+    The first hex digits of the hash spread every group evenly over 16^digits chunks; one
+    more digit makes the chunks of a very large group sixteen times smaller.
     """
-    hashed = df.withColumn("_hash", key_hash(*key, seed)).withColumn("_chunk", F.substring("_hash", 1, 3))
+    hashed = df.withColumn("_hash", key_hash(*key, seed)).withColumn("_chunk", F.substring("_hash", 1, digits))
     order = [F.col("_hash"), *[F.col(k) for k in key]]
     return _rank_chunks(hashed, group, "_chunk", order, rank, total).drop("_hash")
 

@@ -34,12 +34,13 @@ def infer_labels(df: DataFrame, aliases: DataFrame, path: str = "path") -> DataF
 
     An exact match of any candidate beats every prefix match; then the more trusted
     candidate, then the longer alias. Instead of comparing every path with every alias,
-    a candidate is joined on each of its own prefixes, so the join is an equality.
+    a candidate is joined on each of its own prefixes no longer than the longest alias, so
+    the join is an equality.
     """
     cands = label_candidates(df.select(path).distinct(), path)
-    prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.length("candidate")),
-                                     lambda n: F.substring(F.col("candidate"), F.lit(1), n)))
-    fits = cands.withColumn("alias", prefixes).join(aliases, "alias")
+    longest = aliases.agg(F.max(F.length("alias")).alias("n")).scalar()
+    sized = cands.withColumn("_n", F.explode(F.sequence(F.lit(1), F.least(F.length("candidate"), longest))))
+    fits = sized.withColumn("alias", F.substring(F.col("candidate"), F.lit(1), F.col("_n"))).join(aliases, "alias")
     exact = F.when(F.col("alias") == F.col("candidate"), 0).otherwise(1)
     order = F.struct(exact, F.col("trust"), -F.length("alias"))
     best = fits.groupBy(path).agg(F.min_by("class", order).alias("class"))

@@ -103,7 +103,8 @@ def deal_quotas(cells: DataFrame, counts: DataFrame, seed: int, cell: Sequence[s
 
     A split with at least one unit per cell first reserves one in each; the rest is dealt
     one by one over the cells in a seeded order that starts one cell later per split,
-    within each cell's size. Only the table of cell sizes is grouped, never the units.
+    within each cell's size. Only the table of cell sizes is grouped, never the units, and
+    the work per class grows with its cells, not its units.
     """
     order = Window.partitionBy(group).orderBy(key_hash(*cell, seed), *cell)
     table = cells.withColumn("_turn", F.row_number().over(order)).join(counts, group)
@@ -121,13 +122,14 @@ def deal_quotas(cells: DataFrame, counts: DataFrame, seed: int, cell: Sequence[s
                 room -= reserve
         for turn, s in enumerate(SPLITS):
             left = asked[s] - int(got[s].sum())
-            while left > 0 and room.sum() > 0:
-                # one whole lap over the cells at a time, the last lap partial
-                lap = [(turn + i) % len(pdf) for i in range(len(pdf))]
-                for i in [c for c in lap if room[c] > 0][:left]:
-                    got[s][i] += 1
-                    room[i] -= 1
-                    left -= 1
+            lap = [(turn + i) % len(pdf) for i in range(len(pdf))]
+            while left > 0 and (open_ := [c for c in lap if room[c] > 0]):
+                # as many whole laps at once as the fullest open cell allows, then a partial one
+                laps = min(left // len(open_), int(room[open_].min()))
+                take = open_ if laps else open_[:left]
+                got[s][take] += max(laps, 1)
+                room[take] -= max(laps, 1)
+                left -= max(laps, 1) * len(take)
         out = pdf[[group, *cell]].copy()
         for s in SPLITS:
             out[f"q_{s}"] = got[s]

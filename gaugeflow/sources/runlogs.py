@@ -23,8 +23,8 @@ LINE_SCHEMA = f"{EPOCH_FIELDS}, final {FINAL_TYPE}, _bad STRING"
 
 
 def read_logs(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of all logs: file, line_no, line. Files are read whole by one task each, so
-    the row number follows the lines of a file."""
+    """Lines of all logs: file, line_no, line. A log has one line per epoch, so a file is
+    read whole by one task and the number of a line is its place in the file."""
     text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*_seed*.jsonl").text(folder, wholetext=True)
     lines = text.select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     return lines.filter(F.trim("line") != "")
@@ -98,20 +98,22 @@ def dotted_columns(df: DataFrame, prefix: str = "") -> list[Column]:
 def objects_holding(lines: DataFrame, column: str, required: Sequence[str]) -> DataFrame:
     """Objects at any depth of a JSON text that hold all required keys.
 
-    The text is read once as a variant; each level is one explode of the level above, to
-    the depth of five that such records have at most.
+    The text is read as a variant; each level is one explode of the level above, until no
+    object or array is left to open.
     """
-    level = lines.select(*[c for c in lines.columns if c != column], F.try_parse_json(F.col(column)).alias("_v"), F.lit("$").alias("json_path"))
     ids = [c for c in lines.columns if c != column]
+    nested = F.schema_of_variant("_v").rlike("^(OBJECT|ARRAY)")
+    level = lines.select(*ids, F.try_parse_json(F.col(column)).alias("_v"), F.lit("$").alias("json_path")).filter(nested)
     found = None
-    for _ in range(5):
+    while True:
         hold = F.lit(True)
         for k in required:
             hold = hold & F.try_variant_get("_v", f"$.{k}", "string").isNotNull()
         hit = level.filter(hold).select(*ids, "json_path", F.to_json("_v").alias("object"))
         found = hit if found is None else found.unionByName(hit)
         parts = level.sparkSession.tvf.variant_explode(F.col("_v").outer())
-        nested = level.lateralJoin(parts).withColumnsRenamed({"key": "k", "value": "v", "pos": "p"})
+        opened = level.lateralJoin(parts).withColumnsRenamed({"key": "k", "value": "v", "pos": "p"})
         step = F.when(F.col("k").isNotNull(), F.concat(F.lit("."), F.col("k"))).otherwise(F.format_string("[%d]", F.col("p")))
-        level = nested.select(*ids, F.col("v").alias("_v"), F.concat("json_path", step).alias("json_path"))
-    return found
+        level = opened.select(*ids, F.col("v").alias("_v"), F.concat("json_path", step).alias("json_path")).filter(nested)
+        if level.isEmpty():
+            return found

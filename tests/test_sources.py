@@ -101,10 +101,10 @@ def test_slugs(spark):
 
 
 def test_nested_objects(spark):
-    doc = json.dumps({"x": 1, "deep": {"list": [{"rho": 1, "epoch": 2}, {"rho": 3}], "m": {"rho": 4, "epoch": 5, "z": None}}})
+    doc = json.dumps({"x": 1, "deep": {"list": [{"rho": 1, "epoch": 2}, {"rho": 3}], "m": {"rho": 4, "epoch": 5, "z": None}}, "a": {"b": {"c": {"d": {"e": {"f": {"g": {"rho": 0, "epoch": 0}}}}}}}})
     df = spark.createDataFrame([(1, doc), (2, "not json")], "id long, doc string")
     got = sorted((r.id, r.json_path) for r in runlogs.objects_holding(df, "doc", ["rho", "epoch"]).collect())
-    assert got == [(1, "$.deep.list[0]"), (1, "$.deep.m")]
+    assert got == [(1, "$.a.b.c.d.e.f.g"), (1, "$.deep.list[0]"), (1, "$.deep.m")]
 
 
 def test_table_readers_and_sinks(spark, tmp_path):
