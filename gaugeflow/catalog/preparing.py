@@ -407,11 +407,36 @@ def _units(spark, sf):
         F.col("o_orderstatus").alias("setting"))
 
 
-@query("stratified_cell_split")
+_DEALT = f"""un AS (SELECT o_orderkey AS unit, o_orderpriority AS class, o_custkey % 4 AS bearing, o_orderstatus AS setting FROM orders),
+sz AS (SELECT class, bearing, setting, count(*) AS size FROM un GROUP BY ALL),
+asked AS (SELECT class, n - 2 * v AS tr, v AS va, v AS te, k FROM (
+  SELECT class, sum(size)::BIGINT AS n, count(*) AS k, greatest(1, round_even(sum(size) * 0.2::DOUBLE, 0))::BIGINT AS v FROM sz GROUP BY class) WHERE n - 2 * v >= 1),
+tn AS (SELECT sz.*, asked.* EXCLUDE class, row_number() OVER (PARTITION BY class ORDER BY md5(concat_ws('|', bearing, setting, {SEED})), bearing, setting) - 1 AS turn
+  FROM sz JOIN asked USING (class)),
+p1 AS (SELECT *, CASE WHEN tr >= k AND size > 0 THEN 1 ELSE 0 END AS a FROM tn),
+p2 AS (SELECT *, CASE WHEN va >= k AND size > a THEN 1 ELSE 0 END AS b FROM p1),
+p3 AS (SELECT *, CASE WHEN te >= k AND size > a + b THEN 1 ELSE 0 END AS c FROM p2),
+r0 AS (SELECT *, size - a - b - c AS room, tr - sum(a) OVER (PARTITION BY class) AS rem FROM p3),
+l1 AS (SELECT class, max(lv) AS lv, arg_max(used, lv) AS used FROM (
+  SELECT class, lv, sum(least(room, lv)) AS used, max(rem) AS rem FROM r0, range(0, 100000) AS g(lv) WHERE lv <= (SELECT max(size) FROM sz) GROUP BY ALL) WHERE used <= rem GROUP BY class),
+g1 AS (SELECT r0.*, least(room, lv) + CASE WHEN room > lv AND sum(CASE WHEN room > lv THEN 1 ELSE 0 END) OVER (PARTITION BY r0.class ORDER BY turn) <= rem - used THEN 1 ELSE 0 END AS g
+  FROM r0 JOIN l1 ON l1.class = r0.class),
+r1 AS (SELECT * EXCLUDE (room, rem, g), a + g AS q_train, room - g AS room, va - sum(b) OVER (PARTITION BY class) AS rem, (turn + k - 1) % k AS place FROM g1),
+l2 AS (SELECT class, max(lv) AS lv, arg_max(used, lv) AS used FROM (
+  SELECT class, lv, sum(least(room, lv)) AS used, max(rem) AS rem FROM r1, range(0, 100000) AS g(lv) WHERE lv <= (SELECT max(size) FROM sz) GROUP BY ALL) WHERE used <= rem GROUP BY class),
+q AS (SELECT r1.class, bearing, setting, q_train, b + least(room, lv) + CASE WHEN room > lv AND sum(CASE WHEN room > lv THEN 1 ELSE 0 END) OVER (PARTITION BY r1.class ORDER BY place) <= rem - used THEN 1 ELSE 0 END AS q_val
+  FROM r1 JOIN l2 ON l2.class = r1.class),
+rk AS (SELECT *, row_number() OVER (PARTITION BY class, bearing, setting ORDER BY md5(concat_ws('|', unit, {SEED})), unit) AS rk FROM un)"""
+
+
+@query("stratified_cell_split", f"""
+WITH {_DEALT} SELECT unit, class, CASE WHEN rk <= q_train THEN 'train' WHEN rk <= q_train + q_val THEN 'val' ELSE 'test' END AS split
+FROM rk JOIN q USING (class, bearing, setting)
+""")
 def stratified_cell_split(spark, sf):
-    """Orders as units in cells of (bearing, setting), dealt to 60/20/20."""
-    d = splitting.split_stratified(_units(spark, sf), SEED, ["bearing", "setting"])
-    return d.groupBy("class", "bearing", "setting", "split").agg(F.count(F.lit(1)).alias("units"))
+    """Orders as units in cells of (bearing, setting), dealt to 60/20/20; the SQL finds the
+    level to which dealing fills the cells."""
+    return splitting.split_stratified(_units(spark, sf), SEED, ["bearing", "setting"]).select("unit", "class", "split")
 
 
 @query("stratified_split_totals", """

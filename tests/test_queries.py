@@ -28,7 +28,7 @@ def norm(v):
 
 def test_names_and_oracles():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"stratified_cell_split", "ablation_audit"}
+    assert set(QUERIES) - set(ORACLES) == {"ablation_audit"}
 
 
 def test_entry(spark, sf_dir):
