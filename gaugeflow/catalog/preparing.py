@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gaugeflow.catalog.base import GAPPY, MULTIRATE, RUNS, query, r
 from gaugeflow.functions.hashing import uniform
 from gaugeflow.functions.scalars import config_slug, normalized_name
 from gaugeflow.operators import cleaning, selection, splitting, windows as win
-from gaugeflow.plans import domain
+from gaugeflow.plans import domain, preparation
 from gaugeflow.plans.domain import table
+from gaugeflow.session import shared_dir
+from gaugeflow.sources import runfiles
 
 SEED, W, STRIDE = 7, 16, 8
 
@@ -544,3 +548,70 @@ FROM orders GROUP BY ALL
 def config_slugs(spark, sf):
     d = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("config"))
     return d.groupBy("config", config_slug(F.concat(F.lit("w/o "), "config")).alias("slug")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_OWN = "CASE WHEN user_id % 50 = 7 THEN 'S' || user_id ELSE 'C' || (user_id % 5) END"
+_MIXED = RUNS.replace("'C' || (user_id % 5) AS class", f"{_OWN} AS class") + ", " + SPLIT.replace("'C' || (user_id % 5) AS class", f"{_OWN} AS class") + """,
+cuts AS (SELECT *, floor(length * 0.7::DOUBLE)::BIGINT AS b1, floor(length * 0.85::DOUBLE)::BIGINT AS b2 FROM split),
+kind AS (SELECT *, CASE WHEN b1 >= 16 AND b2 - b1 >= 16 AND length - b2 >= 16 THEN 'p' WHEN length >= 48 THEN 'f' WHEN length >= 32 THEN 't' ELSE 'o' END AS way FROM cuts),
+seg AS (
+  SELECT run_id, class, split, 0 AS a, length AS b, 8 AS st FROM kind WHERE n > 1
+  UNION ALL SELECT run_id, class, 'train', 0, CASE way WHEN 'p' THEN b1 WHEN 'f' THEN length - 32 ELSE length - 16 END, 4 FROM kind WHERE n = 1 AND way <> 'o'
+  UNION ALL SELECT run_id, class, 'val', CASE way WHEN 'p' THEN b1 ELSE length - 32 END, CASE way WHEN 'p' THEN b2 ELSE length - 16 END, 4 FROM kind WHERE n = 1 AND way IN ('p', 'f')
+  UNION ALL SELECT run_id, class, 'test', CASE way WHEN 'p' THEN b2 WHEN 'o' THEN 0 ELSE length - 16 END, length, CASE way WHEN 'o' THEN 8 ELSE 4 END FROM kind WHERE n = 1),
+chan AS (SELECT run_id, pos, 'value' AS channel, value FROM runs UNION ALL SELECT run_id, pos, 'level', level FROM runs),
+long AS (SELECT c.run_id, s.class, s.split, s.a, s.st, channel, pos - a AS pos, value FROM chan c JOIN seg s ON c.run_id = s.run_id AND pos >= a AND pos < b),
+stats AS (SELECT channel, avg(value) AS mean, stddev_pop(value) AS std FROM long WHERE split = 'train' GROUP BY channel),
+z AS (SELECT * REPLACE ((value - mean) / CASE WHEN std < 1e-8 THEN 1 ELSE std END AS value) FROM long JOIN stats USING (channel)),
+w AS (SELECT run_id, class, split, a, st, channel, list(value ORDER BY pos) AS s FROM z GROUP BY ALL),
+ix AS (SELECT *, unnest(range(0, (len(s) - 16) // st + 1)) AS j FROM w WHERE len(s) >= 16)"""
+
+
+def _mixed_samples(spark, sf):
+    """Some runs are the only one of their class."""
+    user = F.substring("run_id", 2, 20).cast("long")
+    own = F.when(user % 50 == 7, F.concat(F.lit("S"), user)).otherwise(F.col("class"))
+    return domain.channel_samples(spark, sf).withColumn("class", own)
+
+
+@query("prepared_windows", f"""
+WITH {_MIXED} SELECT run_id, class, split, channel, a + j * st AS start_pos, {r('list_avg(s[j * st + 1 : j * st + 16])')} AS mean, {r('s[j * st + 16]')} AS last_value FROM ix
+""")
+def prepared_windows(spark, sf):
+    """The whole preparation, with single-run classes split in time."""
+    w = preparation.prepare(_mixed_samples(spark, sf), W, STRIDE, SEED, within_stride=4)
+    mean = F.aggregate("series", F.lit(0.0), lambda a, x: a + x) / F.size("series")
+    return w.select("run_id", "class", "split", "channel", (F.col("from_pos") + F.col("start")).alias("start_pos"),
+                    mean.alias("mean"), F.element_at("series", -1).alias("last_value"))
+
+
+@query("split_warnings", f"""
+WITH {SPLIT.replace("'C' || (user_id % 5) AS class", f"{_OWN} AS class")}, c AS (SELECT class, count(*) AS n, max(length) AS l FROM lens GROUP BY class)
+SELECT class, CASE WHEN n = 1 AND l >= 64 THEN 'one run, split in time' WHEN n = 1 THEN 'one run, too short to split, test only' WHEN n = 2 THEN 'two runs, no val'
+  ELSE 'asked counts do not add up, split in proportion' END AS warning FROM c WHERE n <= 2 OR (class = 'C1' AND n <> 300) UNION ALL SELECT 'C9', 'no runs at all'
+""")
+def split_warnings(spark, sf):
+    user = F.col("user_id")
+    own = F.when(user % 50 == 7, F.concat(F.lit("S"), user)).otherwise(F.concat(F.lit("C"), user % 5))
+    lengths = table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("length")).select(
+        F.concat(F.lit("R"), user).alias("run_id"), own.alias("class"), "length")
+    assigned = splitting.split_runs(lengths, SEED, {"C1": (200, 50, 50)})
+    classes = lengths.select("class").distinct().unionByName(spark.createDataFrame([("C9",)], "class string"))
+    return splitting.split_warnings(assigned, classes, 32)
+
+
+def _scratch(spark, name):
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("scanned_run_files", f"""
+WITH {RUNS} SELECT class, run_id, channel, pos AS file_row, {r('value')} AS value FROM (
+  SELECT class, run_id, pos, 'reading' AS channel, value FROM runs UNION ALL SELECT class, run_id, pos, 'level', level FROM runs)
+""")
+def scanned_run_files(spark, sf):
+    """Runs written as CSV files below class folders, scanned back with the class from the path."""
+    folder = _scratch(spark, "runs")
+    s = domain.samples(spark, sf).select("class", "run_id", F.col("pos").alias("sample"), F.col("value").alias("reading"), "level")
+    s.write.partitionBy("class").option("header", True).csv(folder)
+    d = runfiles.scan_runs(spark, folder, "run_id STRING, sample LONG, reading DOUBLE, level DOUBLE", pos_column="sample", keep=["run_id"])
+    return d.select(F.regexp_extract("path", "class=([^/]+)/", 1).alias("class"), "run_id", "channel", "file_row", "value")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+import uuid
+
+from pyspark.sql import functions as F
 
 from gaugeflow.catalog.base import (
     ALPHA, DEGRADED, ELEMENTS, degradation_sql, epochs_sql, finals_sql, query, r,
@@ -14,6 +16,7 @@ from gaugeflow.operators import cleaning, epochs as ep, evaluation, reports, rou
 from gaugeflow.operators.significance import metric_rows
 from gaugeflow.plans import domain, grids
 from gaugeflow.plans.domain import table
+from gaugeflow.session import shared_dir
 from gaugeflow.sources import runfiles, runlogs, tables
 
 # ---- predictions -----------------------------------------------------------------------
@@ -558,3 +561,25 @@ def tagged_cells(spark, sf):
 @query("sorted_results", f"WITH {finals_sql(by_cell=True)} SELECT cell, config, seed, {r('accuracy')} AS accuracy FROM finals ORDER BY cell, config, seed")
 def sorted_results(spark, sf):
     return domain.finals(spark, sf, True).select("cell", "config", "seed", "accuracy").orderBy("cell", "config", "seed")
+
+
+@query("written_cells", f"""
+WITH {finals_sql(by_cell=True)} SELECT cell, config, count(*) AS n, {r('avg(accuracy)')} AS accuracy_mean, {r('coalesce(stddev_samp(accuracy), 0)')} AS accuracy_std
+FROM finals WHERE cell IN ('A', 'O') GROUP BY ALL
+""")
+def written_cells(spark, sf):
+    """Result tables written once with a folder per cell; a reader opens only the cells it asks for."""
+    path = f"{shared_dir(spark).rstrip('/')}/cells-{uuid.uuid4().hex}"
+    res = reports.results_table(domain.finals(spark, sf, True), ("cell", "config"))
+    tables.write_cells(res.select("cell", "config", "n", "accuracy_mean", "accuracy_std"), path)
+    return spark.read.parquet(path).filter(F.col("cell").isin("A", "O")).select("cell", "config", "n", "accuracy_mean", "accuracy_std")
+
+
+@query("csv_report", f"""
+WITH {epochs_sql()} SELECT config, seed, epoch, {r('rho', 10)} AS rho FROM epochs
+""", digits=10)
+def csv_report(spark, sf):
+    """A training curve exported as CSV and read back with its fixed schema."""
+    path = f"{shared_dir(spark).rstrip('/')}/curve-{uuid.uuid4().hex}"
+    tables.write_report(ep.curve(domain.epochs(spark, sf)), path, csv=True)
+    return tables.read_table(spark, path, tables.RHO_CURVE)

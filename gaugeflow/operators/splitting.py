@@ -204,5 +204,23 @@ def split_summary(assigned: DataFrame, windows: DataFrame, classes: DataFrame) -
     return out.select("class", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in cols])
 
 
+def split_warnings(assigned: DataFrame, classes: DataFrame, window: int) -> DataFrame:
+    """(class, warning) for every departure from the plain protocol.
+
+    ``assigned`` is the output of ``split_runs`` with the length of each run.
+    """
+    per = assigned.groupBy("class").agg(
+        F.count(F.lit(1)).alias("n"), F.max("length").alias("length"), F.max("fell_back").alias("fell_back"))
+    warning = (
+        F.when(F.col("n").isNull(), "no runs at all")
+        .when((F.col("n") == 1) & (F.col("length") >= 2 * window), "one run, split in time")
+        .when(F.col("n") == 1, "one run, too short to split, test only")
+        .when(F.col("n") == 2, "two runs, no val")
+        .when(F.col("fell_back"), "asked counts do not add up, split in proportion")
+    )
+    joined = classes.select("class").join(per, "class", "left")
+    return joined.select("class", warning.alias("warning")).filter("warning IS NOT NULL")
+
+
 def classes_without_runs(classes: DataFrame, runs: DataFrame) -> DataFrame:
     return classes.select("class").join(runs.select("class"), "class", "left_anti")

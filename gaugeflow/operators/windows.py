@@ -93,30 +93,33 @@ def window_count(length, window: int, stride) -> Column:
     return F.when(n >= window, F.floor((n - window) / stride) + 1).otherwise(0).cast("long")
 
 
-def sliding_windows(samples: DataFrame, window: int, stride: int, keys: Sequence[str],
+def sliding_windows(samples: DataFrame, window: int, stride: int | str, keys: Sequence[str],
                     value: str = "value", block_windows: int = 64) -> DataFrame:
     """One row per window and key: win_idx, start and the window's values in order.
 
     A run is never gathered whole. It is cut into blocks of ``block_windows`` strides;
     each block also receives the samples its last windows reach into, so a sample is sent
-    once, or twice near a block border. Positions must run from 0 without gaps.
+    once, or twice near a block border. Positions must run from 0 without gaps. ``stride``
+    is a number or the name of an integer column that is constant per key.
     """
-    per_block = max(block_windows, -(-window // stride))
-    span = per_block * stride
-    reach = max(window - stride, 0)
+    own_stride = isinstance(stride, str)
+    step = F.col(stride) if own_stride else F.lit(stride)
+    by = [*keys, stride] if own_stride and stride not in keys else list(keys)
+    per_block = F.greatest(F.lit(block_windows), F.ceil(F.lit(window) / step).cast("int"))
+    span = per_block * step
     pos = F.col("pos").cast("long")
     own = F.floor(pos / span)
-    blocks = F.when((own > 0) & (pos % span < reach), F.array(own, own - 1)).otherwise(F.array(own))
-    spread = samples.select(*keys, pos.alias("pos"), F.col(value).alias("value")).withColumn("_block", F.explode(blocks))
-    packed = spread.groupBy(*keys, "_block").agg(
+    # the block before still reaches into the first samples of this one
+    blocks = F.when((own > 0) & (pos % span < window - step), F.array(own, own - 1)).otherwise(F.array(own))
+    spread = samples.select(*by, pos.alias("pos"), F.col(value).alias("value")).withColumn("_block", F.explode(blocks))
+    packed = spread.groupBy(*by, "_block").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("_values"))
-    fit = F.least(F.lit(per_block), F.floor((F.size("_values") - window) / stride) + 1).cast("int")
-    cut = packed.filter(F.size("_values") >= window).withColumn(
-        "_j", F.explode(F.sequence(F.lit(0), fit - 1)))
+    fit = F.least(per_block, F.floor((F.size("_values") - window) / step) + 1).cast("int")
+    cut = packed.filter(F.size("_values") >= window).withColumn("_j", F.explode(F.sequence(F.lit(0), fit - 1)))
     index = F.col("_block") * per_block + F.col("_j")
     return cut.select(
         *keys,
         index.alias("win_idx"),
-        (index * stride).alias("start"),
-        F.slice("_values", F.col("_j") * stride + 1, window).alias("series"),
+        (index * step).alias("start"),
+        F.slice("_values", F.col("_j") * step + 1, window).alias("series"),
     )

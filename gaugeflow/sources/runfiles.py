@@ -14,8 +14,9 @@ PROCESS_META = ("faultNumber", "simulationRun", "sample")
 PROCESS_CHANNELS = tuple([f"xmeas_{i}" for i in range(1, 42)] + [f"xmv_{i}" for i in range(1, 12)])
 
 
-def scan_runs(spark: SparkSession, root: str, schema: StructType | str, pos_column: str | None = None) -> DataFrame:
-    """All run files below a folder, in long form with their path.
+def scan_runs(spark: SparkSession, root: str, schema: StructType | str, pos_column: str | None = None,
+              keep: Sequence[str] = ()) -> DataFrame:
+    """All run files below a folder, in long form with their path and the ``keep`` columns.
 
     A position column of the file gives the order of samples. Without one, the order of
     rows is kept by a row number that grows along a file: files are not split, so each is
@@ -27,8 +28,9 @@ def scan_runs(spark: SparkSession, root: str, schema: StructType | str, pos_colu
     wide = reader.csv(root).withColumn("path", F.col("_metadata.file_path"))
     order = F.col(pos_column) if pos_column else F.monotonically_increasing_id()
     wide = wide.withColumn("file_row", order)
-    channels = [c for c in sensor_columns(wide, ("path", "file_row")) if c != pos_column]
-    return to_long(wide, ["path", "file_row"], channels)
+    ids = ["path", "file_row", *keep]
+    channels = [c for c in sensor_columns(wide, ids) if c != pos_column]
+    return to_long(wide, ids, channels)
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
