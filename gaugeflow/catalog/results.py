@@ -7,13 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from gaugeflow.catalog.base import (
-    ALPHA, DEGRADED, ELEMENTS, degradation_sql, epochs_sql, finals_sql, query, r,
+    DEGRADED, ELEMENTS, degradation_sql, epochs_sql, finals_sql, query, r,
 )
 from gaugeflow.functions.scalars import (
-    config_slug, finite, mean_from_text, percent_points, std_from_text, std_or_zero,
+    config_slug, mean_from_text, percent_points, std_from_text, std_or_zero,
 )
 from gaugeflow.operators import cleaning, epochs as ep, evaluation, reports, routing, selection
-from gaugeflow.operators.significance import metric_rows
 from gaugeflow.plans import domain, grids
 from gaugeflow.plans.domain import table
 from gaugeflow.session import shared_dir

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeflow.catalog.base import ALPHA, ELEMENTS, query, r, u
-from gaugeflow.functions.scalars import array_mean, binary_entropy, sigmoid
+from gaugeflow.functions.scalars import binary_entropy, sigmoid
 from gaugeflow.operators import degrade, evaluation, routing, spectral
 from gaugeflow.plans import audit, domain
 

@@ -6,7 +6,6 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from gaugeflow.operators import cleaning
 from gaugeflow.operators.ranking import hash_ranked, sequence_positions

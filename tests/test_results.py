@@ -1,6 +1,5 @@
 """Recorded results of real experiment runs must be reproduced."""
 
-import json
 import math
 
 import pytest
