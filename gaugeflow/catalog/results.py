@@ -10,7 +10,7 @@ from gaugeflow.catalog.base import (
     DEGRADED, ELEMENTS, degradation_sql, epochs_sql, finals_sql, query, r,
 )
 from gaugeflow.functions.scalars import (
-    config_slug, mean_from_text, percent_points, std_from_text, std_or_zero,
+    config_slug, mean_from_text, once, percent_points, std_from_text, std_or_zero,
 )
 from gaugeflow.operators import cleaning, epochs as ep, evaluation, reports, routing, selection
 from gaugeflow.plans import domain, grids
@@ -154,7 +154,7 @@ def _log_lines(spark, sf):
                                F.when(F.col("o_custkey") % 2 == 0, p / 150000).alias("rho")))
     line = F.when(F.col("o_orderstatus") == "F", final).when(F.col("o_orderstatus") == "O", epoch).otherwise('{"epoch": ')
     name = F.concat(config_slug(config), F.lit("_seed"), (F.col("o_custkey") % 400).cast("string"), F.lit(".jsonl"))
-    return o.select(name.alias("file"), F.col("o_orderkey").alias("line_no"), line.alias("line"))
+    return once(o.select("*", name.alias("file"), F.col("o_orderkey").alias("line_no")), "line", line).select("file", "line_no", "line")
 
 
 @query("log_final_records", f"""

@@ -20,6 +20,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(df, name: str, value: Column):
+    """Adds a costly column that later filters and selects read without computing it again.
+
+    Those would otherwise be given the expression itself; a generator between them keeps one
+    evaluation per row.
+    """
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def binary_entropy(a) -> Column:
     """Entropy of a two-way choice in bits; 0 and 1 are moved inside by 1e-12."""
     a = F.least(F.greatest(_c(a), F.lit(EPS)), F.lit(1.0 - EPS))

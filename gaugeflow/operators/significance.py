@@ -124,16 +124,19 @@ def paired_t(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _ranked(d: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rank of each non-zero difference by size (doubled, ties averaged), and its place and
     normal score in value order. A comparison has one row per seed."""
-    size = F.when(F.col("d") != 0, F.abs("d"))
-    d = d.withColumn("size", size)
     whole = Window.partitionBy(*keys)
-    by_size = whole.orderBy("size")  # zero differences are NULL and come first
-    zeros = F.count(F.when(F.col("size").isNull(), 1)).over(whole)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, "size"))
-    d = d.withColumn("ties", F.when(F.col("size").isNotNull(), ties))
-    d = d.withColumn("doubled", F.when(F.col("size").isNotNull(), 2 * (F.rank().over(by_size) - zeros) + F.col("ties") - 1).cast("long"))
-    d = d.withColumn("i", F.row_number().over(whole.orderBy("d", "seed"))).withColumn("_n", F.count(F.lit(1)).over(whole))
-    return d.withColumn("m", normal_quantile((F.col("i") - 0.375) / (F.col("_n") + 0.25)))
+    size = F.col("size")
+    d = d.withColumn("size", F.when(F.col("d") != 0, F.abs("d")))
+    d = d.select(
+        "*", F.count(F.when(size.isNull(), 1)).over(whole).alias("_zeros"), F.count(F.lit(1)).over(whole).alias("_n"),
+        F.count(F.lit(1)).over(Window.partitionBy(*keys, "size")).alias("_same"),
+        F.rank().over(whole.orderBy("size")).alias("_rank"),  # zero differences are NULL and come first
+        F.row_number().over(whole.orderBy("d", "seed")).alias("i"))
+    doubled = 2 * (F.col("_rank") - F.col("_zeros")) + F.col("_same") - 1
+    return d.select(
+        *keys, "a", "b", "d", "size", "i", "_n", F.when(size.isNotNull(), F.col("_same")).alias("ties"),
+        F.when(size.isNotNull(), doubled).cast("long").alias("doubled"),
+        normal_quantile((F.col("i") - 0.375) / (F.col("_n") + 0.25)).alias("m"))
 
 
 def _rank_aggs() -> list[Column]:
@@ -221,31 +224,47 @@ def paired_tests(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _add_shapiro(done.select("*", "sw.*").drop("sw", "n_nonzero", "statistic"))
 
 
-def holm(df: DataFrame, p: str, out: str, family: Sequence[str], key: Sequence[str], missing_as_one: bool = False) -> DataFrame:
-    """Step-down correction within a family of comparisons (one row each).
+def corrected(df: DataFrame, wanted: Sequence[tuple[str, str, str]], family: Sequence[str], key: Sequence[str],
+              missing_as_one: bool = False) -> DataFrame:
+    """Adds corrected p-values for (p column, method, new column); methods are holm and bh.
 
-    Missing p-values are left out of the family, or count as 1 when asked. They sort last,
-    so every correction partitions by the family alone and shares one shuffle.
+    Rows are comparisons, one each. Missing p-values are left out of the family, or count as
+    1 when asked. They sort last, so all corrections partition by the family alone and share
+    one shuffle.
     """
-    value = F.coalesce(finite(p), F.lit(1.0)) if missing_as_one else finite(p)
-    d = df.withColumn("_p", value)
-    order = Window.partitionBy(*family).orderBy(F.asc_nulls_last("_p"), *key)
-    m = F.count("_p").over(Window.partitionBy(*family))
-    step = F.least(F.lit(1.0), (m - F.row_number().over(order) + 1) * F.col("_p"))
-    d = d.withColumn("_v", F.when(F.col("_p").isNotNull(), step))
-    highest = F.max("_v").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumn(out, F.when(F.col("_p").isNotNull(), highest)).drop("_p", "_v")
+    whole = Window.partitionBy(*family)
+    ps = list(dict.fromkeys(p for p, _, _ in wanted))
+    value = {p: F.coalesce(finite(p), F.lit(1.0)) if missing_as_one else finite(p) for p in ps}
+    d = df.select("*", *[value[p].alias(f"_p{i}") for i, p in enumerate(ps)])
+    up = {p: whole.orderBy(F.asc_nulls_last(f"_p{i}"), *key) for i, p in enumerate(ps)}
+    down = {p: whole.orderBy(F.desc_nulls_last(f"_p{i}"), *[F.desc(k) for k in key]) for i, p in enumerate(ps)}
+    d = d.select("*", *[F.count(f"_p{i}").over(whole).alias(f"_m{i}") for i in range(len(ps))],
+                 *[F.row_number().over(up[p]).alias(f"_r{i}") for i, p in enumerate(ps)])
+    steps, out = [], []
+    for j, (p, method, name) in enumerate(wanted):
+        i = ps.index(p)
+        pv, m, rank = F.col(f"_p{i}"), F.col(f"_m{i}"), F.col(f"_r{i}")
+        if method == "holm":
+            step = F.least(F.lit(1.0), (m - rank + 1) * pv)
+            run = F.max(f"_v{j}").over(up[p].rowsBetween(Window.unboundedPreceding, 0))
+        elif method == "bh":
+            step = pv * m / rank
+            run = F.least(F.lit(1.0), F.min(f"_v{j}").over(down[p].rowsBetween(Window.unboundedPreceding, 0)))
+        else:
+            raise ValueError(f"unknown correction {method!r}")
+        steps.append(F.when(pv.isNotNull(), step).alias(f"_v{j}"))
+        out.append(F.when(pv.isNotNull(), run).alias(name))
+    return d.select("*", *steps).select(*df.columns, *out)
+
+
+def holm(df: DataFrame, p: str, out: str, family: Sequence[str], key: Sequence[str], missing_as_one: bool = False) -> DataFrame:
+    """Step-down correction: the running maximum of (m - rank + 1) p."""
+    return corrected(df, [(p, "holm", out)], family, key, missing_as_one)
 
 
 def benjamini_hochberg(df: DataFrame, p: str, out: str, family: Sequence[str], key: Sequence[str]) -> DataFrame:
-    """False-discovery correction; the running minimum goes from the largest p down."""
-    d = df.withColumn("_p", finite(p))
-    m = F.count("_p").over(Window.partitionBy(*family))
-    up = Window.partitionBy(*family).orderBy(F.asc_nulls_last("_p"), *key)
-    down = Window.partitionBy(*family).orderBy(F.desc_nulls_last("_p"), *[F.desc(k) for k in key])
-    d = d.withColumn("_v", F.col("_p") * m / F.row_number().over(up))
-    lowest = F.least(F.lit(1.0), F.min("_v").over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.withColumn(out, F.when(F.col("_p").isNotNull(), lowest)).drop("_p", "_v")
+    """False-discovery correction: the running minimum of m p / rank from the largest p down."""
+    return corrected(df, [(p, "bh", out)], family, key)
 
 
 def tost(pairs: DataFrame, keys: Sequence[str], margins: Sequence[float] = EQUIVALENCE_MARGINS) -> DataFrame:
@@ -266,9 +285,8 @@ def compare(pairs: DataFrame, keys: Sequence[str] = ("metric", "config"), family
     """All tests of each comparison, corrected within the family, with its tier."""
     keys = list(keys)
     tests = paired_tests(pairs, keys).filter("n >= 2")
-    for p, name in (("t_p", "t"), ("wilcoxon_p", "wilcoxon")):
-        tests = holm(tests, p, f"{name}_holm_p", family, keys)
-        tests = benjamini_hochberg(tests, p, f"{name}_bh_p", family, keys)
+    wanted = [(p, method, f"{name}_{method}_p") for p, name in (("t_p", "t"), ("wilcoxon_p", "wilcoxon")) for method in ("holm", "bh")]
+    tests = corrected(tests, wanted, family, keys)
     return tests.withColumn("tier", tier("t_p", "t_holm_p"))
 
 

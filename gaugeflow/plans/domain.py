@@ -65,13 +65,15 @@ def multirate(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_tax", "l_discount", *order)
     placed = sequence_positions(li, ["l_suppkey"], order, "l_shipdate").withColumnRenamed("l_suppkey", "unit")
-    at, tenth = F.col("pos"), F.col("pos") % 10 == 0
-    slow_at = F.floor(at / 10).cast("long")
-    readings = F.array(
-        F.struct(F.lit("vibration").alias("channel"), at.alias("pos"), F.col("l_quantity").alias("value")),
-        F.when(tenth, F.struct(F.lit("force").alias("channel"), slow_at.alias("pos"), F.col("l_tax").alias("value"))),
-        F.when(tenth, F.struct(F.lit("torque").alias("channel"), slow_at.alias("pos"), F.col("l_discount").alias("value"))))
-    return placed.select("unit", F.explode(F.filter(readings, lambda x: x.isNotNull())).alias("_s")).select("unit", "_s.*")
+    at, slow_at = F.col("pos"), F.floor(F.col("pos") / 10).cast("long")
+
+    def reading(channel, pos, value):
+        return F.struct(F.lit(channel).alias("channel"), pos.alias("pos"), F.col(value).alias("value"))
+
+    fast = reading("vibration", at, "l_quantity")
+    all_three = F.array(fast, reading("force", slow_at, "l_tax"), reading("torque", slow_at, "l_discount"))
+    readings = F.when(at % 10 == 0, all_three).otherwise(F.array(fast))
+    return placed.select("unit", F.explode(readings).alias("_s")).select("unit", "_s.*")
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:

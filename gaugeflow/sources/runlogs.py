@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gaugeflow.functions.scalars import config_slug, finite
+from gaugeflow.functions.scalars import config_slug, finite, once
 
 LOG_NAME = r"^(.+)_seed(\d+)\.jsonl$"
 
@@ -34,12 +34,9 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """Adds config slug and seed of the file name and the parsed record ``rec``; files with
     other names are left out, a malformed line has ``rec._bad``."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    return (
-        lines.filter(F.col("file").rlike(LOG_NAME))
-        .withColumn("slug", F.regexp_extract("file", LOG_NAME, 1))
-        .withColumn("seed", F.regexp_extract("file", LOG_NAME, 2).cast("int"))
-        .withColumn("rec", F.from_json("line", LINE_SCHEMA, options))
-    )
+    named = lines.filter(F.col("file").rlike(LOG_NAME)).select(
+        "*", F.regexp_extract("file", LOG_NAME, 1).alias("slug"), F.regexp_extract("file", LOG_NAME, 2).cast("int").alias("seed"))
+    return once(named, "rec", F.from_json("line", LINE_SCHEMA, options))
 
 
 def malformed_lines(parsed: DataFrame) -> DataFrame:
