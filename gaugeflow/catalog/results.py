@@ -12,7 +12,7 @@ from gaugeflow.catalog.base import (
 from gaugeflow.functions.scalars import (
     config_slug, mean_from_text, once, percent_points, std_from_text, std_or_zero,
 )
-from gaugeflow.operators import cleaning, epochs as ep, evaluation, reports, routing, selection
+from gaugeflow.operators import cleaning, epochs as ep, evaluation, reports, selection
 from gaugeflow.plans import domain, grids
 from gaugeflow.plans.domain import table
 from gaugeflow.session import shared_dir
@@ -36,8 +36,7 @@ pr AS (SELECT window_id, y_true, y_pred FROM (SELECT *, row_number() OVER (PARTI
 def _nearest(spark, sf):
     """Nearest-centroid class of every window."""
     d = domain.vectors(spark, sf).withColumn("y_true", F.concat(F.lit("L"), "label"))
-    scores = evaluation.centroid_scores(d, evaluation.centroids(d, "y_true", "vector"), ["window_id", "y_true"], "y_true", "vector")
-    return routing.argmax_class(scores, ["window_id", "y_true"])
+    return evaluation.nearest_class(d, evaluation.centroids(d, "y_true", "vector"), ["window_id", "y_true"], "y_true", "vector")
 
 
 @query("accuracy_and_macro_f1", f"""

@@ -134,9 +134,8 @@ def fault_accuracy(spark, sf):
     whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("channel", "series"))), lambda s: s["series"]))
     vec = d.groupBy("degradation", "window_id", "class").agg(whole.alias("vector"))
     clean = w.groupBy("window_id", "class").agg(whole.alias("vector"))
-    scores = evaluation.centroid_scores(vec.withColumnRenamed("class", "y_true"), evaluation.centroids(clean, "class", "vector"),
-                                        ["degradation", "window_id", "y_true"], "class", "vector")
-    preds = routing.argmax_class(scores, ["degradation", "window_id", "y_true"])
+    preds = evaluation.nearest_class(vec.withColumnRenamed("class", "y_true"), evaluation.centroids(clean, "class", "vector"),
+                                     ["degradation", "window_id", "y_true"], "class", "vector")
     return evaluation.accuracy_macro_f1(preds, ["degradation"]).select("degradation", "n", "accuracy")
 
 

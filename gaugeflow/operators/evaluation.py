@@ -101,6 +101,15 @@ def centroid_scores(df: DataFrame, centres: DataFrame, keys: Sequence[str], labe
                          (-F.sqrt(squared_distance(F.col("_v"), F.col("_c.centroid")))).alias("score"))
 
 
+def nearest_class(df: DataFrame, centres: DataFrame, keys: Sequence[str], label: str, vector: str, out: str = "y_pred") -> DataFrame:
+    """Class of the nearest centroid, the lowest label on a tie, found inside each row:
+    scores of all classes are neither written out nor shuffled."""
+    table = centres.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("class"), "centroid"))).alias("t"))
+    d = df.select(*keys, F.col(vector).alias("_v"), table.scalar().alias("_t"))
+    reached = F.transform("_t", lambda c: F.struct(squared_distance(F.col("_v"), c["centroid"]).alias("d"), c["class"].alias("class")))
+    return d.select(*keys, F.array_min(reached)["class"].alias(out))
+
+
 def silhouette(sample: DataFrame, key: str, label: str, vector: str, blocks: int = 8, limit: int = 20_000) -> DataFrame:
     """Mean silhouette (Euclidean) of a bounded sample.
 

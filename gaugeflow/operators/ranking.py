@@ -41,7 +41,10 @@ def _rank_chunks(df: DataFrame, group: Sequence[str], chunk: str, order: Sequenc
     if sizes is None:
         sizes = _sizes(df, keys)
     local = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    ranked = df.withColumn("_local", local).join(_offsets(sizes, group, chunk, "_size"), keys)
+    offsets = _offsets(sizes, group, chunk, "_size").withColumnsRenamed({k: f"_o_{k}" for k in keys})
+    # null-safe: rows without a group or a time are ranked among themselves, not lost
+    same = [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys]
+    ranked = df.withColumn("_local", local).join(offsets, same).drop(*[f"_o_{k}" for k in keys])
     out = ranked.withColumn(rank, (F.col("_before") + F.col("_local")).cast("long"))
     if total:
         out = out.withColumn(total, F.col("_total").cast("long"))
@@ -60,6 +63,16 @@ def hash_ranked(df: DataFrame, group: Sequence[str], key: Sequence[str], seed: i
     return _rank_chunks(hashed, group, "_chunk", order, rank, total).drop("_hash")
 
 
+def _as_number(df: DataFrame, name: str) -> Column:
+    """A number that never decreases where the column increases."""
+    kind, c = dict(df.dtypes)[name], F.col(name)
+    if kind == "timestamp":
+        return F.unix_micros(c)
+    if kind == "timestamp_ntz":  # by its clock reading: no time zone, no daylight saving
+        return F.unix_date(F.to_date(c)) * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    return F.unix_date(c) if kind == "date" else c
+
+
 def sequence_positions(df: DataFrame, group: Sequence[str], order: Sequence[str], grid: str,
                        pos: str = "pos", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """0-based position of each row of its group in ``order`` (a total order).
@@ -70,11 +83,7 @@ def sequence_positions(df: DataFrame, group: Sequence[str], order: Sequence[str]
     still too large, for example one busy instant, rows are range-partitioned by the
     full order, which splits any group.
     """
-    lead = F.col(grid)
-    if dict(df.dtypes)[grid] in ("timestamp", "timestamp_ntz"):
-        lead = F.unix_micros(F.to_timestamp(lead))
-    elif dict(df.dtypes)[grid] == "date":
-        lead = F.unix_date(lead)
+    lead = _as_number(df, grid)
     cols = [F.col(c) for c in order]
     rows = df.count()
     if rows <= chunk_rows:
@@ -82,8 +91,9 @@ def sequence_positions(df: DataFrame, group: Sequence[str], order: Sequence[str]
         return df.withColumn(pos, (at - 1).cast("long"))
     span = df.agg(F.min(lead).alias("lo"), F.max(lead).alias("hi")).first()
     steps = max(1, -(-rows * 8 // chunk_rows))
-    width = (float(span["hi"]) - float(span["lo"])) / steps or 1.0
-    stepped = df.withColumn("_chunk", F.floor((lead - F.lit(span["lo"])) / F.lit(width)))
+    lo, hi = (float(span[k] or 0) for k in ("lo", "hi"))
+    width = (hi - lo) / steps or 1.0
+    stepped = df.withColumn("_chunk", F.floor((lead.cast("double") - lo) / width))
     sizes = checkpointed(_sizes(stepped, [*group, "_chunk"]))  # read twice: here and for the offsets
     if sizes.agg(F.max("_size")).first()[0] > chunk_rows:
         parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // chunk_rows))

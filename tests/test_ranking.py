@@ -42,6 +42,27 @@ def test_positions_do_not_depend_on_partitions(spark, skewed):
     assert a.exceptAll(b).count() == 0 and a.count() == b.count()
 
 
+@pytest.mark.parametrize("chunk_rows", [1000, 40, 5])
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date"])
+def test_positions_by_time(spark, kind, chunk_rows):
+    """Clock readings around a change to summer time, and rows without group or time."""
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        rows = [("g" if i % 4 else None, f"2024-03-31 0{1 + i % 3}:{i % 60:02d}:00" if i % 7 else None, i) for i in range(120)]
+        df = spark.createDataFrame(rows, "g string, s string, id long").selectExpr("g", f"cast(s as {kind}) as t", "id")
+        a = sequence_positions(df, ["g"], ["t", "id"], "t", chunk_rows=chunk_rows)
+        b = sequence_positions(df, ["g"], ["t", "id"], "t")
+        assert a.count() == 120 and a.exceptAll(b).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_hash_ranks_keep_rows_without_group(spark):
+    df = spark.createDataFrame([(None, i) for i in range(5)] + [("a", i) for i in range(3)], "g string, id long")
+    got = sorted((r.g or "", r["rank"], r.n) for r in hash_ranked(df, ["g"], ["id"], 1).collect())
+    assert got == [("", k, 5) for k in range(1, 6)] + [("a", k, 3) for k in range(1, 4)]
+
+
 def test_hash_ranks(spark, skewed):
     rows, df = skewed
     got = {(r.g, r.id): (r.rank, r.n) for r in hash_ranked(df.select("g", "id"), ["g"], ["id"], 9).collect()}
