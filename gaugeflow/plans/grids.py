@@ -7,30 +7,30 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Class names in label order, and other names a folder or file may use.
+# Class names in label order, and other names a folder or file may use for them.
 PLANT_CLASSES = (
     "Normal", "ATWS", "FLB", "LACP", "LLB", "LOCA", "LOCAC", "LOF", "LR",
     "MD", "RI", "RW", "SGATR", "SGBTR", "SLBIC", "SLBOC", "SP", "TT",
 )
 PLANT_ALIASES = {
-    "Normal": ("NORM", "NORMALOPERATION", "BASELINE"),
-    "ATWS": ("ANTICIPATEDTRANSIENTWITHOUTSCRAM",),
-    "FLB": ("FEEDWATERLINEBREAK", "FWLB"),
-    "LACP": ("LOSSOFACPOWER", "LOSSOFAC"),
-    "LLB": ("LETDOWNLINEBREAK",),
-    "LOCA": ("LOSSOFCOOLANTACCIDENT",),
-    "LOCAC": ("LOSSOFCOOLANTACCIDENTCOLDLEG", "COLDLEGLOCA"),
-    "LOF": ("LOSSOFFLOW",),
-    "LR": ("LOADREJECTION", "LOSSOFREGULATION"),
-    "MD": ("MALFUNCTION", "MALFUNCTIONDISTURBANCE"),
-    "RI": ("REACTIVITYINSERTION",),
-    "RW": ("RODWITHDRAWAL", "REACTIVITYWITHDRAWAL"),
-    "SGATR": ("SGTRLOOPA", "SGTUBERUPTUREA"),
-    "SGBTR": ("SGTRLOOPB", "SGTUBERUPTUREB"),
-    "SLBIC": ("STEAMLINEBREAKINSIDECONTAINMENT", "SLBINSIDECONTAINMENT"),
-    "SLBOC": ("STEAMLINEBREAKOUTSIDECONTAINMENT", "SLBOUTSIDECONTAINMENT"),
-    "SP": ("SPURIOUS", "SPURIOUSTRIP"),
-    "TT": ("TURBINETRIP",),
+    "NORM": "Normal", "NORMALOPERATION": "Normal", "BASELINE": "Normal",
+    "ANTICIPATEDTRANSIENTWITHOUTSCRAM": "ATWS",
+    "FEEDWATERLINEBREAK": "FLB", "FWLB": "FLB",
+    "LOSSOFACPOWER": "LACP", "LOSSOFAC": "LACP",
+    "LETDOWNLINEBREAK": "LLB",
+    "LOSSOFCOOLANTACCIDENT": "LOCA",
+    "LOSSOFCOOLANTACCIDENTCOLDLEG": "LOCAC", "COLDLEGLOCA": "LOCAC",
+    "LOSSOFFLOW": "LOF",
+    "LOADREJECTION": "LR", "LOSSOFREGULATION": "LR",
+    "MALFUNCTION": "MD", "MALFUNCTIONDISTURBANCE": "MD",
+    "REACTIVITYINSERTION": "RI",
+    "RODWITHDRAWAL": "RW", "REACTIVITYWITHDRAWAL": "RW",
+    "SGTRLOOPA": "SGATR", "SGTRLOOPB": "SGBTR",
+    "SGTUBERUPTUREA": "SGATR", "SGTUBERUPTUREB": "SGBTR",
+    "STEAMLINEBREAKINSIDECONTAINMENT": "SLBIC", "SLBINSIDECONTAINMENT": "SLBIC",
+    "STEAMLINEBREAKOUTSIDECONTAINMENT": "SLBOC", "SLBOUTSIDECONTAINMENT": "SLBOC",
+    "SPURIOUS": "SP", "SPURIOUSTRIP": "SP",
+    "TURBINETRIP": "TT",
 }
 # The compared configurations. Columns: name, use_temporal, use_spectral,
 # fusion, gating, spectral_frontend, r1_balanced, r2_load_balanced, r2_gumbel.
@@ -78,7 +78,7 @@ def class_table(spark: SparkSession, classes: Sequence[str] = PLANT_CLASSES) ->
 def alias_table(spark: SparkSession) -> DataFrame:
     """Normalized alias to class name, the class names themselves included."""
     rows = [(re.sub("[^A-Z0-9]", "", c.upper()), c) for c in PLANT_CLASSES]
-    rows += [(a, c) for c, names in PLANT_ALIASES.items() for a in names]
+    rows += list(PLANT_ALIASES.items())
     return spark.createDataFrame(rows, "alias string, class string")
 
 
