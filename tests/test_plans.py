@@ -76,3 +76,24 @@ def test_summary_and_warnings(spark, samples, windows):
     runs = splitting.split_runs(lengths, 3, {"A": (5, 1, 1)})
     warn = {r["class"]: r.warning for r in splitting.split_warnings(runs, classes, 16).collect()}
     assert warn == {"A": "asked counts do not add up, split in proportion", "C": "two runs, no val", "brief": "one run, split in time", "none": "no runs at all"}
+
+
+def test_functions_travel_without_the_package(tmp_path):
+    """Executors have no copy of the package: its functions must be sent whole."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from gaugeflow.functions import distributions
+    from gaugeflow.operators import spectral
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps((spectral.band_log_power.func, distributions.t_upper)))
+    code = (
+        "import pickle, pandas as pd; f, t = pickle.load(open('f.pkl', 'rb'));"
+        "print(len(next(f(iter([pd.Series([[float(i % 7) for i in range(64)]])])))[0]), float(t(0.0, 5)))"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert out.stdout.split() == ["40", "0.5"], out.stderr
