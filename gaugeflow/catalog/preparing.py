@@ -68,10 +68,10 @@ SELECT class, count(CASE WHEN split = 'train' THEN 1 END) AS train_runs, count(C
 FROM w GROUP BY class UNION ALL SELECT 'C9', 0, 0, 0, 0, 0, 0
 """)
 def split_window_summary(spark, sf):
-    """Runs to a stratified split, train-only scaling and windows, counted per class."""
+    """Runs and windows of each class in each split of a stratified split."""
     classes = spark.createDataFrame([(f"C{i}",) for i in (0, 1, 2, 3, 4, 9)], "class string")
-    # every channel of a run has the same windows: counting one of them is enough
-    return splitting.split_summary(_split(spark, sf), _windows(spark, sf).filter("channel = 'value'"), classes)
+    segments = preparation.assign_segments(_lengths(spark, sf), W, STRIDE, SEED)
+    return splitting.split_summary(segments, classes, W)
 
 
 @query("run_split", f"WITH {SPLIT} SELECT run_id, class, length, n, split FROM split")
@@ -585,6 +585,18 @@ def prepared_windows(spark, sf):
                     mean.alias("mean"), F.element_at("series", -1).alias("last_value"))
 
 
+@query("prepared_class_summary", f"""
+WITH {_MIXED}, v AS (SELECT class, split, channel, list_avg(s[j * st + 1 : j * st + 16]) AS m FROM ix)
+SELECT class, split, channel, count(*) AS windows, {r('avg(m)')} AS mean, {r('coalesce(stddev_samp(m), 0)')} AS spread FROM v GROUP BY ALL
+""")
+def prepared_class_summary(spark, sf):
+    """Runs to splits, train-only scaling and windows, then window means per class and split."""
+    w = preparation.prepare(_mixed_samples(spark, sf), W, STRIDE, SEED, within_stride=4)
+    m = w.select("class", "split", "channel", (F.aggregate("series", F.lit(0.0), lambda a, x: a + x) / F.size("series")).alias("m"))
+    return m.groupBy("class", "split", "channel").agg(
+        F.count(F.lit(1)).alias("windows"), F.avg("m").alias("mean"), F.coalesce(F.stddev_samp("m"), F.lit(0.0)).alias("spread"))
+
+
 @query("split_warnings", f"""
 WITH {SPLIT.replace("'C' || (user_id % 5) AS class", f"{_OWN} AS class")}, c AS (SELECT class, count(*) AS n, max(length) AS l FROM lens GROUP BY class)
 SELECT class, CASE WHEN n = 1 AND l >= 64 THEN 'one run, split in time' WHEN n = 1 THEN 'one run, too short to split, test only' WHEN n = 2 THEN 'two runs, no val'

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugeflow.functions.hashing import key_hash
 from gaugeflow.operators.ranking import hash_ranked
+from gaugeflow.operators.windows import window_count
 
 SPLITS = ("train", "val", "test")
 
@@ -190,16 +191,17 @@ def uncovered_cells(df: DataFrame, cell: Sequence[str], splits: Sequence[str] =
     return wanted.join(seen, [*cell, "split"], "left_anti")
 
 
-def split_summary(assigned: DataFrame, windows: DataFrame, classes: DataFrame) -> DataFrame:
+def split_summary(segments: DataFrame, classes: DataFrame, window: int) -> DataFrame:
     """Runs and windows of each class in each split; classes without runs show zeros.
 
-    ``assigned`` has one row per run (or segment of a run) and split, ``windows`` one per window.
+    ``segments`` has one row per run (or part of a run): class, split, from_pos, to_pos and
+    stride. The windows follow from the lengths, so no sample is read for this table.
     """
-    runs = assigned.groupBy("class").agg(
-        *[F.count(F.when(F.col("split") == s, 1)).alias(f"{s}_runs") for s in SPLITS])
-    wins = windows.groupBy("class").agg(
-        *[F.count(F.when(F.col("split") == s, 1)).alias(f"{s}_windows") for s in SPLITS])
-    out = classes.join(runs, "class", "left").join(wins, "class", "left")
+    wins = window_count(F.col("to_pos") - F.col("from_pos"), window, F.col("stride"))
+    found = segments.groupBy("class").agg(
+        *[F.count(F.when(F.col("split") == s, 1)).alias(f"{s}_runs") for s in SPLITS],
+        *[F.sum(F.when(F.col("split") == s, wins)).alias(f"{s}_windows") for s in SPLITS])
+    out = classes.join(found, "class", "left")
     cols = [f"{s}_runs" for s in SPLITS] + [f"{s}_windows" for s in SPLITS]
     return out.select("class", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in cols])
 

@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from gaugeflow.operators.splitting import WITHIN_RUN_STRIDE, split_runs, split_within_run
 from gaugeflow.operators.windows import sliding_windows, zscore_by_train
+from gaugeflow.session import checkpointed
 
 
 def run_lengths(samples: DataFrame) -> DataFrame:
-    """(run_id, class, length); positions run from 0 without gaps."""
-    return samples.groupBy("run_id", "class").agg((F.max("pos") + 1).alias("length"))
+    """(run_id, class, length), counted: positions run from 0 without gaps, so they need not
+    be worked out for this."""
+    per_channel = samples.groupBy("run_id", "class", "channel").agg(F.count(F.lit(1)).alias("n"))
+    return per_channel.groupBy("run_id", "class").agg(F.max("n").alias("length"))
 
 
 def assign_segments(lengths: DataFrame, window: int, stride: int, seed: int,
@@ -34,9 +37,10 @@ def prepare(samples: DataFrame, window: int, stride: int, seed: int, exact: Mapp
     """Windows (run_id, class, split, from_pos, channel, win_idx, start, series).
 
     Split by run, scaling by train samples alone, windows inside segments: no window and no
-    statistic ever crosses a split.
+    statistic ever crosses a split. The segments, about one row per run, are written once,
+    because both the statistics and the windows join them.
     """
-    segments = assign_segments(run_lengths(samples), window, stride, seed, exact, within_stride).drop("class")
+    segments = checkpointed(assign_segments(run_lengths(samples), window, stride, seed, exact, within_stride).drop("class"))
     placed = samples.join(segments, "run_id").filter("pos >= from_pos AND pos < to_pos").withColumn("pos", F.col("pos") - F.col("from_pos"))
     keys = ["run_id", "class", "split", "from_pos", "channel"]
     return sliding_windows(zscore_by_train(placed), window, "stride", keys)

@@ -70,8 +70,10 @@ def test_summary_and_warnings(spark, samples, windows):
     lengths = preparation.run_lengths(samples)
     seg = preparation.assign_segments(lengths, 16, 8, 3, within_stride=4)
     classes = spark.createDataFrame([(c,) for c in ("A", "C", "brief", "none")], "class string")
-    got = {r["class"]: r for r in splitting.split_summary(seg, windows.filter("channel = 'x'"), classes).collect()}
+    got = {r["class"]: r for r in splitting.split_summary(seg, classes, 16).collect()}
     assert (got["A"].train_runs, got["A"].train_windows) == (6, 24) and (got["brief"].val_runs, got["brief"].test_windows) == (0, 1)
+    counted = windows.filter("channel = 'x' AND class = 'A'").groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in counted} == {s: got["A"][f"{s}_windows"] for s in splitting.SPLITS}
     assert got["none"].train_runs == got["none"].test_windows == 0
     runs = splitting.split_runs(lengths, 3, {"A": (5, 1, 1)})
     warn = {r["class"]: r.warning for r in splitting.split_warnings(runs, classes, 16).collect()}

@@ -32,9 +32,9 @@ def test_names_and_oracles():
 
 
 def test_entry(spark, sf_dir):
-    rows = {r["class"]: r for r in entry.entry(spark).collect()}
-    assert len(rows) == 6
-    assert rows["C9"].train_runs == rows["C9"].test_windows == 0
+    df = entry.entry(spark)
+    assert df.columns == ["class", "split", "channel", "windows", "mean", "spread"]
+    assert {r.channel for r in df.collect()} == {"value", "level"}
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
