@@ -12,8 +12,14 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+
+def _lgamma(x):
+    return np.vectorize(math.lgamma, otypes=[float])(x)
+
+
+def _erfc(x):
+    return np.vectorize(math.erfc, otypes=[float])(x)
+
 
 
 def _beta_fraction(a, b, x):
