@@ -21,7 +21,6 @@ def _erfc(x):
     return np.vectorize(math.erfc, otypes=[float])(x)
 
 
-
 def _beta_fraction(a, b, x):
     """Continued fraction of the incomplete beta function (modified Lentz)."""
     tiny = 1e-300
