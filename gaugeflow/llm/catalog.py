@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeflow.llm import simhash
+from gaugeflow.llm import merkle, mixing, packing, pieces, sharding, simhash
 from gaugeflow.llm.common import as_unsigned
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,3 +34,33 @@ def op9(spark, sf_dir):
     """SimHash classes of all documents."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", as_unsigned(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op2_token_counts")
+def op2(spark, sf_dir):
+    """Greedy word-piece counts of all documents."""
+    return pieces.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op4_extendible_shards")
+def op4(spark, sf_dir):
+    """Shards of all documents, none over the byte limit unless one document is."""
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
+@query("op6_source_mixing")
+def op6(spark, sf_dir):
+    """Words that the mix takes of every document."""
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
+@query("op8_sequence_packing")
+def op8(spark, sf_dir):
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op10_merkle_fingerprints")
+def op10(spark, sf_dir):
+    """Tree fingerprints of all documents and of their edited texts."""
+    return merkle.versions(table(spark, sf_dir, "documents"))
