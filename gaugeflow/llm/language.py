@@ -104,7 +104,7 @@ def text_evidence(rows: DataFrame, model: dict, markup: bool) -> DataFrame:
                     out.append([-1e6] * len(names) + [0.0])
                     continue
                 mean = logs[g].mean(0)
-                floor = max(m - DEVIATIONS * s * max(1.0, 3.0 / math.sqrt(len(g))) for m, s in typical)
+                floor = min(m - DEVIATIONS * s * max(1.0, 3.0 / math.sqrt(len(g))) for m, s in typical)
                 out.append([*(mean * min(len(g), EVIDENCE)), floor * min(len(g), EVIDENCE)])
             yield pa.record_batch([*[b.column(f.name) for f in others], pa.array(out, pa.list_(pa.float64()))],
                                   names=[*[f.name for f in others], "evidence"])
