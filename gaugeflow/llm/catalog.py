@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeflow.llm import merkle, mixing, packing, pieces, sharding, simhash
+from gaugeflow.llm import html, language, merkle, mixing, ngrams, packing, pieces, sharding, simhash, vectors
 from gaugeflow.llm.common import as_unsigned
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +64,27 @@ def op8(spark, sf_dir):
 def op10(spark, sf_dir):
     """Tree fingerprints of all documents and of their edited texts."""
     return merkle.versions(table(spark, sf_dir, "documents"))
+
+
+@query("op1_html_main_text")
+def op1(spark, sf_dir):
+    """Main text of all pages."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op3_embedding_near_dedup")
+def op3(spark, sf_dir):
+    """Links and classes of all embeddings."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_language_id")
+def op5(spark, sf_dir):
+    """Language of all pages, from text, markup, address and host."""
+    return language.identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@query("op7_ngram_scores")
+def op7(spark, sf_dir):
+    """Model and base scores of all documents."""
+    return ngrams.scores(table(spark, sf_dir, "documents"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 from collections.abc import Callable
@@ -95,3 +96,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
+def cut_words(text: str, starts: list[int], size: int) -> str:
+    """The words starts[i] to starts[i] + size - 1 of a text with what stands between them, one blank between pieces."""
+    spans = [m.span() for m in re.finditer(WORD, text)]
+    merged: list[list[int]] = []
+    for s in starts:
+        end = min(s + size, len(spans))
+        if merged and merged[-1][1] == s:
+            merged[-1][1] = end
+        else:
+            merged.append([s, end])
+    return " ".join(text[spans[a][0]:spans[b - 1][1]] for a, b in merged)
