@@ -99,13 +99,16 @@ def crossover(a: list[list[int]], b: list[list[int]], sizes, capacity: int, rng)
             displaced += [i for i in x if i not in given]
         else:
             kept.append(x)
-    # the emptiest bin is opened too, so that its pieces can find a better place
+    # the emptiest bin and a few others are opened too, so that their pieces can find better places
     if kept:
         worst = min(range(len(kept)), key=lambda j: sum(sizes[i] for i in kept[j]))
         displaced += kept.pop(worst)
+        for _ in range(min(len(kept), int(rng.integers(0, 4)))):
+            displaced += kept.pop(int(rng.integers(len(kept))))
     bins = [list(x) for x in [*chosen, *kept]]
     free = [capacity - sum(sizes[i] for i in x) for x in bins]
-    best_fit(bins, free, sorted(displaced, key=lambda i: -sizes[i]), sizes, capacity)
+    noise = rng.normal(1, 0.2 * rng.integers(0, 2), len(sizes))
+    best_fit(bins, free, sorted(displaced, key=lambda i: -sizes[i] * noise[i]), sizes, capacity)
     return bins
 
 
