@@ -108,7 +108,8 @@ def deal_quotas(cells: DataFrame, counts: DataFrame, seed: int, cell: Sequence[s
     the work per class grows with its cells, not its units.
     """
     order = Window.partitionBy(group).orderBy(key_hash(*cell, seed), *cell)
-    table = cells.withColumn("_turn", F.row_number().over(order)).join(counts, group)
+    asked = counts.withColumnRenamed(group, "_class")
+    table = cells.withColumn("_turn", F.row_number().over(order)).join(asked, F.col(group).eqNullSafe(F.col("_class"))).drop("_class")
     schema = table.select(group, *cell).schema.add("q_train", "long").add("q_val", "long").add("q_test", "long")
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -141,19 +142,28 @@ def deal_quotas(cells: DataFrame, counts: DataFrame, seed: int, cell: Sequence[s
 
 def split_stratified(units: DataFrame, seed: int, cell: Sequence[str], key: str = "unit",
                      group: str = "class") -> DataFrame:
-    """60/20/20 split of units with every (group, cell) represented in every split it can be."""
+    """60/20/20 split of units with every (group, cell) represented in every split it can be.
+
+    A class too small for these counts takes the proportional split, whatever its cells; NULL
+    classes and cells are classes and cells of their own. Every unit comes out once.
+    """
     keys = [group, *cell]
     sizes = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
     counts = sizes.groupBy(group).agg(F.sum("size").alias("n")).select(
         group, sixty_twenty_counts(F.col("n")).alias("_s")).filter("_s IS NOT NULL").select(group, "_s.*")
-    quotas = deal_quotas(sizes, counts, seed, cell, group)
-    ranked = hash_ranked(units, keys, [key], seed, rank="_rank", total=None)
+    quotas = deal_quotas(sizes, counts, seed, cell, group).withColumnsRenamed({k: f"_q_{k}" for k in keys})
+    ranked = hash_ranked(units, keys, [key], seed, rank="_rank", total=None).join(
+        quotas, [F.col(k).eqNullSafe(F.col(f"_q_{k}")) for k in keys], "left")
     split = (
         F.when(F.col("_rank") <= F.col("q_train"), "train")
         .when(F.col("_rank") <= F.col("q_train") + F.col("q_val"), "val")
         .otherwise("test")
     )
-    return ranked.join(quotas, keys).select(*units.columns, split.alias("split"))
+    dealt = ranked.filter("q_train IS NOT NULL").select(*units.columns, split.alias("split"))
+    tiny = hash_ranked(ranked.filter("q_train IS NULL").select(*units.columns), [group], [key], seed, rank="_rank", total="_n")
+    test, val = proportional_counts(F.col("_n"))
+    rest = F.when(F.col("_rank") <= test, "test").when(F.col("_rank") <= test + val, "val").otherwise("train")
+    return dealt.union(tiny.select(*units.columns, rest.alias("split")))
 
 
 def split_groups(units: DataFrame, seed: int, quotas: Mapping[str, tuple[int, int, int]] = BEARING_QUOTAS,

@@ -46,15 +46,19 @@ def mean_pool(df: DataFrame, keys: Sequence[str], factor: int = POOL_FACTOR, val
 
 
 def align_rates(samples: DataFrame, unit: str, fast_channels: Sequence[str], slow_channels: Sequence[str],
-                factor: int = POOL_FACTOR) -> DataFrame:
+                factor: int = POOL_FACTOR, record: str | None = None) -> DataFrame:
     """One row per (unit, pos) with all channels on the slow grid.
 
     Fast channels are mean-pooled, slow ones kept, other channels ignored, and the unit
     ends with its shortest channel. Samples are long: unit, channel, pos, value; both rates
     go through one grouping. A unit without one of the channels has no row here;
-    ``missing_channels`` lists it.
+    ``missing_channels`` lists it. Where a unit may hold several records of a channel, ``record``
+    names their number, and the first record of each channel is the one that counts.
     """
     names = [*fast_channels, *slow_channels]
+    if record is not None:
+        first = samples.groupBy(unit, "channel").agg(F.min(record).alias(record))
+        samples = samples.join(first, [unit, "channel", record])
     fast = F.col("channel").isin(*fast_channels)
     block = F.when(fast, F.floor(F.col("pos") / factor)).otherwise(F.col("pos")).cast("long")
     pooled = (

@@ -183,3 +183,23 @@ def test_config_grids(spark):
         grids.config_grid(spark, only=["nonsense"])
     with pytest.raises(ValueError):
         grids.config_grid(spark, "other")
+
+
+def test_stratified_split_keeps_every_unit(spark):
+    rows = [(f"u{i}", "big", ["x", "y", None][i % 3]) for i in range(15)] + [("p", "two", "x"), ("q", "two", "y"), ("r", "one", None), ("s", None, "x")]
+    units = spark.createDataFrame(rows, "unit string, class string, cell string")
+    got = splitting.split_stratified(units, 3, ["cell"]).collect()
+    assert sorted(map(repr, (r[:3] for r in got))) == sorted(map(repr, rows))
+    by = {}
+    for r in got:
+        by.setdefault(r["class"], []).append(r.split)
+    assert sorted(by["two"]) == ["test", "train"] and by["one"] == ["test"] and by[None] == ["test"]
+    assert {s: by["big"].count(s) for s in set(by["big"])} == {"train": 9, "val": 3, "test": 3}
+
+
+def test_first_record_of_a_channel_counts(spark):
+    rows = [("a", "fast", 1, i, float(i)) for i in range(4)] + [("a", "fast", 2, i, 100.0) for i in range(4)]
+    rows += [("a", "slow", 3, i, 7.0) for i in range(2)] + [("a", "slow", 4, i, 9.0) for i in range(2)]
+    df = spark.createDataFrame(rows, "unit string, channel string, rec int, pos long, value double")
+    got = win.align_rates(df, "unit", ["fast"], ["slow"], factor=2, record="rec").orderBy("pos").collect()
+    assert [tuple(r[c] for c in ("unit", "pos", "fast", "slow")) for r in got] == [("a", 0, 0.5, 7.0), ("a", 1, 2.5, 7.0)]
