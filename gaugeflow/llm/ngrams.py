@@ -148,19 +148,19 @@ def fit(docs: DataFrame, train: Column, text: str = "text") -> Model:
             v, w, _ = _pairs(b.column(0), known)
             keys, first, n = np.unique(mixed(v, w), return_index=True, return_counts=True)
             yield pa.record_batch([
-                pa.array((keys >> np.uint64(64 - BITS)).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(v[first].view(np.int64)),
-                pa.array(w[first].view(np.int64)), pa.array(n.astype(np.int64))], names=["shard", "key", "v", "w", "n"])
+                pa.array((keys >> np.uint64(64 - BITS)).astype(np.int32)), pa.array(v[first].view(np.int64)),
+                pa.array(w[first].view(np.int64)), pa.array(n.astype(np.int64))], names=["shard", "v", "w", "n"])
 
-    dealt = texts.mapInArrow(count, "shard int, key long, v long, w long, n long").repartition(1 << BITS, "shard")
-    pairs = dealt.groupBy("shard", "key").agg(F.first("v").alias("v"), F.first("w").alias("w"), F.sum("n").alias("n"))
+    dealt = texts.mapInArrow(count, "shard int, v long, w long, n long").repartition(1 << BITS, "shard")
+    pairs = dealt.groupBy("shard", "v", "w").agg(F.sum("n").alias("n"))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [tuple(b.column(i).to_numpy() for i in (1, 2, 3, 4)) for b in batches]
-        names = ["tok", *WORD_FIELDS, "f1", "f2", "f3", "f4"]
+        got = [tuple(b.column(i).to_numpy() for i in (1, 2, 3)) for b in batches]
+        names = ["tok", *WORD_FIELDS, "f3", "f4"]
         if not got:
             return
-        key, v, w, n = (np.concatenate(c) for c in zip(*got))
-        _save(path, "pair", key.view(np.uint64), n.astype(np.uint32))
+        v, w, n = (np.concatenate(c) for c in zip(*got))
+        _save(path, "pair", mixed(v.view(np.uint64), w.view(np.uint64)), n.astype(np.uint32))
         toks, at = np.unique(np.concatenate([v, w]), return_inverse=True)
         av, aw = at[:len(v)], at[len(v):]
         size = len(toks)
@@ -169,12 +169,12 @@ def fit(docs: DataFrame, train: Column, text: str = "text") -> Model:
             return np.bincount(where, weight, size).astype(np.int64)
 
         cols = [sums(av, n), sums(av, n == 1), sums(av, n == 2), sums(av, n >= 3), sums(aw, None), sums(aw, n)]
-        cols += [cols[1], cols[2], sums(av, n == 3), sums(av, n == 4)]
+        cols += [sums(av, n == 3), sums(av, n == 4)]
         for lo in range(0, size, 1 << 16):
             yield pa.record_batch([pa.array(c[lo:lo + (1 << 16)]) for c in (toks, *cols)], names=names)
 
-    parts = pairs.mapInArrow(store, "tok long, " + ", ".join(f"{c} long" for c in (*WORD_FIELDS, "f1", "f2", "f3", "f4")))
-    words = checkpointed(parts.groupBy("tok").agg(*[F.sum(c).alias(c) for c in (*WORD_FIELDS, "f1", "f2", "f3", "f4")]))
+    parts = pairs.mapInArrow(store, "tok long, " + ", ".join(f"{c} long" for c in (*WORD_FIELDS, "f3", "f4")))
+    words = checkpointed(parts.groupBy("tok").agg(*[F.sum(c).alias(c) for c in (*WORD_FIELDS, "f3", "f4")]))
 
     def store_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [tuple(b.column(i).to_numpy() for i in range(7)) for b in batches]
@@ -186,7 +186,7 @@ def fit(docs: DataFrame, train: Column, text: str = "text") -> Model:
     shard = F.shiftrightunsigned("tok", 64 - BITS)
     words.select("tok", *WORD_FIELDS).repartition(1 << BITS, shard).mapInArrow(store_words, "n long").agg(F.sum("n")).first()
     s = words.agg(
-        F.sum("raw"), F.count_if(F.col("raw") > 0), F.sum("closes"), *[F.sum(f"f{i}") for i in (1, 2, 3, 4)],
+        F.sum("raw"), F.count_if(F.col("raw") > 0), F.sum("closes"), *[F.sum(c) for c in ("n1", "n2", "f3", "f4")],
         *[F.count_if(F.col("closes") == i) for i in (1, 2, 3, 4)], F.count_if(F.col("closes") >= 3)).first()
     if not s[0]:
         return Model(path)
