@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         known = per_worker("ngram words", dict)
         m = per_worker(("ngrams", model.path), lambda: model)
         floor = math.log10(m.tokens + 0.5 * (m.types + 1))
-        for b in batches:
+        for b in (big.slice(at, 256) for big in batches for at in range(0, big.num_rows, 256)):  # few texts' lookups at once
             v, w, sizes = _pairs(b.column(1), known)
             logs, c = m.log10(v, w)
             at = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, np.int64)
