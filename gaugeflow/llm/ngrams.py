@@ -25,7 +25,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gaugeflow.llm.common import only, per_worker
 from gaugeflow.session import checkpointed, shared_dir
 
-BITS = 6
+#: Training text of one shard, and the number of leading bits that shards are told apart by; text
+#: beyond SHARD_BYTES * 2**MOST_BITS makes shards larger.
+SHARD_BYTES, LEAST_BITS, MOST_BITS = 8 << 20, 4, 12
 END, BEGIN = b"\n", b"\n\n"  # no word holds a line end
 REMEMBERED = 1 << 20
 #: What is kept of a word: pairs it opens and how many pair types with count 1, 2, 3 or more, types it closes, its count.
@@ -61,11 +63,17 @@ def _pairs(texts, known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([s[:-1] for s in seqs]), np.concatenate([s[1:] for s in seqs]), np.array([len(s) - 1 for s in seqs])
 
 
+def shard_edges(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where each shard's run of the sorted keys begins, and the end."""
+    return np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+
+
 @dataclass
 class Model:
     """Where the shards are, and the model's short numbers."""
 
     path: str
+    bits: int = LEAST_BITS
     tokens: int = 0
     types: int = 0
     pair_types: int = 0
@@ -83,9 +91,10 @@ class Model:
     def find(self, kind: str, keys: np.ndarray, width: int) -> np.ndarray:
         """Rows of the sorted keys, zero where a key is not in the model."""
         out = np.zeros((len(keys), width), np.int64)
-        edges = np.searchsorted(keys >> np.uint64(64 - BITS), np.arange((1 << BITS) + 1, dtype=np.uint64))
-        for s, (lo, hi) in enumerate(zip(edges, edges[1:])):
-            have = self._mapped(f"{kind}-{s}-keys") if hi > lo else None
+        edges = shard_edges(keys, self.bits)
+        for s in np.flatnonzero(np.diff(edges)):
+            lo, hi = edges[s], edges[s + 1]
+            have = self._mapped(f"{kind}-{s}-keys")
             if have is None or not len(have):
                 continue
             at = np.minimum(np.searchsorted(have, keys[lo:hi]), len(have) - 1)
@@ -119,17 +128,16 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d))
 
 
-def _save(path: str, kind: str, keys: np.ndarray, values: np.ndarray) -> None:
+def _save(path: str, kind: str, bits: int, keys: np.ndarray, values: np.ndarray) -> None:
     """One file pair per shard; a repeated task writes the same bytes and replaces them whole."""
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
-    edges = np.searchsorted(keys >> np.uint64(64 - BITS), np.arange((1 << BITS) + 1, dtype=np.uint64))
-    for s, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        if hi > lo:
-            for name, a in (("values", values), ("keys", keys)):
-                part = f"{path}/{uuid.uuid4().hex}.npy"
-                np.save(part, a[lo:hi])
-                os.replace(part, f"{path}/{kind}-{s}-{name}.npy")
+    edges = shard_edges(keys, bits)
+    for s in np.flatnonzero(np.diff(edges)):
+        for name, a in (("values", values), ("keys", keys)):
+            part = f"{path}/{uuid.uuid4().hex}.npy"
+            np.save(part, a[edges[s]:edges[s + 1]])
+            os.replace(part, f"{path}/{kind}-{s}-{name}.npy")
 
 
 def fit(docs: DataFrame, train: Column, text: str = "text") -> Model:
@@ -141,17 +149,21 @@ def fit(docs: DataFrame, train: Column, text: str = "text") -> Model:
     path = f"{base}/ngrams-{uuid.uuid4().hex}"
     os.makedirs(path, exist_ok=True)
     texts = docs.filter(F.coalesce(train, F.lit(True))).select(F.col(f"`{text}`").cast("binary").alias("text"))
+    volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (volume // SHARD_BYTES).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = per_worker("ngram words", dict)
         for b in batches:
             v, w, _ = _pairs(b.column(0), known)
             keys, first, n = np.unique(mixed(v, w), return_index=True, return_counts=True)
+            order = np.argsort(v[first])  # runs of one context take less room in the shuffle
+            keys, first, n = keys[order], first[order], n[order]
             yield pa.record_batch([
-                pa.array((keys >> np.uint64(64 - BITS)).astype(np.int32)), pa.array(v[first].view(np.int64)),
+                pa.array((keys >> np.uint64(64 - bits)).astype(np.int32)), pa.array(v[first].view(np.int64)),
                 pa.array(w[first].view(np.int64)), pa.array(n.astype(np.int64))], names=["shard", "v", "w", "n"])
 
-    dealt = texts.mapInArrow(count, "shard int, v long, w long, n long").repartition(1 << BITS, "shard")
+    dealt = texts.mapInArrow(count, "shard int, v long, w long, n long").repartition(1 << bits, "shard")
     pairs = dealt.groupBy("shard", "v", "w").agg(F.sum("n").alias("n"))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +172,7 @@ def fit(docs: DataFrame, train: Column, text: str = "text") -> Model:
         if not got:
             return
         v, w, n = (np.concatenate(c) for c in zip(*got))
-        _save(path, "pair", mixed(v.view(np.uint64), w.view(np.uint64)), n.astype(np.uint32))
+        _save(path, "pair", bits, mixed(v.view(np.uint64), w.view(np.uint64)), n.astype(np.uint32))
         toks, at = np.unique(np.concatenate([v, w]), return_inverse=True)
         av, aw = at[:len(v)], at[len(v):]
         size = len(toks)
@@ -180,19 +192,19 @@ def fit(docs: DataFrame, train: Column, text: str = "text") -> Model:
         got = [tuple(b.column(i).to_numpy() for i in range(7)) for b in batches]
         if got:
             tok, *cols = (np.concatenate(c) for c in zip(*got))
-            _save(path, "word", tok.view(np.uint64), np.stack(cols, 1).astype(np.uint32))
+            _save(path, "word", bits, tok.view(np.uint64), np.stack(cols, 1).astype(np.uint32))
         yield pa.record_batch([pa.array([len(got)], pa.int64())], names=["n"])
 
-    shard = F.shiftrightunsigned("tok", 64 - BITS)
-    words.select("tok", *WORD_FIELDS).repartition(1 << BITS, shard).mapInArrow(store_words, "n long").agg(F.sum("n")).first()
+    shard = F.shiftrightunsigned("tok", 64 - bits)
+    words.select("tok", *WORD_FIELDS).repartition(1 << bits, shard).mapInArrow(store_words, "n long").agg(F.sum("n")).first()
     s = words.agg(
         F.sum("raw"), F.count_if(F.col("raw") > 0), F.sum("closes"), *[F.sum(c) for c in ("n1", "n2", "f3", "f4")],
         *[F.count_if(F.col("closes") == i) for i in (1, 2, 3, 4)], F.count_if(F.col("closes") >= 3)).first()
     if not s[0]:
-        return Model(path)
+        return Model(path, bits)
     dw = discounts(*s[7:11])
     gamma = (dw[0] * s[7] + dw[1] * s[8] + dw[2] * s[11]) / s[2]
-    return Model(path, s[0], s[1], s[2], discounts(*s[3:7]), dw, gamma)
+    return Model(path, bits, s[0], s[1], s[2], discounts(*s[3:7]), dw, gamma)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
