@@ -303,11 +303,12 @@ def load_balance(spark, sf):
     return routing.load_balance(domain.alphas(spark, sf), ["class"])
 
 
-_SCORES = """sc AS (SELECT vec_id AS window_id, 'k' || (i - 1) AS class, 4 * embedding[i]::DOUBLE AS score FROM embeddings, range(1, 9) AS g(i))"""
+_SCORES = """sc AS (SELECT vec_id AS window_id, 'k' || (i - 1) AS class, 4 * embedding[i]::DOUBLE AS score
+  FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"""
 
 
 def _scores(spark, sf):
-    d = domain.vectors(spark, sf).select("window_id", F.posexplode(F.slice("vector", 1, 8)).alias("k", "x"))
+    d = domain.vectors(spark, sf).select("window_id", F.posexplode("vector").alias("k", "x"))
     return d.select("window_id", F.concat(F.lit("k"), "k").alias("class"), (4.0 * F.col("x")).alias("score"))
 
 
