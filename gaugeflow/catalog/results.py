@@ -12,7 +12,7 @@ from gaugeflow.catalog.base import (
 from gaugeflow.functions.scalars import (
     config_slug, mean_from_text, once, percent_points, std_from_text, std_or_zero,
 )
-from gaugeflow.operators import cleaning, epochs as ep, evaluation, reports, selection
+from gaugeflow.operators import cleaning, epochs as ep, evaluation, reports
 from gaugeflow.plans import domain, grids
 from gaugeflow.plans.domain import table
 from gaugeflow.session import shared_dir
@@ -123,7 +123,7 @@ SELECT {out} AS silhouette, count(*) AS n FROM m"""
 
 def _silhouette(spark, sf, size):
     d = domain.vectors(spark, sf).select("window_id", "label", F.slice("vector", 1, size).alias("v"))
-    return evaluation.silhouette(selection.stratified_subsample(d, "label", ["window_id"], 2000, 0), "window_id", "label", "v")
+    return evaluation.silhouette(d, "window_id", "label", "v")
 
 
 for _name, _size in (("silhouette_raw", 64), ("silhouette_features", 8)):

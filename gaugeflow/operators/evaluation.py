@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gaugeflow.session import checkpointed
+
 
 def count_pairs(preds: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """The K x K counts everything else derives from; the prediction rows are read once."""
@@ -110,39 +112,58 @@ def nearest_class(df: DataFrame, centres: DataFrame, keys: Sequence[str], label:
     return d.select(*keys, F.array_min(reached)["class"].alias(out))
 
 
-def silhouette(sample: DataFrame, key: str, label: str, vector: str, blocks: int = 8, limit: int = 20_000) -> DataFrame:
-    """Mean silhouette (Euclidean) of a bounded sample.
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all pairs; close pairs are taken from the differences, where products would round."""
+    both = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :]
+    square = both - 2.0 * (x @ y.T)
+    i, j = np.nonzero(square <= 1e-3 * both)
+    for at in range(0, len(i), 1 << 16):
+        u, v = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
+        square[u, v] = ((x[u] - y[v]) ** 2).sum(1)
+    return np.sqrt(np.maximum(square, 0.0))
+
+
+def silhouette(points: DataFrame, key: str, label: str, vector: str, tile: int = 4096, limit: int | None = None) -> DataFrame:
+    """Mean silhouette (Euclidean) of all points.
 
-    Every block of points is measured against the whole sample in its own task; each task
-    returns one value per point of its block, so no pair leaves a task. The sample is
-    quadratic work by definition: its size is checked.
+    Points are dealt to blocks by a hash, and each pair of blocks is measured in its own task, which returns one
+    partial sum of distances per point and label; so no pair leaves a task. The work is quadratic by definition:
+    with ``limit`` more points than that are refused. A point without a label scores 0 and is no one's neighbour.
     """
-    size = sample.count()
-    if size > limit:
-        raise ValueError(f"{size} points; draw a sample of at most {limit} first")
-    pts = sample.select(F.col(label).cast("string").alias("label"), F.col(vector).alias("v"),
-                        F.pmod(F.xxhash64(key), F.lit(blocks)).alias("own"))
-    spread = pts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def measure(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["v"].to_numpy()).astype(float)
-        codes, names = pd.factorize(pdf["label"])
+    pts = checkpointed(points.select(F.col(label).cast("string").alias("label"), F.col(vector).alias("v"), F.xxhash64(key).alias("h"))
+                       .withColumn("row", F.monotonically_increasing_id()))
+    size = pts.count()
+    if limit is not None and size > limit:
+        raise ValueError(f"{size} points; at most {limit} are wanted")
+    blocks = max(1, -(-size // tile))
+    named = pts.filter("label IS NOT NULL").withColumn("own", F.pmod(F.xxhash64("h", "row"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    sent = named.select(F.col("own").alias("i"), every.alias("j"), F.lit(True).alias("down"), "row", "label", "v").union(
+        named.select(every.alias("i"), F.col("own").alias("j"), F.lit(False).alias("down"), "row", "label", "v"))
+
+    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
+        down, rows = pdf["down"].to_numpy(), pdf["row"].to_numpy()
+        x = np.array(pdf["v"].tolist(), float)
+        mine, across = np.flatnonzero(down), np.flatnonzero(~down)
+        codes, names = pd.factorize(pdf["label"].to_numpy()[across])
         member = np.eye(len(names))[codes]
-        sizes = member.sum(axis=0)
-        mine = np.flatnonzero(pdf["own"].to_numpy() == key[0])
-        out = []
-        for part in np.array_split(mine, max(1, len(mine) // 32)):
-            dist = np.sqrt(((x[part, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-            sums, own = dist @ member, codes[part]
-            rows = np.arange(len(part))
-            alone = sizes[own] <= 1
-            a = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
-            others = sums / sizes
-            others[rows, own] = np.inf
-            b = others.min(axis=1, initial=np.inf)
-            top = np.maximum(a, b)
-            out.append(np.where(alone | ~np.isfinite(b) | (top == 0), 0.0, (b - a) / np.where(top == 0, 1.0, top)))
-        return pd.DataFrame({"s": np.concatenate(out) if out else np.zeros(0)})
-
-    scores = spread.groupBy("block").applyInPandas(measure, "s double")
-    return scores.agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("n"))
+        sums = [np.zeros((0, len(names)))]
+        if len(across):
+            for at in range(0, len(mine), 256):
+                part = mine[at:at + 256]
+                d = _distances(x[part], x[across])
+                d[rows[part, None] == rows[across][None, :]] = 0.0
+                sums.append(d @ member)
+        found = np.concatenate(sums)
+        return pd.DataFrame({"row": rows[mine[:len(found)]], "labels": [list(names)] * len(found), "sums": list(found)})
+
+    parts = sent.groupBy("i", "j").applyInPandas(measure, "row long, labels array<string>, sums array<double>")
+    sums = parts.select("row", F.explode(F.arrays_zip("labels", "sums")).alias("p")).groupBy("row", F.col("p.labels").alias("other")).agg(F.sum("p.sums").alias("s"))
+    sizes = named.groupBy(F.col("label").alias("other")).agg(F.count(F.lit(1)).alias("m"))
+    same = F.col("label") == F.col("other")
+    per = sums.join(named.select("row", "label"), "row").join(sizes, "other").groupBy("row").agg(
+        F.max(F.when(same & (F.col("m") > 1), F.col("s") / (F.col("m") - 1))).alias("a"), F.min(F.when(~same, F.col("s") / F.col("m"))).alias("b"))
+    top = F.greatest("a", "b")
+    score = F.when(F.col("a").isNull() | F.col("b").isNull() | (top == 0), 0.0).otherwise((F.col("b") - F.col("a")) / top)
+    scored = per.select(score.alias("s")).union(pts.filter("label IS NULL").select(F.lit(0.0).alias("s")))
+    return scored.agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("n"))
