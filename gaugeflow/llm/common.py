@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 import sys
 import types
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gaugeflow.session import checkpointed
+from gaugeflow.session import checkpointed, shared_dir
 
 #: A word, in Java's, Python's and DuckDB's notation alike: a run without blanks, tabs and line ends.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,6 +33,21 @@ def only(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: read again after a lost executor, not computed again."""
+    path = f"{shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table made by ``written`` whose rows are no longer wanted, lost executors or not."""
+    jvm = table.sparkSession._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def as_unsigned(c: Column) -> Column:
     """A long's bits as sixteen lower-case hex digits."""
     return F.lower(F.lpad(F.hex(c), 16, "0"))

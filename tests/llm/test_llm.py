@@ -31,7 +31,7 @@ def words(t):
 
 
 def test_queries_and_empty_tables(spark, empty):
-    assert {int(n[2:].split("_")[0]) for n in catalog.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in catalog.QUERIES} == set(range(1, 14))
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     for out in (merkle.versions(empty), sharding.shards(empty), pieces.token_counts(empty, path), mixing.taken_words(empty), packing.pack(empty),
                 simhash.near_duplicates(empty), ngrams.scores(empty), language.identify_documents(empty)):
