@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from gaugeflow.catalog.base import GAPPY, MULTIRATE, RUNS, query, r
@@ -12,7 +10,7 @@ from gaugeflow.functions.scalars import config_slug, normalized_name
 from gaugeflow.operators import cleaning, selection, splitting, windows as win
 from gaugeflow.plans import domain, preparation
 from gaugeflow.plans.domain import table
-from gaugeflow.session import shared_dir
+from gaugeflow.session import scratch
 from gaugeflow.sources import runfiles
 
 SEED, W, STRIDE = 7, 16, 8
@@ -612,18 +610,29 @@ def split_warnings(spark, sf):
     return splitting.split_warnings(assigned, classes, 32)
 
 
-def _scratch(spark, name):
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("scanned_run_files", f"""
 WITH {RUNS} SELECT class, run_id, channel, pos AS file_row, {r('value')} AS value FROM (
   SELECT class, run_id, pos, 'reading' AS channel, value FROM runs UNION ALL SELECT class, run_id, pos, 'level', level FROM runs)
 """)
 def scanned_run_files(spark, sf):
     """Runs written as CSV files below class folders, scanned back with the class from the path."""
-    folder = _scratch(spark, "runs")
+    folder = scratch(spark, "runs")
     s = domain.samples(spark, sf).select("class", "run_id", F.col("pos").alias("sample"), F.col("value").alias("reading"), "level")
     s.write.partitionBy("class").option("header", True).csv(folder)
     d = runfiles.scan_runs(spark, folder, "run_id STRING, sample LONG, reading DOUBLE, level DOUBLE", pos_column="sample", keep=["run_id"])
     return d.select(F.regexp_extract("path", "class=([^/]+)/", 1).alias("class"), "run_id", "channel", "file_row", "value")
+
+
+@query("ordered_run_files", f"""
+WITH {RUNS} SELECT class, run_id, channel, pos AS file_row, {r('value')} AS value FROM (
+  SELECT class, run_id, pos, 'reading' AS channel, value FROM runs UNION ALL SELECT class, run_id, pos, 'level', level FROM runs)
+""")
+def ordered_run_files(spark, sf):
+    """Runs written as CSV files without a position column: the order of rows is the order of samples."""
+    folder = scratch(spark, "runs")
+    s = domain.samples(spark, sf).select("class", F.col("run_id").alias("run"), "pos", F.col("value").alias("reading"), "level")
+    in_order = s.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "run", "pos").sortWithinPartitions("run", "pos").drop("pos")
+    in_order.write.partitionBy("class", "run").option("header", True).csv(folder)
+    d = runfiles.scan_runs(spark, folder, "reading DOUBLE, level DOUBLE", run="run=([^/]+)/")
+    at = lambda name: F.regexp_extract("path", f"{name}=([^/]+)/", 1)
+    return d.select(at("class").alias("class"), at("run").alias("run_id"), "channel", "file_row", "value")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from gaugeflow.catalog.base import (
@@ -15,7 +13,7 @@ from gaugeflow.functions.scalars import (
 from gaugeflow.operators import cleaning, epochs as ep, evaluation, reports
 from gaugeflow.plans import domain, grids
 from gaugeflow.plans.domain import table
-from gaugeflow.session import shared_dir
+from gaugeflow.session import scratch
 from gaugeflow.sources import runfiles, runlogs, tables
 
 # ---- predictions -----------------------------------------------------------------------
@@ -139,8 +137,8 @@ _LOGS = """lines AS (
     o_custkey % 400 AS seed, o_orderkey AS line_no, o_orderstatus AS st, o_totalprice AS p, o_custkey AS k FROM orders)"""
 
 
-def _log_lines(spark, sf):
-    """Orders written as log lines: status F is a final record, O an epoch, P a broken line."""
+def _log_lines(spark, sf, runs=400):
+    """Orders as log lines, already in memory: status F is a final record, O an epoch, P a broken line."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     o = domain.spread(o, "o_orderkey")
     config = F.element_at(F.create_map(*[F.lit(x) for kv in domain.PRIORITY_NAMES.items() for x in kv]), F.col("o_orderpriority"))
@@ -152,8 +150,12 @@ def _log_lines(spark, sf):
     epoch = F.to_json(F.struct((F.col("o_orderkey") % 50).cast("int").alias("epoch"), (p / 500000).alias("val_acc"),
                                F.when(F.col("o_custkey") % 2 == 0, p / 150000).alias("rho")))
     line = F.when(F.col("o_orderstatus") == "F", final).when(F.col("o_orderstatus") == "O", epoch).otherwise('{"epoch": ')
-    name = F.concat(config_slug(config), F.lit("_seed"), (F.col("o_custkey") % 400).cast("string"), F.lit(".jsonl"))
-    return once(o.select("*", name.alias("file"), F.col("o_orderkey").alias("line_no")), "line", line).select("file", "line_no", "line")
+    name = F.concat(config_slug(config), F.lit("_seed"), (F.col("o_custkey") % runs).cast("string"), F.lit(".jsonl"))
+    return once(o.select("*", name.alias("file"), F.col("o_orderkey").alias("line_at")), "line", line).select("file", "line_at", "line")
+
+
+def _parsed(spark, sf):
+    return runlogs.parse_lines(_log_lines(spark, sf))
 
 
 @query("log_final_records", f"""
@@ -163,18 +165,44 @@ SELECT slug, seed, {r('p / 500000')} AS accuracy, {r('p / 600000')} AS macro_f1,
 """.replace(", 6) + 0.0)", ", 9) + 0.0)"), digits=9)
 def log_final_records(spark, sf):
     """The last final record of each log; broken lines are skipped."""
-    f = runlogs.final_records(runlogs.parse_lines(_log_lines(spark, sf)))
+    f = runlogs.final_records(_parsed(spark, sf))
     return f.select("slug", "seed", "accuracy", "macro_f1", "epochs_run", "observed_var", "perm_null_z", F.col("degradation")["drift"].alias("drift"))
 
 
 @query("log_broken_lines", f"WITH {_LOGS} SELECT slug || '_seed' || seed || '.jsonl' AS file, count(*) AS bad_lines FROM lines WHERE st = 'P' GROUP BY ALL")
 def log_broken_lines(spark, sf):
-    return runlogs.malformed_lines(runlogs.parse_lines(_log_lines(spark, sf)))
+    return runlogs.malformed_lines(_parsed(spark, sf))
+
+
+@query("log_broken_line_numbers", f"""
+WITH {_LOGS.replace('% 400', '% 20')} SELECT file, line_no FROM (SELECT slug || '_seed' || seed || '.jsonl' AS file, st,
+  row_number() OVER (PARTITION BY slug, seed ORDER BY line_no) - 1 AS line_no FROM lines) WHERE st = 'P'
+""")
+def log_broken_line_numbers(spark, sf):
+    """Where in its log each broken line stands: log files written, read in blocks and numbered by sums over blocks."""
+    folder = scratch(spark, "logs")
+    runlogs.write_logs(_log_lines(spark, sf, runs=20), folder, "line_at")
+    parsed = runlogs.parse_lines(runlogs.read_numbered_logs(spark, folder))
+    return parsed.filter("rec._bad IS NOT NULL").select("file", "line_no")
+
+
+@query("log_read_summary", f"""
+WITH {_LOGS.replace('% 400', '% 20')} SELECT slug, seed, count(*) AS lines, count(*) FILTER (st = 'O') AS epochs, {r("arg_max(CASE WHEN st = 'F' THEN p END, CASE WHEN st = 'F' THEN line_no END) / 500000", 9)} AS accuracy FROM lines GROUP BY ALL
+""", digits=9)
+def log_read_summary(spark, sf):
+    """Log files read back in blocks: lines, epochs and the accuracy of the last final record of each run."""
+    folder = scratch(spark, "logs")
+    runlogs.write_logs(_log_lines(spark, sf, runs=20), folder, "line_at")
+    parsed = runlogs.parse_lines(runlogs.read_logs(spark, folder))
+    final = F.col("rec._bad").isNull() & F.col("rec.final").isNotNull()
+    return parsed.groupBy("slug", "seed").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(F.col("rec._bad").isNull() & F.col("rec.epoch").isNotNull()).alias("epochs"),
+        F.max_by(F.when(final, F.col("rec.final.accuracy")), F.when(final, F.col("line_at"))).alias("accuracy"))
 
 
 @query("log_unfinished_files", f"WITH {_LOGS} SELECT slug || '_seed' || seed || '.jsonl' AS file FROM lines GROUP BY ALL HAVING count(*) FILTER (st = 'F') = 0")
 def log_unfinished_files(spark, sf):
-    return runlogs.unfinished_files(runlogs.parse_lines(_log_lines(spark, sf)))
+    return runlogs.unfinished_files(_parsed(spark, sf))
 
 
 @query("log_epoch_records", f"""
@@ -183,7 +211,7 @@ WITH {_LOGS} SELECT CASE slug WHEN 'full' THEN slug ELSE 'w/o' || substr(slug, 3
 """, digits=9)
 def log_epoch_records(spark, sf):
     """Epoch lines by configuration name (looked up by slug) and seed."""
-    e = runlogs.name_configs(runlogs.epoch_records(runlogs.parse_lines(_log_lines(spark, sf))), grids.config_grid(spark))
+    e = runlogs.name_configs(runlogs.epoch_records(_parsed(spark, sf)), grids.config_grid(spark))
     return e.groupBy("config", "seed").agg(F.count(F.lit(1)).alias("epochs"), F.count("rho").alias("with_rho"), F.max("val_acc").alias("best"))
 
 
@@ -567,7 +595,7 @@ FROM finals WHERE cell IN ('A', 'O') GROUP BY ALL
 """)
 def written_cells(spark, sf):
     """Result tables written once with a folder per cell; a reader opens only the cells it asks for."""
-    path = f"{shared_dir(spark).rstrip('/')}/cells-{uuid.uuid4().hex}"
+    path = scratch(spark, "cells")
     res = reports.results_table(domain.finals(spark, sf, True), ("cell", "config"))
     tables.write_cells(res.select("cell", "config", "n", "accuracy_mean", "accuracy_std"), path)
     return spark.read.parquet(path).filter(F.col("cell").isin("A", "O")).select("cell", "config", "n", "accuracy_mean", "accuracy_std")
@@ -578,6 +606,6 @@ WITH {epochs_sql()} SELECT config, seed, epoch, {r('rho', 10)} AS rho FROM epoch
 """, digits=10)
 def csv_report(spark, sf):
     """A training curve exported as CSV and read back with its fixed schema."""
-    path = f"{shared_dir(spark).rstrip('/')}/curve-{uuid.uuid4().hex}"
+    path = scratch(spark, "curve")
     tables.write_report(ep.curve(domain.epochs(spark, sf)), path, csv=True)
     return tables.read_table(spark, path, tables.RHO_CURVE)

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from gaugeflow.catalog.base import epochs_sql, finals_sql, query, r
 from gaugeflow.functions import distributions as dist
+from gaugeflow.functions.scalars import config_slug
 from gaugeflow.operators import reports, significance as sig
-from gaugeflow.plans import domain, grids
+from gaugeflow.plans import domain, grids, reporting
+from gaugeflow.session import scratch
+from gaugeflow.sources import runlogs
 
 KEYS = ["metric", "config"]
 
@@ -166,6 +169,45 @@ def significance_table(spark, sf):
         *KEYS, "n", "mean_diff", "cohens_dz", "t_p", "wilcoxon_p", "t_holm_p", "t_bh_p", "wilcoxon_holm_p", "wilcoxon_bh_p", "tier")
 
 
+def _measures(report: str, source: str, keys: str, measures: dict[str, str]) -> str:
+    """Measures of a table as rows."""
+    return " UNION ALL ".join(f"SELECT '{report}' AS report, {keys}, '{m}' AS measure, {r(e)} AS value FROM {source}" for m, e in measures.items())
+
+
+_BY_CONFIG = "config, NULL::VARCHAR AS metric, NULL::VARCHAR AS epoch"
+
+
+@query("logs_to_significance", f"""
+WITH {finals_sql()}, {epochs_sql()}, {SIGNIFICANCE},
+rs AS (SELECT config, count(*) AS n, avg(accuracy) AS am, coalesce(stddev_samp(accuracy), 0) AS ad, avg(macro_f1) AS fm, coalesce(stddev_samp(macro_f1), 0) AS fd,
+  avg(h_alpha) AS h, avg(alpha_tvar) AS tv, avg(s_tau) AS st, avg(rho_last) AS rl, avg(perm_null_z) AS z, avg(observed_var) AS ov, avg(null_mean) AS nm, avg(null_std) AS ns,
+  avg(null_mean + 2 * null_std) AS th FROM finals GROUP BY config),
+cv AS (SELECT config, epoch, avg(rho) AS m, coalesce(stddev_samp(rho), 0) AS s, count(*) AS n FROM epochs GROUP BY ALL),
+lg AS (SELECT count(*) AS n, sum(CASE WHEN f AND seed % 7 = 0 THEN 1 ELSE 0 END) AS bad, sum(CASE WHEN f THEN 0 ELSE 1 END) AS open FROM (
+  SELECT config, seed, bool_or(f) AS f FROM (SELECT config, seed, true AS f FROM finals UNION ALL SELECT config, seed, false FROM epochs) GROUP BY ALL))
+{_measures('results', 'rs', _BY_CONFIG, {'n': 'n', 'accuracy_mean': 'am', 'accuracy_std': 'ad', 'macro_f1_mean': 'fm', 'macro_f1_std': 'fd'})}
+UNION ALL {_measures('indicators', 'rs', _BY_CONFIG, {'n': 'n', 'accuracy_mean': 'am', 'H_alpha': 'h', 'alpha_tvar': 'tv', 'S_tau': 'st', 'rho_last': 'rl', 'perm_null_z': 'z'})}
+UNION ALL {_measures('null', 'rs', _BY_CONFIG, {'observed_var': 'ov', 'null_mean': 'nm', 'null_std': 'ns', 'threshold': 'th', 'z_mean': 'z'})}
+UNION ALL {_measures('curves', 'cv', 'config, NULL, epoch::VARCHAR', {'rho_mean': 'm', 'rho_std': 's', 'runs': 'n'})}
+UNION ALL {_measures('significance', 'sg', 'config, metric, NULL', {'n': 'n', 'mean_diff': 'md', 'cohens_dz': 'md / sd', 't_p': 't_p', 'wilcoxon_p': 'w_p', 't_holm_p': 'th', 't_bh_p': 'tb', 'wilcoxon_holm_p': 'wh', 'wilcoxon_bh_p': 'wb'})}
+UNION ALL {_measures('logs', 'lg', 'NULL, NULL, NULL', {'logs': 'n', 'broken_lines': 'bad', 'unfinished': 'open'})}
+""")
+def logs_to_significance(spark, sf):
+    """Epochs and finals written as log files with broken lines, and read back into six report tables."""
+    name = F.concat(config_slug("config"), F.lit("_seed"), F.col("seed").cast("string"), F.lit(".jsonl")).alias("file")
+    epochs = domain.epochs(spark, sf).select(name, F.col("epoch").alias("line_no"), F.to_json(F.struct("epoch", "val_acc", "rho", "s_tau", "h_alpha", "acc_t_aux", "acc_f_aux")).alias("line"))
+    null = F.struct("observed_var", "null_mean", "null_std", F.col("perm_null_z").alias("z")).alias("perm_null")
+    record = F.to_json(F.struct(F.struct("accuracy", "macro_f1", "rho_last", "H_alpha", "alpha_tvar", "S_tau", null, "degradation").alias("final")))
+    ends = F.array(F.struct(F.when(F.col("seed") % 7 == 0, '{"final": {').alias("line"), F.lit(1_000_000).alias("line_no")), F.struct(record.alias("line"), F.lit(1_000_001).alias("line_no")))
+    finals = domain.finals(spark, sf).select(name, F.explode(ends).alias("e")).filter("e.line IS NOT NULL").select("file", "e.line_no", "e.line")
+    folder = scratch(spark, "logs")
+    runlogs.write_logs(epochs.unionByName(finals), folder)
+    tables = reporting.log_reports(spark, folder)
+    tables["significance"] = tables["significance"].select(
+        *KEYS, "n", "mean_diff", "cohens_dz", "t_p", "wilcoxon_p", "t_holm_p", "t_bh_p", "wilcoxon_holm_p", "wilcoxon_bh_p")
+    return reporting.as_measures(tables)
+
+
 _EXTENDED = ("full", "w/o_spectral")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from gaugeflow.operators.cleaning import sensor_columns, to_long
+from gaugeflow.sources.places import PLACE, numbered, placed
 
 # Columns of a process frame, in order.
 PROCESS_META = ("faultNumber", "simulationRun", "sample")
@@ -15,19 +16,21 @@ PROCESS_CHANNELS = tuple([f"xmeas_{i}" for i in range(1, 42)] + [f"xmv_{i}" for
 
 
 def scan_runs(spark: SparkSession, root: str, schema: StructType | str, pos_column: str | None = None,
-              keep: Sequence[str] = ()) -> DataFrame:
+              keep: Sequence[str] = (), run: str | None = None) -> DataFrame:
     """All run files below a folder, in long form with their path and the ``keep`` columns.
 
-    A position column of the file gives the order of samples. Without one, the order of
-    rows is kept by a row number that grows along a file: files are not split, so each is
-    read by one task in order.
+    A position column of the file gives the order of samples. Without one, samples are numbered as they stand: with
+    ``run``, a pattern whose first group names a run in a path, over all part files of a run, otherwise over each file.
+    Either way a large file is read in blocks by many tasks.
     """
-    reader = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True)
+    wide = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(root)
     if pos_column is None:
-        reader = reader.option("multiLine", True)
-    wide = reader.csv(root).withColumn("path", F.col("_metadata.file_path"))
-    order = F.col(pos_column) if pos_column else F.monotonically_increasing_id()
-    wide = wide.withColumn("file_row", order)
+        rows = placed(wide)
+        if run is not None:
+            rows = rows.withColumn("run", F.regexp_extract("path", run, 1))
+        wide = numbered(rows, "file_row", ["path"] if run is None else ["run"]).drop(*(c for c in PLACE if c != "path"), "run")
+    else:
+        wide = wide.select("*", F.col("_metadata.file_path").alias("path"), F.col(pos_column).alias("file_row"))
     ids = ["path", "file_row", *keep]
     channels = [c for c in sensor_columns(wide, ids) if c != pos_column]
     return to_long(wide, ids, channels)

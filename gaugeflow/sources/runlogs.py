@@ -1,4 +1,8 @@
-"""Run logs: one JSON object per line, epochs first, the final record last."""
+"""Run logs: one JSON object per line, epochs first, the final record last.
+
+A log is a text file, or a folder of part files whose names give their order, called ``{slug}_seed{n}.jsonl``. Files of
+any length are read in blocks by many tasks; the order of lines is that of their places.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gaugeflow.functions.scalars import config_slug, finite, once
+from gaugeflow.sources.places import PLACE, numbered, placed
 
 LOG_NAME = r"^(.+)_seed(\d+)\.jsonl$"
 
@@ -22,12 +27,31 @@ FINAL_TYPE = (
 LINE_SCHEMA = f"{EPOCH_FIELDS}, final {FINAL_TYPE}, _bad STRING"
 
 
+def _named(lines: DataFrame) -> DataFrame:
+    """Lines of files, or of part files in folders, that are named like a log."""
+    return lines.withColumn("file", F.regexp_extract("path", r"([^/=]+_seed\d+\.jsonl)(/[^/]+)?$", 1)).filter("file <> ''")
+
+
+def _text(spark: SparkSession, folder: str) -> DataFrame:
+    return _named(placed(spark.read.option("recursiveFileLookup", True).text(folder)).withColumnRenamed("value", "line"))
+
+
 def read_logs(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of all logs: file, line_no, line. A log has one line per epoch, so a file is
-    read whole by one task and the number of a line is its place in the file."""
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*_seed*.jsonl").text(folder, wholetext=True)
-    lines = text.select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    return lines.filter(F.trim("line") != "")
+    """Lines of all logs: file, line_at, line. ``line_at`` orders the lines of a log; blank lines are left out."""
+    return _text(spark, folder).filter(F.trim("line") != "").select("file", F.struct(*PLACE).alias("line_at"), "line")
+
+
+def read_numbered_logs(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with ``line_no``, the 0-based number of the line in its log, blank lines counted."""
+    lines = numbered(_text(spark, folder), "line_no", ["file"])
+    return lines.filter(F.trim("line") != "").select("file", F.struct(*PLACE).alias("line_at"), "line_no", "line")
+
+
+def write_logs(lines: DataFrame, folder: str, order: str = "line_no") -> None:
+    """Lines (file, ``order``, line) as logs; a long one is cut into part files at places of its order."""
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own keeps Spark from writing all with one task
+    parts = lines.repartitionByRange(n, "file", order).sortWithinPartitions("file", order)
+    parts.select(F.col("file").alias("log"), "line").write.partitionBy("log").text(folder)
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -45,12 +69,16 @@ def malformed_lines(parsed: DataFrame) -> DataFrame:
 
 def final_records(parsed: DataFrame) -> DataFrame:
     """The last final record of each file; files without one do not appear."""
-    # a plain text test first: only few lines are finals, and parsing is the costly part
-    f = parsed.filter(F.col("line").contains('"final"')).filter("rec._bad IS NULL AND rec.final IS NOT NULL")
-    last = f.groupBy("slug", "seed").agg(F.max_by("rec.final", "line_no").alias("final"))
+    f = _holding(parsed, "final").filter("rec._bad IS NULL AND rec.final IS NOT NULL")
+    last = f.groupBy("slug", "seed").agg(F.max_by("rec.final", "line_at").alias("final"))
     return last.select("slug", "seed", *flatten_final())
 
 
+def _holding(parsed: DataFrame, word: str) -> DataFrame:
+    """A plain text test ahead of the parse, which is the costly part, where the text is still there."""
+    return parsed.filter(F.col("line").contains(f'"{word}"')) if "line" in parsed.columns else parsed
+
+
 def flatten_final() -> list[Column]:
     """Final record as flat columns; NaN becomes NULL."""
     plain = ("accuracy", "macro_f1", "rho_last", "H_alpha", "alpha_tvar", "S_tau")
@@ -69,8 +97,7 @@ def unfinished_files(parsed: DataFrame) -> DataFrame:
 
 def epoch_records(parsed: DataFrame) -> DataFrame:
     fields = [f.strip().split(" ")[0] for f in EPOCH_FIELDS.split(",")]
-    lines = parsed.filter(F.col("line").contains('"epoch"'))
-    return lines.filter("rec._bad IS NULL AND rec.epoch IS NOT NULL").select("slug", "seed", *[F.col(f"rec.{f}").alias(f) for f in fields])
+    return _holding(parsed, "epoch").filter("rec._bad IS NULL AND rec.epoch IS NOT NULL").select("slug", "seed", *[F.col(f"rec.{f}").alias(f) for f in fields])
 
 
 def name_configs(df: DataFrame, configs: DataFrame, keep_unknown: bool = False) -> DataFrame:

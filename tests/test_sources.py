@@ -94,6 +94,59 @@ def test_run_logs(spark, logs):
     assert {r.config for r in every.collect()} == {"full", "w/o_spectral", "mystery"}
 
 
+@pytest.fixture
+def small_blocks(spark):
+    """Files are cut into blocks of about a kilobyte."""
+    keys = {"spark.sql.files.maxPartitionBytes": "1024", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_long_logs_are_read_in_blocks(spark, tmp_path, small_blocks):
+    lines = [json.dumps({"epoch": i, "val_acc": i / 1000}) if i % 50 else "" for i in range(1500)] + [json.dumps({"final": {"accuracy": a}}) for a in (0.25, 0.75)]
+    (tmp_path / "full_seed1.jsonl").write_text("\n".join(lines))
+    (tmp_path / "wo_spectral_seed2.jsonl").mkdir()
+    for part in range(3):  # a log as a folder of parts
+        (tmp_path / "wo_spectral_seed2.jsonl" / f"part-{part}.txt").write_text("\n".join(lines[part * 500:(part + 1) * 500]) + "\n")
+    (tmp_path / "empty_seed3.jsonl").write_text("")
+    got = runlogs.read_numbered_logs(spark, str(tmp_path))
+    want = {n: line for n, line in enumerate(lines) if line}
+    for file, upto in (("full_seed1.jsonl", 1502), ("wo_spectral_seed2.jsonl", 1500)):
+        rows = got.filter(F.col("file") == file).collect()
+        assert {r.line_no: r.line for r in rows} == {n: t for n, t in want.items() if n < upto}
+        assert len(rows) == len({r.line_no for r in rows})
+        assert [r.line_no for r in sorted(rows, key=lambda r: r.line_at)] == sorted(n for n in want if n < upto)
+    read = runlogs.read_logs(spark, str(tmp_path))
+    assert read.select("line_at.block").distinct().count() > 20 and read.rdd.getNumPartitions() > 8
+    finals = runlogs.final_records(runlogs.parse_lines(read)).collect()
+    assert [(r.slug, r.accuracy) for r in finals] == [("full", 0.75)]
+
+
+def test_long_run_files_keep_their_order(spark, tmp_path, small_blocks):
+    (tmp_path / "a.csv").write_text("x,y\n" + "".join(f"{i},{-i}\n" for i in range(2000)))
+    (tmp_path / "b.csv").write_text("x,y\n7,8\n")
+    (tmp_path / "c.csv").write_text("x,y\n")
+    d = runfiles.scan_runs(spark, str(tmp_path), "x DOUBLE, y DOUBLE")
+    rows = d.filter("channel = 'x'").select(F.element_at(F.split("path", "/"), -1).alias("f"), "file_row", "value").collect()
+    assert sorted((r.file_row, r.value) for r in rows if r.f == "a.csv") == [(i, float(i)) for i in range(2000)]
+    assert [(r.file_row, r.value) for r in rows if r.f == "b.csv"] == [(0, 7.0)] and not [r for r in rows if r.f == "c.csv"]
+
+
+def test_log_reports(spark, logs):
+    from gaugeflow.plans.reporting import as_measures, log_reports
+
+    tables = log_reports(spark, logs)
+    assert {(r.config, r.n, r.accuracy_mean) for r in tables["results"].collect()} == {("full", 1, 0.9), ("w/o_spectral", 1, 0.8)}
+    assert tuple(tables["logs"].first()) == (4, 1, 1)
+    assert tables["significance"].count() == 0  # one seed is no pair of runs with a spread
+    long = as_measures({k: tables[k] for k in ("results", "curves", "logs")}).collect()
+    assert {(r.report, r.config, r.epoch, r.measure): r.value for r in long}[("curves", "full", "1", "rho_mean")] == 0.5
+
+
 def test_slugs(spark):
     df = spark.createDataFrame([("w/o_dynamic_gating",), ("r1_w/o_spectral",), ("a b!c ",)], "config string")
     assert [r.s for r in df.select(config_slug("config").alias("s")).collect()] == ["wo_dynamic_gating", "r1_wo_spectral", "a_b_c"]
