@@ -441,6 +441,27 @@ def stratified_cell_split(spark, sf):
     return splitting.split_stratified(_units(spark, sf), SEED, ["bearing", "setting"]).select("unit", "class", "split")
 
 
+_TINY = _DEALT.replace("""un AS (SELECT o_orderkey AS unit, o_orderpriority AS class, o_custkey % 4 AS bearing, o_orderstatus AS setting FROM orders)""", """
+un AS (SELECT o_orderkey AS unit, o_custkey * 3 + o_orderkey % 3 AS class, CASE WHEN o_totalprice < 400000 THEN year(o_orderdate) % 2 END AS bearing, o_orderstatus AS setting FROM orders)""").replace(
+    "rk AS (SELECT", "rk0 AS (SELECT").replace("row_number() OVER (PARTITION BY class ORDER BY md5(concat_ws", "row_number() OVER (PARTITION BY sz.class ORDER BY md5(concat_ws").replace(
+    "range(0, 100000) AS g(lv) WHERE lv <= (SELECT max(size) FROM sz)", "range(0, 1000) AS g(lv) WHERE lv <= (SELECT max(size) FROM sz)")
+
+
+@query("tiny_class_split", f"""
+WITH {_TINY},
+cn AS (SELECT *, count(*) OVER (PARTITION BY class) AS n, row_number() OVER (PARTITION BY class ORDER BY md5(concat_ws('|', unit, {SEED})), unit) AS ck FROM rk0)
+SELECT unit, cn.class, CASE WHEN n = 1 THEN 'test' WHEN n = 2 THEN CASE WHEN ck = 1 THEN 'test' ELSE 'train' END
+  WHEN rk <= q_train THEN 'train' WHEN rk <= q_train + q_val THEN 'val' ELSE 'test' END AS split
+FROM cn LEFT JOIN q ON q.class = cn.class AND q.bearing IS NOT DISTINCT FROM cn.bearing AND q.setting = cn.setting
+""")
+def tiny_class_split(spark, sf):
+    """Orders in classes of one unit, two units and a few, with cells that lack a bearing."""
+    units = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("unit"), (F.col("o_custkey") * 3 + F.col("o_orderkey") % 3).alias("class"),
+        F.when(F.col("o_totalprice") < 400000, F.year("o_orderdate") % 2).alias("bearing"), F.col("o_orderstatus").alias("setting"))
+    return splitting.split_stratified(units, SEED, ["bearing", "setting"]).select("unit", "class", "split")
+
+
 @query("stratified_split_totals", """
 WITH n AS (SELECT o_orderpriority AS class, count(*) AS n FROM orders GROUP BY 1),
 s AS (SELECT class, n, round_even(n * 0.2::DOUBLE, 0)::BIGINT AS v FROM n)

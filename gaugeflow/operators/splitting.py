@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugeflow.functions.hashing import key_hash
@@ -98,72 +97,65 @@ def split_within_run(runs: DataFrame, window: int, length: str = "length") -> Da
     return runs.withColumn("way", way).withColumn("_seg", F.explode(parts)).select("*", "_seg.*").drop("_seg")
 
 
-def deal_quotas(cells: DataFrame, counts: DataFrame, seed: int, cell: Sequence[str],
-                group: str = "class") -> DataFrame:
-    """How many units of each cell go to train, val and test.
+def deal_quotas(cells: DataFrame, seed: int, cell: Sequence[str], group: str = "class") -> DataFrame:
+    """Cells (group, cell, size) with the units of each that go to train and val (``q_train``, ``q_val``); the rest are test.
 
-    A split with at least one unit per cell first reserves one in each; the rest is dealt
-    one by one over the cells in a seeded order that starts one cell later per split,
-    within each cell's size. Only the table of cell sizes is grouped, never the units, and
-    the work per class grows with its cells, not its units.
+    A split with at least one unit per cell first reserves one in each; the rest is dealt one by one over the cells in a
+    seeded order that starts one cell later per split, within each cell's size. Dealing fills all cells to one level, or to their size where that is less,
+    and one more in the first cells that have room: the level follows from running sums over the cells by room. All of it is
+    windows over the table of cells with one partitioning. Classes too small for the counts get NULL.
     """
-    order = Window.partitionBy(group).orderBy(key_hash(*cell, seed), *cell)
-    asked = counts.withColumnRenamed(group, "_class")
-    table = cells.withColumn("_turn", F.row_number().over(order)).join(asked, F.col(group).eqNullSafe(F.col("_class"))).drop("_class")
-    schema = table.select(group, *cell).schema.add("q_train", "long").add("q_val", "long").add("q_test", "long")
-
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_turn").reset_index(drop=True)
-        room = pdf["size"].to_numpy().copy()
-        got = {s: (room * 0) for s in SPLITS}
-        asked = {s: int(pdf[f"n_{s}"].iloc[0]) for s in SPLITS}
-        for s in SPLITS:
-            if asked[s] >= len(pdf):
-                reserve = (room > 0).astype(room.dtype)
-                got[s] += reserve
-                room -= reserve
-        for turn, s in enumerate(SPLITS):
-            left = asked[s] - int(got[s].sum())
-            lap = [(turn + i) % len(pdf) for i in range(len(pdf))]
-            while left > 0 and (open_ := [c for c in lap if room[c] > 0]):
-                # as many whole laps at once as the fullest open cell allows, then a partial one
-                laps = min(left // len(open_), int(room[open_].min()))
-                take = open_ if laps else open_[:left]
-                got[s][take] += max(laps, 1)
-                room[take] -= max(laps, 1)
-                left -= max(laps, 1) * len(take)
-        out = pdf[[group, *cell]].copy()
-        for s in SPLITS:
-            out[f"q_{s}"] = got[s]
-        return out
-
-    return table.groupBy(group).applyInPandas(deal, schema)
+    whole = Window.partitionBy(group)
+    # one hash column and one order: every window below reuses the same exchange
+    d = cells.withColumn("_hash", key_hash(*cell, seed)).select(
+        *[F.col(c) for c in (group, *cell)], "size",
+        (F.row_number().over(whole.orderBy("_hash", *cell)) - 1).alias("_turn"), F.count(F.lit(1)).over(whole).alias("_k"),
+        sixty_twenty_counts(F.sum("size").over(whole)).alias("_asked"))
+    reserved, left = {}, F.col("size")
+    for s in SPLITS:
+        reserved[s] = F.when((F.col(f"_asked.n_{s}") >= F.col("_k")) & (left > 0), 1).otherwise(0)
+        d = d.withColumn(f"_own_{s}", reserved[s])
+        left = left - F.col(f"_own_{s}")
+    d = d.withColumn("_room", left)
+    for shift, s in enumerate(("train", "val")):
+        d = d.withColumn("_rem", F.col(f"_asked.n_{s}") - F.sum(f"_own_{s}").over(whole))
+        d = d.withColumn("_place", F.pmod(F.col("_turn") - shift, F.col("_k")))
+        up = whole.orderBy("_room", "_place").rowsBetween(Window.unboundedPreceding, 0)
+        d = d.withColumn("_i", F.count(F.lit(1)).over(up)).withColumn("_sum", F.sum("_room").over(up))
+        used = F.col("_sum") + F.col("_room") * (F.col("_k") - F.col("_i"))
+        full = F.when(used <= F.col("_rem"), F.struct("_i", F.col("_room").alias("level"), used.alias("used")))
+        none = F.struct(F.lit(0).cast("long").alias("_i"), F.lit(0).cast("long").alias("level"), F.lit(0).cast("long").alias("used"))
+        d = d.withColumn("_full", F.coalesce(F.max(full).over(whole), none))
+        open_ = F.col("_k") - F.col("_full._i")
+        more = F.when(open_ > 0, F.floor((F.col("_rem") - F.col("_full.used")) / F.nullif(open_, F.lit(0)))).otherwise(0)
+        d = d.withColumn("_level", F.col("_full.level") + more).withColumn("_over", F.col("_rem") - F.col("_full.used") - more * open_)
+        has = F.when(F.col("_room") > F.col("_level"), 1).otherwise(0)
+        lap = F.sum(has).over(whole.orderBy("_place").rowsBetween(Window.unboundedPreceding, 0))
+        d = d.withColumn("_got", F.least("_room", "_level") + F.when((has == 1) & (lap <= F.col("_over")), 1).otherwise(0))
+        d = d.withColumn(f"q_{s}", F.col(f"_own_{s}") + F.col("_got")).withColumn("_room", F.col("_room") - F.col("_got"))
+    return d.select(group, *cell, "size", *[F.when(F.col("_asked").isNotNull(), F.col(q)).cast("long").alias(q) for q in ("q_train", "q_val")])
 
 
 def split_stratified(units: DataFrame, seed: int, cell: Sequence[str], key: str = "unit",
                      group: str = "class") -> DataFrame:
     """60/20/20 split of units with every (group, cell) represented in every split it can be.
 
-    A class too small for these counts takes the proportional split, whatever its cells; NULL
-    classes and cells are classes and cells of their own. Every unit comes out once.
+    A class too small for these counts (two units at most) takes the proportional split, whatever its cells; NULL
+    classes and cells are classes and cells of their own. Every unit comes out once. One pass ranks all units: by cell, or by class in a small class.
     """
     keys = [group, *cell]
     sizes = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
-    counts = sizes.groupBy(group).agg(F.sum("size").alias("n")).select(
-        group, sixty_twenty_counts(F.col("n")).alias("_s")).filter("_s IS NOT NULL").select(group, "_s.*")
-    quotas = deal_quotas(sizes, counts, seed, cell, group).withColumnsRenamed({k: f"_q_{k}" for k in keys})
-    ranked = hash_ranked(units, keys, [key], seed, rank="_rank", total=None).join(
-        quotas, [F.col(k).eqNullSafe(F.col(f"_q_{k}")) for k in keys], "left")
-    split = (
-        F.when(F.col("_rank") <= F.col("q_train"), "train")
-        .when(F.col("_rank") <= F.col("q_train") + F.col("q_val"), "val")
-        .otherwise("test")
-    )
-    dealt = ranked.filter("q_train IS NOT NULL").select(*units.columns, split.alias("split"))
-    tiny = hash_ranked(ranked.filter("q_train IS NULL").select(*units.columns), [group], [key], seed, rank="_rank", total="_n")
+    quotas = deal_quotas(sizes, seed, cell, group).drop("size").withColumnsRenamed({k: f"_q_{k}" for k in keys})
+    met = units.join(quotas, [F.col(k).eqNullSafe(F.col(f"_q_{k}")) for k in keys])
+    dealt = F.col("q_train").isNotNull()
+    met = met.select(*units.columns, "q_train", "q_val", *[F.when(dealt, F.col(c)).alias(f"_c_{c}") for c in cell])
+    ranked = hash_ranked(met, [group, *[f"_c_{c}" for c in cell]], [key], seed, rank="_rank", total="_n")
     test, val = proportional_counts(F.col("_n"))
-    rest = F.when(F.col("_rank") <= test, "test").when(F.col("_rank") <= test + val, "val").otherwise("train")
-    return dealt.union(tiny.select(*units.columns, rest.alias("split")))
+    rank = F.col("_rank")
+    split = F.when(
+        dealt, F.when(rank <= F.col("q_train"), "train").when(rank <= F.col("q_train") + F.col("q_val"), "val").otherwise("test")
+    ).otherwise(F.when(rank <= test, "test").when(rank <= test + val, "val").otherwise("train"))
+    return ranked.select(*units.columns, split.alias("split"))
 
 
 def split_groups(units: DataFrame, seed: int, quotas: Mapping[str, tuple[int, int, int]] = BEARING_QUOTAS,
