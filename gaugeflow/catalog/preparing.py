@@ -164,15 +164,16 @@ def window_counts(spark, sf):
     return _lengths(spark, sf).select("run_id", "length", win.window_count("length", 50, 7).alias("windows"))
 
 
+_NEAREST = "{f}_value({v} IGNORE NULLS) OVER (PARTITION BY run_id, channel ORDER BY pos ROWS BETWEEN {frame})"
+_BACK, _ON = "UNBOUNDED PRECEDING AND CURRENT ROW", "CURRENT ROW AND UNBOUNDED FOLLOWING"
+
+
 @query("interpolated_gaps", f"""
-WITH {GAPPY}, full_ AS (SELECT *, count(value) OVER (PARTITION BY run_id, channel) AS filled FROM gappy),
-nb AS (
-  SELECT *, max(CASE WHEN value IS NOT NULL THEN pos END) OVER (PARTITION BY run_id, channel ORDER BY pos) AS p0,
-    min(CASE WHEN value IS NOT NULL THEN pos END) OVER (PARTITION BY run_id, channel ORDER BY pos DESC) AS p1 FROM full_ WHERE filled > 0),
-j AS (SELECT n.run_id, n.channel, n.pos, n.p0, n.p1, a.value AS v0, b.value AS v1 FROM nb n
-  LEFT JOIN gappy a ON a.run_id = n.run_id AND a.channel = n.channel AND a.pos = n.p0
-  LEFT JOIN gappy b ON b.run_id = n.run_id AND b.channel = n.channel AND b.pos = n.p1)
-SELECT run_id, channel, pos, {r('CASE WHEN p0 IS NULL THEN v1 WHEN p1 IS NULL OR p0 = p1 THEN v0 ELSE v0 + (v1 - v0) * (pos - p0) / (p1 - p0) END', 9)} AS value FROM j
+WITH {GAPPY}, nb AS (
+  SELECT run_id, channel, pos, count(value) OVER (PARTITION BY run_id, channel) AS filled,
+    {_NEAREST.format(f='last', v='CASE WHEN value IS NOT NULL THEN pos END', frame=_BACK)} AS p0, {_NEAREST.format(f='last', v='value', frame=_BACK)} AS v0,
+    {_NEAREST.format(f='first', v='CASE WHEN value IS NOT NULL THEN pos END', frame=_ON)} AS p1, {_NEAREST.format(f='first', v='value', frame=_ON)} AS v1 FROM gappy)
+SELECT run_id, channel, pos, {r('CASE WHEN p0 IS NULL THEN v1 WHEN p1 IS NULL OR p0 = p1 THEN v0 ELSE v0 + (v1 - v0) * (pos - p0) / (p1 - p0) END', 9)} AS value FROM nb WHERE filled > 0
 """, digits=9)
 def interpolated_gaps(spark, sf):
     """Empty channels leave their run, the other gaps are filled by position."""
@@ -527,17 +528,28 @@ def pooled_fast_channel(spark, sf):
     return win.mean_pool(domain.multirate(spark, sf).filter("channel = 'vibration'"), ["unit", "channel"])
 
 
-_ALIGNED = MULTIRATE + """,
-pool AS (SELECT unit, pos // 16 AS pos, avg(value) AS vibration FROM fast GROUP BY unit, pos // 16 HAVING count(*) = 16)"""
-
-
 @query("aligned_rates", f"""
-WITH {_ALIGNED} SELECT unit, pos, {r('vibration')} AS vibration, {r('f.value')} AS force, {r('t.value')} AS torque
-FROM pool JOIN (SELECT * FROM slow WHERE channel = 'force') f USING (unit, pos) JOIN (SELECT * FROM slow WHERE channel = 'torque') t USING (unit, pos)
+WITH {MULTIRATE} SELECT unit, pos, {r('avg(v)')} AS vibration, {r('max(f)')} AS force, {r('max(t)')} AS torque FROM (
+  SELECT unit, pos // 16 AS pos, value AS v, NULL::DOUBLE AS f, NULL::DOUBLE AS t FROM fast
+  UNION ALL SELECT unit, pos, NULL, CASE channel WHEN 'force' THEN value END, CASE channel WHEN 'torque' THEN value END FROM slow)
+GROUP BY unit, pos HAVING count(v) = 16 AND count(f) > 0 AND count(t) > 0
 """)
 def aligned_rates(spark, sf):
-    """Fast and slow channels on one grid, trimmed to the shortest."""
-    return win.align_rates(domain.multirate(spark, sf), "unit", ["vibration"], ["force", "torque"])
+    """Fast and slow channels on one grid, trimmed to the shortest; every unit has one record."""
+    return win.align_rates(domain.multirate(spark, sf).withColumn("record", F.lit(1)), "unit", ["vibration"], ["force", "torque"])
+
+
+@query("first_channel_record", f"""
+WITH {MULTIRATE} SELECT unit, pos, {r('avg(v)')} AS vibration, {r('max(f)')} AS force FROM (
+  SELECT unit, pos // 16 AS pos, value AS v, NULL::DOUBLE AS f FROM fast UNION ALL SELECT unit, pos, NULL, value FROM slow WHERE channel = 'force')
+GROUP BY unit, pos HAVING count(v) = 16 AND count(f) > 0
+""")
+def first_channel_record(spark, sf):
+    """Units that repeat their records: the fast channel a second and third time with other values, the slow one a second time and cut short. Only the first record counts."""
+    d = domain.multirate(spark, sf).filter("channel <> 'torque'")
+    times = F.when(F.col("channel") == "vibration", F.sequence(F.lit(0), F.lit(2))).when(F.col("pos") < 5, F.sequence(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    again = d.withColumn("record", F.explode(times)).withColumn("value", F.col("value") + F.col("record"))
+    return win.align_rates(again, "unit", ["vibration"], ["force"])
 
 
 @query("rate_warnings", f"""

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gaugeflow.functions.scalars import array_mean
+
 POOL_FACTOR = 16
 FLAT_STD = 1e-8
 
@@ -46,27 +48,36 @@ def mean_pool(df: DataFrame, keys: Sequence[str], factor: int = POOL_FACTOR, val
 
 
 def align_rates(samples: DataFrame, unit: str, fast_channels: Sequence[str], slow_channels: Sequence[str],
-                factor: int = POOL_FACTOR, record: str | None = None) -> DataFrame:
+                factor: int = POOL_FACTOR, record: str = "record") -> DataFrame:
     """One row per (unit, pos) with all channels on the slow grid.
 
     Fast channels are mean-pooled, slow ones kept, other channels ignored, and the unit
     ends with its shortest channel. Samples are long: unit, channel, pos, value; both rates
     go through one grouping. A unit without one of the channels has no row here;
-    ``missing_channels`` lists it. Where a unit may hold several records of a channel, ``record``
-    names their number, and the first record of each channel is the one that counts.
+    ``missing_channels`` lists it.
+
+    A unit may hold several records of a channel; the first one counts, whole. ``record`` names the column of record
+    numbers: blocks are built by record, and the least number of (unit, channel) is known when its blocks, not its samples, come together. A table
+    without that column has one record per channel; a position that is repeated then counts once, with its least value.
     """
     names = [*fast_channels, *slow_channels]
-    if record is not None:
-        first = samples.groupBy(unit, "channel").agg(F.min(record).alias(record))
-        samples = samples.join(first, [unit, "channel", record])
     fast = F.col("channel").isin(*fast_channels)
-    block = F.when(fast, F.floor(F.col("pos") / factor)).otherwise(F.col("pos")).cast("long")
-    pooled = (
-        samples.filter(F.col("channel").isin(*names))
-        .groupBy(unit, "channel", block.alias("pos"))
-        .agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("_n"))
-        .filter(~fast | (F.col("_n") == factor))
-    )
+    pos = F.col("pos").cast("long")
+    block = F.when(fast, F.floor(pos / factor)).otherwise(pos).cast("long")
+    known = samples.filter(F.col("channel").isin(*names))
+    if record in samples.columns:
+        pooled = known.groupBy(unit, "channel", record, block.alias("pos")).agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("_n"))
+        least = F.min(record).over(Window.partitionBy(unit, "channel"))
+        pooled = pooled.withColumn("_first", least).filter(F.col(record) == F.col("_first"))
+    else:
+        # the place in the block has an aggregate of its own: combined before the shuffle, repeated or not
+        place = F.when(fast, F.pmod(pos, F.lit(factor))).otherwise(0).cast("int")
+        seen = [F.bit_or(F.when(F.floor(place / 60) == j, F.call_function("shiftleft", F.lit(1).cast("long"), place % 60))) for j in range(-(-factor // 60))]
+        cells = F.array(*[F.min(F.when(place == i, F.col("value"))) for i in range(factor)])
+        count = sum((F.bit_count(F.coalesce(m, F.lit(0).cast("long"))) for m in seen), F.lit(0))
+        pooled = known.groupBy(unit, "channel", block.alias("pos")).agg(F.filter(cells, lambda v: v.isNotNull()).alias("_cells"), count.alias("_n"))
+        pooled = pooled.withColumn("value", F.when(F.size("_cells") > 0, array_mean("_cells"))).drop("_cells")
+    pooled = pooled.filter(~fast | (F.col("_n") == factor))
     # positions are contiguous from 0, so rows with every channel are the common length
     wide = pooled.groupBy(unit, "pos").agg(
         *[F.max(F.when(F.col("channel") == c, F.col("value"))).alias(c) for c in names],

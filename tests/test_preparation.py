@@ -203,3 +203,13 @@ def test_first_record_of_a_channel_counts(spark):
     df = spark.createDataFrame(rows, "unit string, channel string, rec int, pos long, value double")
     got = win.align_rates(df, "unit", ["fast"], ["slow"], factor=2, record="rec").orderBy("pos").collect()
     assert [tuple(r[c] for c in ("unit", "pos", "fast", "slow")) for r in got] == [("a", 0, 0.5, 7.0), ("a", 1, 2.5, 7.0)]
+
+
+def test_repeated_positions_count_once(spark):
+    rows = [(1, "fast", i, float(i)) for i in range(8)] + [(1, "fast", 2, 9.0), (1, "fast", 7, 1.0), (1, "slow", 0, 5.0), (1, "slow", 0, 4.0), (1, "slow", 1, None),
+            (2, "fast", 0, 1.0), (2, "fast", 0, 2.0), (2, "slow", 0, 1.0)]
+    df = spark.createDataFrame(rows, "unit int, channel string, pos int, value double")
+    got = {(r.unit, r.pos): (r.fast, r.slow) for r in win.align_rates(df, "unit", ["fast"], ["slow"], factor=4).collect()}
+    assert got == {(1, 0): (1.5, 4.0), (1, 1): ((4 + 5 + 6 + 1) / 4, None)}
+    wide = spark.createDataFrame([(1, "fast", i, 1.0) for i in range(130)] + [(1, "slow", 0, 2.0)], "unit int, channel string, pos int, value double")
+    assert [tuple(r) for r in win.align_rates(wide, "unit", ["fast"], ["slow"], factor=130).collect()] == [(1, 0, 1.0, 2.0)]
