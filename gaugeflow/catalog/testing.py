@@ -102,6 +102,27 @@ def signed_rank_tests(spark, sf):
     return sig.wilcoxon(_pairs(spark, sf), KEYS)
 
 
+@query("signed_rank_normal", f"""
+WITH {finals_sql()}, {PAIRS}, {WILCOXON} SELECT metric, config, n AS n_nonzero, {r('stat')} AS statistic, {r('w_p')} AS wilcoxon_p FROM wp
+""")
+def signed_rank_normal(spark, sf):
+    """Monthly seeds by the normal approximation, whatever their number."""
+    return sig.wilcoxon(_pairs(spark, sf), KEYS, method="normal")
+
+
+@query("signed_rank_exact", f"""
+WITH {finals_sql()}, {PAIRS}, {RANKS},
+ob AS (SELECT metric, config, max(n) AS n, sum(CASE WHEN d > 0 THEN 2 * r ELSE 0 END)::BIGINT AS pos, sum(2 * r)::BIGINT AS tot, list([2 * r]) AS rs FROM rk GROUP BY ALL),
+law AS (SELECT *, list_reduce(list_concat([list_transform(range(0, tot + 1), lambda s: CASE WHEN s = 0 THEN 1.0::DOUBLE ELSE 0 END)], rs),
+  lambda a, x: list_transform(range(1, len(a) + 1), lambda s: (a[s] + CASE WHEN s > x[1] THEN a[(s - x[1])::BIGINT] ELSE 0 END) / 2)) AS p FROM ob)
+SELECT metric, config, n AS n_nonzero, {r('least(pos, tot - pos) / 2')} AS statistic,
+  {r('least(1, 2 * least(list_sum(p[1:pos + 1]), list_sum(p[pos + 1:])))', 9)} AS wilcoxon_p FROM law
+""", digits=9)
+def signed_rank_exact(spark, sf):
+    """The same pairs by the exact law: one convolution per rank on both sides."""
+    return sig.wilcoxon(_pairs(spark, sf), KEYS, method="exact")
+
+
 def _horner(coefs, x):
     out = f"{coefs[-1]!r}::DOUBLE"
     for c in reversed(coefs[:-1]):

@@ -78,15 +78,25 @@ def normal_upper(z):
 
 
 def signed_rank_p(doubled: list[int] | np.ndarray, positive: int) -> float:
-    """Two-sided exact p of a signed-rank sum: counts the sign patterns of the (doubled,
-    possibly tied) ranks by their sum."""
+    """Two-sided exact p of a signed-rank sum: the law of the (doubled, possibly tied) rank sum by
+    one convolution per rank, in probabilities, which do not overflow as counts would."""
     ranks = np.asarray(doubled, dtype=int)
-    ways = np.zeros(ranks.sum() + 1)
-    ways[0] = 1.0
+    law = np.zeros(ranks.sum() + 1)
+    law[0], top = 1.0, 0
     for r in ranks:
-        ways[r:] = ways[r:] + ways[: len(ways) - r]
-    ways /= ways.sum()
-    return float(min(1.0, 2.0 * min(ways[: positive + 1].sum(), ways[positive:].sum())))
+        top += r
+        law[: top + 1] *= 0.5
+        law[r: top + 1] += law[: top + 1 - r].copy()
+    return float(min(1.0, 2.0 * min(law[: positive + 1].sum(), law[positive:].sum())))
+
+
+def ranks_of(n: int, tied: list[tuple[int, int]]) -> np.ndarray:
+    """Doubled ranks of n values, from the (doubled rank, size) of the groups of equal ones."""
+    ranks = 2 * np.arange(1, n + 1)
+    for doubled, size in tied:
+        first = (doubled - size + 1) // 2
+        ranks[first - 1: first - 1 + size] = doubled
+    return ranks
 
 
 def _udf(fn):
@@ -131,12 +141,13 @@ def normal_upper_p(z: Column) -> Column:
     return _udf(f)(z.cast("double"))
 
 
-def exact_signed_rank_p(doubled: Column, positive: Column) -> Column:
-    def f(ranks: pd.Series, pos: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None or len(r) == 0 else signed_rank_p(r, int(p)) for r, p in zip(ranks, pos)],
+def exact_signed_rank_p(n: Column, tied: Column, positive: Column) -> Column:
+    """p of ``positive``, the doubled rank sum of the positive ones among n; ``tied`` lists (doubled, ties) of equal ones; NULL without n."""
+    def f(n: pd.Series, tied: pd.Series, pos: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(k) or k == 0 else signed_rank_p(ranks_of(int(k), [(x["doubled"], x["ties"]) for x in t]), int(p)) for k, t, p in zip(n, tied, pos)],
                          dtype=object)
 
-    return _udf(f)(doubled, positive)
+    return _udf(f)(n, tied, positive)
 
 
 # Rational approximation of the normal quantile (AS 241, PPND16).

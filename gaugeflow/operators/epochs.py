@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -65,22 +66,49 @@ def early_epochs(epochs: DataFrame, upto: int = 15, config: str | None = None) -
     return d.filter(F.col("config") == config) if config else d
 
 
-def balancing_coefficients(epochs: DataFrame, momentum: float = 0.9, run: Sequence[str] = RUN,
-                           first: str = "acc_t_aux", second: str = "acc_f_aux") -> DataFrame:
-    """Smoothed accuracies of two branches turned into coefficients that add up to 2; the
-    weaker branch gets the larger one. The first epoch seeds the average.
+def smoothed(epochs: DataFrame, values: dict[str, str], momentum: float, run: Sequence[str] = RUN) -> DataFrame:
+    """(run, epoch, one column per value): e_1 = x_1, then e = momentum e + (1 - momentum) x along each run.
 
-    The recursion is over one run's epochs (bounded by the epoch budget), folded in the row.
+    A step is an affine map of the average so far, and maps compose, so the recursion is a scan: runs are cut into chunks of
+    epochs, a chunk's rows are composed by one running sum scaled with powers of the momentum, and chunks hand each other their last value. The same
+    sum composes the chunks of a run (one short row each), in stretches over which the powers stay in a double's range;
+    beyond the stretch before, nothing is left that a double could hold. Values must not be NULL.
     """
-    steps = epochs.groupBy(*run).agg(F.array_sort(F.collect_list(F.struct("epoch", first, second))).alias("_s"))
+    if not 0 < momentum < 1:
+        raise ValueError("momentum must lie between 0 and 1")
+    reach = max(2, int(230 / -math.log(momentum)))  # momentum ** reach is about 1e-100
+    m = lambda k: F.pow(F.lit(momentum), k.cast("double"))
+    rows = epochs.select(*run, "epoch", *[F.col(c).cast("double").alias(f"_x_{n}") for n, c in values.items()]).withColumn("_chunk", F.floor(F.col("epoch") / reach))
+    at = Window.partitionBy(*run, "_chunk").orderBy("epoch")
+    upto = at.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_j", F.row_number().over(at) - 1)
+    for n in values:
+        rows = rows.withColumn(f"_b_{n}", (1 - momentum) * m(F.col("_j")) * F.sum(F.col(f"_x_{n}") * m(-F.col("_j"))).over(upto))
+    chunks = rows.groupBy(*run, "_chunk").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.max_by(f"_b_{n}", "_j").alias(f"_b_{n}") for n in values], *[F.min_by(f"_x_{n}", "_j").alias(f"_x_{n}") for n in values])
+    by = Window.partitionBy(*run).orderBy("_chunk")
+    before = by.rowsBetween(Window.unboundedPreceding, 0)
+    chunks = chunks.withColumn("_end", F.sum("_n").over(before)).withColumn("_first", F.row_number().over(by) == 1)
+    chunks = chunks.withColumn("_stretch", F.floor(F.col("_end") / reach))
+    left = F.col("_end") - F.col("_stretch") * reach
+    in_stretch = Window.partitionBy(*run, "_stretch").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*run).orderBy("_stretch").rangeBetween(Window.unboundedPreceding, -1)
+    for n in values:
+        # the first epoch seeds the average: it is what the run starts with, too
+        b = F.col(f"_b_{n}") + F.when(F.col("_first"), m(F.col("_n")) * F.col(f"_x_{n}")).otherwise(0.0)
+        chunks = chunks.withColumn(f"_p_{n}", m(left) * F.sum(b * m(-left)).over(in_stretch))
+        last = F.max(F.struct("_end", f"_p_{n}")).over(earlier)
+        end = F.col(f"_p_{n}") + F.coalesce(m(F.col("_end") - last["_end"]) * last[f"_p_{n}"], F.lit(0.0))
+        chunks = chunks.withColumn(f"_e_{n}", end)
+    carry = chunks.select(*run, "_chunk", *[F.when(F.col("_first"), F.col(f"_x_{n}")).otherwise(F.lag(f"_e_{n}").over(by)).alias(f"_in_{n}") for n in values])
+    out = rows.join(carry, [*run, "_chunk"])
+    return out.select(*run, "epoch", *[(F.col(f"_b_{n}") + m(F.col("_j") + 1) * F.col(f"_in_{n}")).alias(n) for n in values])
 
-    def step(acc, x):
-        prev = F.element_at(acc, -1)
-        t = F.when(F.size(acc) == 0, x[first]).otherwise(momentum * prev["ema_t"] + (1 - momentum) * x[first])
-        f = F.when(F.size(acc) == 0, x[second]).otherwise(momentum * prev["ema_f"] + (1 - momentum) * x[second])
-        return F.concat(acc, F.array(F.struct(x["epoch"].alias("epoch"), t.alias("ema_t"), f.alias("ema_f"))))
 
-    kind = f"array<struct<epoch:{dict(epochs.dtypes)['epoch']},ema_t:double,ema_f:double>>"
-    out = steps.select(*run, F.explode(F.aggregate("_s", F.array().cast(kind), step)).alias("e")).select(*run, "e.*")
+def balancing_coefficients(epochs: DataFrame, momentum: float = 0.9, run: Sequence[str] = RUN,
+                           first: str = "acc_t_aux", second: str = "acc_f_aux") -> DataFrame:
+    """Smoothed accuracies of two branches turned into coefficients that add up to 2; the
+    weaker branch gets the larger one. The first epoch seeds the average; epochs that lack one of the accuracies are left out."""
+    out = smoothed(epochs.filter(F.col(first).isNotNull() & F.col(second).isNotNull()), {"ema_t": first, "ema_f": second}, momentum, run)
     total = F.col("ema_t") + F.col("ema_f") + 1e-8
     return out.withColumn("coef_t", 2.0 * F.col("ema_f") / total).withColumn("coef_f", 2.0 * F.col("ema_t") / total)

@@ -6,9 +6,12 @@ any length are read in blocks by many tasks; the order of lines is that of their
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gaugeflow.functions.scalars import config_slug, finite, once
 from gaugeflow.sources.places import PLACE, numbered, placed
@@ -119,25 +122,49 @@ def dotted_columns(df: DataFrame, prefix: str = "") -> list[Column]:
     return out
 
 
-def objects_holding(lines: DataFrame, column: str, required: Sequence[str]) -> DataFrame:
-    """Objects at any depth of a JSON text that hold all required keys.
+def objects_in(text: str | None, required: Sequence[str]) -> Iterator[tuple[str, str]]:
+    """(path, object) of every object of a JSON text, at any depth, that has a value for all required keys, outer ones first.
 
-    The text is read as a variant; each level is one explode of the level above, until no
-    object or array is left to open.
+    NULL, malformed text, numbers that JSON does not have, and text nested deeper than the parser goes hold none; of a repeated key the last value counts.
     """
-    ids = [c for c in lines.columns if c != column]
-    nested = F.schema_of_variant("_v").rlike("^(OBJECT|ARRAY)")
-    level = lines.select(*ids, F.try_parse_json(F.col(column)).alias("_v"), F.lit("$").alias("json_path")).filter(nested)
-    found = None
-    while True:
-        hold = F.lit(True)
-        for k in required:
-            hold = hold & F.try_variant_get("_v", f"$.{k}", "string").isNotNull()
-        hit = level.filter(hold).select(*ids, "json_path", F.to_json("_v").alias("object"))
-        found = hit if found is None else found.unionByName(hit)
-        parts = level.sparkSession.tvf.variant_explode(F.col("_v").outer())
-        opened = level.lateralJoin(parts).withColumnsRenamed({"key": "k", "value": "v", "pos": "p"})
-        step = F.when(F.col("k").isNotNull(), F.concat(F.lit("."), F.col("k"))).otherwise(F.format_string("[%d]", F.col("p")))
-        level = opened.select(*ids, F.col("v").alias("_v"), F.concat("json_path", step).alias("json_path")).filter(nested)
-        if level.isEmpty():
-            return found
+    # a key that occurs nowhere in the text needs no parse; escapes could spell it otherwise
+    if text is None or ("\\" not in text and any(json.dumps(k, ensure_ascii=False) not in text for k in required)):
+        return
+    try:
+        open_ = [("$", json.loads(text, parse_constant=_no_number))]
+    except (ValueError, RecursionError):
+        return
+    while open_:
+        path, value = open_.pop()
+        if isinstance(value, dict):
+            if all(value.get(k) is not None for k in required):
+                yield path, json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+            inner = [(f"{path}.{k}", v) for k, v in value.items()]
+        else:
+            inner = [(f"{path}[{i}]", v) for i, v in enumerate(value)] if isinstance(value, list) else []
+        open_ += [x for x in reversed(inner) if isinstance(x[1], (dict, list))]
+
+
+def _no_number(name: str):
+    raise ValueError(name)
+
+
+def objects_holding(lines: DataFrame, column: str, required: Sequence[str]) -> DataFrame:
+    """Objects at any depth of a JSON text that hold all required keys: (other columns, json_path, object), in one pass over the rows."""
+    ids = [f for f in lines.schema.fields if f.name != column]
+    required = list(required)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, paths, objects = [], [], []
+            for i, text in enumerate(b.column(b.num_columns - 1)):
+                for path, found in objects_in(text.as_py(), required):
+                    at.append(i)
+                    paths.append(path)
+                    objects.append(found)
+            rows = pa.array(at, pa.int32())
+            yield pa.record_batch([*(c.take(rows) for c in b.columns[:-1]), pa.array(paths, pa.string()), pa.array(objects, pa.string())],
+                                  names=[*(f.name for f in ids), "json_path", "object"])
+
+    schema = StructType([*ids, StructField("json_path", StringType()), StructField("object", StringType())])
+    return lines.select(*[F.col(f"`{f.name}`") for f in ids], F.col(f"`{column}`").cast("string")).mapInArrow(walk, schema)

@@ -222,3 +222,44 @@ def test_routing_advice(spark):
     df = spark.createDataFrame(rows, "d string, s double, r double")
     assert [x[0] for x in df.select(reports.routing_advice("s", "r", "d")).collect()] == [
         "spectral-only", "full", "full with warning", "spectral-free", "responsive", "temporal dominates", "balanced", "spectral dominates", "spectral-free"]
+
+
+def test_smoothing_is_the_recursion(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for momentum, n in ((0.9, 5000), (0.5, 1200), (0.999, 600)):
+        at = sorted(rng.choice(200_000, n, replace=False).tolist())
+        x = rng.random(n)
+        rows = [("a", 1, int(e), float(v)) for e, v in zip(at, x)] + [("b", 1, 7, 0.25)]
+        df = spark.createDataFrame(rows, "config string, seed int, epoch int, x double").repartition(3)
+        want, e = [], x[0]
+        for v in x:
+            e = momentum * e + (1 - momentum) * v
+            want.append(e)
+        got = [r.y for r in ep.smoothed(df, {"y": "x"}, momentum).filter("config = 'a'").orderBy("epoch").collect()]
+        assert np.allclose(got, want, rtol=1e-12)
+        assert [r.y for r in ep.smoothed(df, {"y": "x"}, momentum).filter("config = 'b'").collect()] == pytest.approx([0.25])
+    gaps = spark.createDataFrame([("a", 1, 1, 0.2, 0.4), ("a", 1, 2, None, 0.3), ("a", 1, 3, 0.4, 0.4)], "config string, seed int, epoch int, acc_t_aux double, acc_f_aux double")
+    assert [r.epoch for r in ep.balancing_coefficients(gaps).orderBy("epoch").collect()] == [1, 3]
+
+
+def test_signed_rank_law_without_a_switch(spark):
+    import itertools
+
+    import numpy as np
+
+    from gaugeflow.functions.distributions import ranks_of, signed_rank_p
+
+    assert ranks_of(5, [(3, 2), (9, 2)]).tolist() == [3, 3, 6, 9, 9]
+    ranks = ranks_of(6, [(4, 3)])
+    sums = [sum(r for r, s in zip(ranks, signs) if s) for signs in itertools.product((0, 1), repeat=6)]
+    for pos in set(sums):
+        want = min(1.0, 2 * min(np.mean([s <= pos for s in sums]), np.mean([s >= pos for s in sums])))
+        assert signed_rank_p(ranks, int(pos)) == pytest.approx(want)
+    rows = [("x", i, 0.5 + (i % 7 - 2) / 50, 0.5) for i in range(1200)]
+    df = spark.createDataFrame(rows, "config string, seed int, a double, b double")
+    exact, normal, auto = (sig.wilcoxon(df, ["config"], method).first().wilcoxon_p for method in ("exact", "normal", "auto"))
+    assert auto == normal and 0 < exact < 1e-3 and abs(np.log(exact) - np.log(normal)) < 0.5 * abs(np.log(normal))
+    with pytest.raises(ValueError):
+        sig.wilcoxon(df, ["config"], "guess")

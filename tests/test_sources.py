@@ -160,6 +160,17 @@ def test_nested_objects(spark):
     assert got == [(1, "$.a.b.c.d.e.f.g"), (1, "$.deep.list[0]"), (1, "$.deep.m")]
 
 
+def test_objects_in_odd_texts(spark):
+    from gaugeflow.sources.runlogs import objects_in
+
+    keys = ["rho", "epoch"]
+    assert [list(objects_in(t, keys)) for t in (None, "", "[", "7", '{"rho": NaN, "epoch": 1}', '{"rho": null, "epoch": 1}', "[" * 200_000)] == [[]] * 7
+    assert list(objects_in(r'[[{"\u0072ho": 0, "epoch": "é", "in": {"rho": 1, "epoch": [2]}}]]', keys)) == [
+        ("$[0][0]", '{"rho":0,"epoch":"é","in":{"rho":1,"epoch":[2]}}'), ("$[0][0].in", '{"rho":1,"epoch":[2]}')]
+    empty = runlogs.objects_holding(spark.createDataFrame([], "id long, doc string, object2 string"), "doc", keys)
+    assert empty.columns == ["id", "object2", "json_path", "object"] and empty.count() == 0
+
+
 def test_table_readers_and_sinks(spark, tmp_path):
     (tmp_path / "finals.csv").write_text("config,seed,final.accuracy,final.perm_null.z,extra\nfull,42,0.5,,x\n")
     r = tables.read_finals(spark, str(tmp_path / "finals.csv"), ["final.accuracy", "final.perm_null.z", "final.absent"]).first()
