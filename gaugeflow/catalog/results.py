@@ -8,7 +8,7 @@ from gaugeflow.catalog.base import (
     DEGRADED, ELEMENTS, degradation_sql, epochs_sql, finals_sql, query, r,
 )
 from gaugeflow.functions.scalars import (
-    config_slug, mean_from_text, once, percent_points, std_from_text, std_or_zero,
+    array_mean, array_var_pop, config_slug, mean_from_text, once, percent_points, std_from_text, std_or_zero,
 )
 from gaugeflow.operators import cleaning, epochs as ep, evaluation, reports
 from gaugeflow.plans import domain, grids
@@ -113,20 +113,28 @@ def example_saturation(spark, sf):
 
 
 _SILHOUETTE = """
-WITH e AS (SELECT vec_id, label, list_transform(embedding[1:{d}], lambda x: x::DOUBLE) AS v FROM embeddings),
+WITH e AS (SELECT vec_id, label, {v} AS v FROM embeddings),
 pr AS (SELECT a.vec_id, a.label AS la, b.label AS lb, sum(list_distance(a.v, b.v)) AS s, count(*) AS n FROM e a, e b GROUP BY ALL),
 m AS (SELECT vec_id, max(CASE WHEN la = lb AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN la <> lb THEN s / n END) AS b FROM pr GROUP BY vec_id)
 SELECT {out} AS silhouette, count(*) AS n FROM m"""
+_SCORE = r("avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END)")
+_VALUES = "list_transform(embedding, lambda x: x::DOUBLE)"
+_CHANNELS = [f"({_VALUES})[{c * 16 + 1}:{c * 16 + 16}]" for c in range(4)]
 
 
-def _silhouette(spark, sf, size):
-    d = domain.vectors(spark, sf).select("window_id", "label", F.slice("vector", 1, size).alias("v"))
-    return evaluation.silhouette(d, "window_id", "label", "v")
+@query("silhouette_raw", _SILHOUETTE.format(v=_VALUES, out=_SCORE))
+def silhouette_raw(spark, sf):
+    """All components of all windows as they are."""
+    return evaluation.silhouette(domain.vectors(spark, sf), "window_id", "label", "vector")
 
 
-for _name, _size in (("silhouette_raw", 64), ("silhouette_features", 8)):
-    query(_name, _SILHOUETTE.format(d=_size, out=r("avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END)")))(
-        lambda spark, sf, n=_size: _silhouette(spark, sf, n))
+@query("silhouette_features", _SILHOUETTE.format(
+    v="[" + ", ".join(f"{f}({c})" for c in _CHANNELS for f in ("list_avg", "list_stddev_pop", "list_min", "list_max")) + "]", out=_SCORE))
+def silhouette_features(spark, sf):
+    """Features of all windows: mean, deviation and extremes of each channel, from all of its samples."""
+    parts = [F.slice("vector", c * domain.SERIES_LENGTH + 1, domain.SERIES_LENGTH) for c in range(domain.CHANNELS)]
+    features = F.array(*[f for p in parts for f in (array_mean(p), F.sqrt(array_var_pop(p)), F.array_min(p), F.array_max(p))])
+    return evaluation.silhouette(domain.vectors(spark, sf).select("window_id", "label", features.alias("v")), "window_id", "label", "v")
 
 
 # ---- run logs ---------------------------------------------------------------------------

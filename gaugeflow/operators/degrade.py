@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeflow.functions.hashing import fast_uniform, key_hash, normal_from, uniform, uniform_from
 from gaugeflow.functions.scalars import array_sum, array_sum_sq, let
+from gaugeflow.operators.windows import with_channel_stats
 
 # Names in evaluation order, and the offset of their seeds from the run seed.
 DEGRADATIONS = (
@@ -147,7 +148,8 @@ def _with_moments(windows: DataFrame, names: Sequence[str]) -> DataFrame:
     """Adds the channel moments when one of the faults is scaled by them."""
     if not any(n.startswith("gaussian") or n in ("drift", "bias") for n in names):
         return windows
-    return windows.join(channel_moments(windows).select("channel", F.col("power").alias("_power"), F.col("std").alias("_std")), "channel")
+    moments = channel_moments(windows).select("channel", F.col("power").alias("_power"), F.col("std").alias("_std"))
+    return with_channel_stats(windows, moments, ["_power", "_std"])
 
 
 def degrade(windows: DataFrame, name: str, row: Sequence[str], run_seed: int, channels: Sequence[str] | None = None) -> DataFrame:

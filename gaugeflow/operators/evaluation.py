@@ -126,10 +126,12 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def silhouette(points: DataFrame, key: str, label: str, vector: str, tile: int = 4096, limit: int | None = None) -> DataFrame:
     """Mean silhouette (Euclidean) of all points.
 
-    Points are dealt to blocks by a hash, and each pair of blocks is measured in its own task, which returns one
-    partial sum of distances per point and label; so no pair leaves a task. The work is quadratic by definition:
-    with ``limit`` more points than that are refused. A point without a label scores 0 and is no one's neighbour.
+    Points are dealt to blocks by a hash. Each pair of blocks meets once, in a task of its own, which returns one
+    partial sum of distances per point of either side and label; so no pair leaves a task, and a point is sent once per block. The work is quadratic by definition:
+    with ``limit`` more points than that are refused. A point without a label scores 0 and is no one's neighbour; points without a vector, or
+    with a missing component, are left out.
     """
+    points = points.filter(F.col(vector).isNotNull() & F.forall(vector, lambda v: v.isNotNull()))
     pts = checkpointed(points.select(F.col(label).cast("string").alias("label"), F.col(vector).alias("v"), F.xxhash64(key).alias("h"))
                        .withColumn("row", F.monotonically_increasing_id()))
     size = pts.count()
@@ -137,25 +139,26 @@ def silhouette(points: DataFrame, key: str, label: str, vector: str, tile: int =
         raise ValueError(f"{size} points; at most {limit} are wanted")
     blocks = max(1, -(-size // tile))
     named = pts.filter("label IS NOT NULL").withColumn("own", F.pmod(F.xxhash64("h", "row"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    sent = named.select(F.col("own").alias("i"), every.alias("j"), F.lit(True).alias("down"), "row", "label", "v").union(
-        named.select(every.alias("i"), F.col("own").alias("j"), F.lit(False).alias("down"), "row", "label", "v"))
+    met = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j")))
+    sent = named.select(F.explode(met).alias("p"), "own", "row", "label", "v").select("p.i", "p.j", (F.col("own") == F.col("p.i")).alias("low"), "row", "label", "v")
 
     def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        down, rows = pdf["down"].to_numpy(), pdf["row"].to_numpy()
+        low, rows = pdf["low"].to_numpy(), pdf["row"].to_numpy()
         x = np.array(pdf["v"].tolist(), float)
-        mine, across = np.flatnonzero(down), np.flatnonzero(~down)
-        codes, names = pd.factorize(pdf["label"].to_numpy()[across])
+        codes, names = pd.factorize(pdf["label"].to_numpy())
         member = np.eye(len(names))[codes]
-        sums = [np.zeros((0, len(names)))]
-        if len(across):
-            for at in range(0, len(mine), 256):
-                part = mine[at:at + 256]
-                d = _distances(x[part], x[across])
-                d[rows[part, None] == rows[across][None, :]] = 0.0
-                sums.append(d @ member)
-        found = np.concatenate(sums)
-        return pd.DataFrame({"row": rows[mine[:len(found)]], "labels": [list(names)] * len(found), "sums": list(found)})
+        one = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        mine, across = (np.arange(len(rows)),) * 2 if one else (np.flatnonzero(low), np.flatnonzero(~low))
+        sums = np.zeros((len(rows), len(names)))
+        for at in range(0, len(mine) if len(across) else 0, 256):
+            part = mine[at:at + 256]
+            d = _distances(x[part], x[across])
+            if one:
+                d[np.arange(len(part)), part] = 0.0
+            else:
+                sums[across] += d.T @ member[part]
+            sums[part] += d @ member[across]
+        return pd.DataFrame({"row": rows, "labels": [list(names)] * len(rows), "sums": list(sums)})
 
     parts = sent.groupBy("i", "j").applyInPandas(measure, "row long, labels array<string>, sums array<double>")
     sums = parts.select("row", F.explode(F.arrays_zip("labels", "sums")).alias("p")).groupBy("row", F.col("p.labels").alias("other")).agg(F.sum("p.sums").alias("s"))

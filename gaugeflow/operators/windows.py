@@ -19,11 +19,22 @@ def channel_stats(df: DataFrame, channel: str = "channel", value: str = "value")
         F.avg(value).alias("mean"), F.when(std < FLAT_STD, 1.0).otherwise(std).alias("std"))
 
 
-def zscore_by_train(df: DataFrame, channel: str = "channel", value: str = "value") -> DataFrame:
-    """Scales by the statistics of the train rows alone.
+def with_channel_stats(df: DataFrame, stats: DataFrame, columns: Sequence[str], channel: str = "channel") -> DataFrame:
+    """Adds its channel's statistics to each row out of one map that goes along with the plan as a single value.
+
+    Channels are a short dictionary, like the columns of a schema; a join on so few keys would put all rows of a channel into one partition
+    wherever it is not broadcast. Rows without a channel, or with one that has no statistics, are left out.
+    """
+    entry = F.struct(F.col(channel), F.struct(*columns))
+    table = stats.filter(F.col(channel).isNotNull()).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
+    found = df.select("*", F.try_element_at(table.scalar(), F.col(channel)).alias("_of")).filter("_of IS NOT NULL")
+    return found.select(*df.columns, *[F.col(f"_of.{c}").alias(c) for c in columns])
+
+
+def train_stats(df: DataFrame, channel: str = "channel", value: str = "value") -> DataFrame:
+    """(channel, mean, std) of the train rows, of all rows where there is no train row at all.
 
-    Without any train row the statistics come from all rows. One aggregate carries both,
-    so the samples are read once for it.
+    One aggregate carries both, so the samples are read once for it; a flat channel gets a deviation of 1.
     """
     train = F.when(F.col("split") == "train", F.col(value))
     sums = df.groupBy(channel).agg(
@@ -32,8 +43,19 @@ def zscore_by_train(df: DataFrame, channel: str = "channel", value: str = "value
     any_train = F.sum("_n1").over(Window.partitionBy()) > 0  # one row per channel
     mean = F.when(any_train, F.col("_m1")).otherwise(F.col("_m0"))
     std = F.when(any_train, F.col("_s1")).otherwise(F.col("_s0"))
-    stats = sums.select(channel, mean.alias("mean"), F.when(std < FLAT_STD, 1.0).otherwise(std).alias("std"))
-    return df.join(stats, channel).withColumn(value, (F.col(value) - F.col("mean")) / F.col("std")).drop("mean", "std")
+    return sums.select(channel, mean.alias("mean"), F.when(std < FLAT_STD, 1.0).otherwise(std).alias("std"))
+
+
+def zscore_by_train(df: DataFrame, channel: str = "channel", value: str = "value") -> DataFrame:
+    """Scales samples by the statistics of the train rows alone; no sample is shuffled."""
+    known = with_channel_stats(df, train_stats(df, channel, value), ["mean", "std"], channel)
+    return known.withColumn(value, (F.col(value) - F.col("mean")) / F.col("std")).drop("mean", "std")
+
+
+def scale_windows(windows: DataFrame, stats: DataFrame, channel: str = "channel", series: str = "series") -> DataFrame:
+    """The same scaling on packed windows: one look at the statistics per window, not per sample."""
+    known = with_channel_stats(windows, stats, ["mean", "std"], channel)
+    return known.withColumn(series, F.transform(series, lambda v: (v - F.col("mean")) / F.col("std"))).drop("mean", "std")
 
 
 def mean_pool(df: DataFrame, keys: Sequence[str], factor: int = POOL_FACTOR, value: str = "value") -> DataFrame:

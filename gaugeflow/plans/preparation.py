@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from gaugeflow.operators.splitting import WITHIN_RUN_STRIDE, split_runs, split_within_run
-from gaugeflow.operators.windows import sliding_windows, zscore_by_train
+from gaugeflow.operators.windows import scale_windows, sliding_windows, train_stats
 from gaugeflow.session import checkpointed
 
 
@@ -43,4 +43,4 @@ def prepare(samples: DataFrame, window: int, stride: int, seed: int, exact: Mapp
     segments = checkpointed(assign_segments(run_lengths(samples), window, stride, seed, exact, within_stride).drop("class"))
     placed = samples.join(segments, "run_id").filter("pos >= from_pos AND pos < to_pos").withColumn("pos", F.col("pos") - F.col("from_pos"))
     keys = ["run_id", "class", "split", "from_pos", "channel"]
-    return sliding_windows(zscore_by_train(placed), window, "stride", keys)
+    return scale_windows(sliding_windows(placed, window, "stride", keys), train_stats(placed))

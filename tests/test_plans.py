@@ -99,3 +99,17 @@ def test_functions_travel_without_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert out.stdout.split() == ["40", "0.5"], out.stderr
+
+
+def test_scaling_moves_no_sample_by_channel(spark, sf_dir):
+    from gaugeflow.catalog import QUERIES
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("train_only_zscore", "fault_drift", "fault_gaussian_noise_snr20", "prepared_class_summary"):
+            plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+            joins = [line for line in plan.splitlines() if "Join" in line]
+            assert not [j for j in joins if "channel" in j], name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

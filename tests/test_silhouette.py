@@ -26,3 +26,10 @@ def test_tiles_do_not_change_the_value(spark):
     df = spark.createDataFrame(rows, "id long, y int, v array<double>")
     one, many = (evaluation.silhouette(df, "id", "y", "v", tile=t).first() for t in (4096, 16))
     assert one.n == many.n == 150 and abs(one.silhouette - many.silhouette) < 1e-12
+
+
+def test_points_without_a_vector_are_left_out(spark):
+    rows = [(1, 0, [0.0, 1.0]), (2, 0, [0.0, 1.5]), (3, 1, [4.0, 1.0]), (4, 1, None), (5, 1, [None, 1.0]), (6, None, [1.0, 1.0])]
+    got = evaluation.silhouette(spark.createDataFrame(rows, "id long, y int, v array<double>"), "id", "y", "v").first()
+    assert got.n == 4
+    assert evaluation.silhouette(spark.createDataFrame([], "id long, y int, v array<double>"), "id", "y", "v").first().n == 0
