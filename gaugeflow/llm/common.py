@@ -33,10 +33,10 @@ def only(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """The rows as a Parquet table in the shared folder: read again after a lost executor, not computed again."""
     path = f"{shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

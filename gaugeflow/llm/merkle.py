@@ -1,13 +1,13 @@
 """Merkle-tree fingerprints over sections, paragraphs and spans.
 
 A text is a tree: root, sections, paragraphs (lines), and spans of a few words. A span ends
-after a word whose checksum says so, and a section after a blank line or a paragraph whose
-digest says so, so an edit moves only the borders next to it. Equal roots mean equal texts;
-where roots differ, the branches that differ locate the edits.
+after a word whose checksum says so, or at its most words, and a section after a blank line or a paragraph whose
+digest says so, so an edit moves only the borders next to it. Words are cut every WORD bytes, so that text
+without blanks has spans, too. Equal roots mean equal texts; where roots differ, the branches that differ locate the edits.
 
 A fingerprint is written ``root-sections``: the root digest, then the span digests, with "," between
 paragraphs and ";" between sections. Defined results: NULL counts as empty; the empty text is
-a tree without sections; repeated rows get one row each; rows are ordered by key, then text,
+a tree without sections; repeated rows get one row each; rows are ordered by key, then by a hash of the text,
 NULL keys first; the row after the last is the first. Texts are read whole.
 """
 
@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gaugeflow.llm.common import only
-from gaugeflow.session import checkpointed
+from gaugeflow.llm.common import only, written
 
 SPAN = 6  # hex digits of a span's digest
-_WORD = re.compile(rb"[^ \t]*[ \t]+|[^ \t]+")
+#: Most words of a span, and most bytes of a word and of the blanks behind it.
+MOST, WORD = 8, 24
+_WORD = re.compile(rb"[^ \t]{1,%d}[ \t]{0,%d}|[ \t]{1,%d}" % (WORD, WORD, WORD))
 
 
 def _digest(data: bytes, size: int = 16) -> str:
@@ -36,14 +37,14 @@ def _digest(data: bytes, size: int = 16) -> str:
 
 def spans(paragraph: bytes) -> list[bytes]:
     """Runs of about four words; the words themselves decide where a run ends."""
-    out, run = [], b""
+    out, run = [], []
     for w in _WORD.findall(paragraph):
-        run += w
-        if not zlib.crc32(w) & 3:
-            out.append(run)
-            run = b""
+        run.append(w)
+        if not zlib.crc32(w) & 3 or len(run) == MOST:
+            out.append(b"".join(run))
+            run = []
     if run or not out:
-        out.append(run)
+        out.append(b"".join(run))
     return out
 
 
@@ -130,7 +131,7 @@ def versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     rows = only(docs, key, text).toDF("key", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())  # ranges grow with the files
     ordered = rows.repartitionByRange(parts, "key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"))
     schema = f"key {kind}, {_OUT}, pid int, head string, tail string"
 
@@ -160,7 +161,7 @@ def versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         if held:
             yield batch([(held[0], len(held[1]), held[2], None, None, None, None, pid, head, held[1])], key_type)
 
-    done = checkpointed(ordered.mapInArrow(run, schema))
+    done = written(ordered.mapInArrow(run, schema))
     heads = done.filter("head IS NOT NULL").select("pid", "head")
     # one short row per partition: the order of partitions, the first after the last
     ring = heads.select("pid", F.coalesce(F.lead("pid").over(Window.orderBy("pid")), F.min("pid").over(Window.partitionBy())).alias("next_pid"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import os
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,16 +23,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gaugeflow.llm.common import only, per_worker
-from gaugeflow.session import checkpointed, shared_dir
+from gaugeflow.llm.common import only, per_worker, written
+from gaugeflow.session import shared_dir
 
-#: Training text of one shard, and the number of leading bits that shards are told apart by; text
-#: beyond SHARD_BYTES * 2**MOST_BITS makes shards larger.
-SHARD_BYTES, LEAST_BITS, MOST_BITS = 8 << 20, 4, 12
+#: Training text of one shard, and the least number of leading bits that shards are told apart by; the bits follow the text.
+SHARD_BYTES, LEAST_BITS = 8 << 20, 4
 END, BEGIN = b"\n", b"\n\n"  # no word holds a line end
 REMEMBERED = 1 << 20
 #: What is kept of a word: pairs it opens and how many pair types with count 1, 2, 3 or more, types it closes, its count.
 WORD_FIELDS = ("opened", "n1", "n2", "n3", "closes", "raw")
+#: What shards send of it: "opened" only of the begin, since elsewhere it follows from "raw".
+SENT = ("begun", *WORD_FIELDS[1:])
 
 
 def mixed(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -55,6 +57,25 @@ def hashes(text: bytes | None, known: dict) -> list[int]:
     return out
 
 
+def packed(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
+    """Pairs ordered by context as bytes: each context once with its number of pairs, and small counts in little room."""
+    ctx, runs = np.unique(v, return_counts=True)
+    short = zlib.compress(runs.astype("<u4").tobytes() + n.astype("<i8").tobytes(), 1)
+    return np.array([len(ctx), len(w), len(short)], "<i8").tobytes() + short + ctx.astype("<u8").tobytes() + w.astype("<u8").tobytes()
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    contexts, pairs, size = np.frombuffer(data, "<i8", 3)
+    short, rest = zlib.decompress(data[24:24 + size]), data[24 + size:]
+    v = np.repeat(np.frombuffer(rest, "<u8", contexts), np.frombuffer(short, "<u4", contexts))
+    return v, np.frombuffer(rest, "<u8", pairs, 8 * contexts), np.frombuffer(short, "<i8", pairs, 4 * contexts)
+
+
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Four bytes a count where all of the shard's counts fit, eight otherwise."""
+    return counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64)
+
+
 def _pairs(texts, known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Contexts and tokens of all texts, and the number of tokens of each."""
     seqs = [np.array(hashes(t.as_py(), known), np.uint64) for t in texts]
@@ -134,9 +155,9 @@ def _save(path: str, kind: str, bits: int, keys: np.ndarray, values: np.ndarray)
     keys, values = keys[order], values[order]
     edges = shard_edges(keys, bits)
     for s in np.flatnonzero(np.diff(edges)):
-        for name, a in (("values", values), ("keys", keys)):
+        for name, a in (("values", narrow(values[edges[s]:edges[s + 1]])), ("keys", keys[edges[s]:edges[s + 1]])):
             part = f"{path}/{uuid.uuid4().hex}.npy"
-            np.save(part, a[edges[s]:edges[s + 1]])
+            np.save(part, a)
             os.replace(part, f"{path}/{kind}-{s}-{name}.npy")
 
 
@@ -150,29 +171,38 @@ def fit(docs: DataFrame, train: Column, text: str = "text") -> Model:
     os.makedirs(path, exist_ok=True)
     texts = docs.filter(F.coalesce(train, F.lit(True))).select(F.col(f"`{text}`").cast("binary").alias("text"))
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, (volume // SHARD_BYTES).bit_length()))
+    bits = max(LEAST_BITS, (volume // SHARD_BYTES).bit_length())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = per_worker("ngram words", dict)
         for b in batches:
             v, w, _ = _pairs(b.column(0), known)
             keys, first, n = np.unique(mixed(v, w), return_index=True, return_counts=True)
-            order = np.argsort(v[first])  # runs of one context take less room in the shuffle
-            keys, first, n = keys[order], first[order], n[order]
-            yield pa.record_batch([
-                pa.array((keys >> np.uint64(64 - bits)).astype(np.int32)), pa.array(v[first].view(np.int64)),
-                pa.array(w[first].view(np.int64)), pa.array(n.astype(np.int64))], names=["shard", "v", "w", "n"])
+            own = (keys >> np.uint64(64 - bits)).astype(np.int64)
+            order = np.lexsort((v[first], own))
+            at, n = first[order], n[order]
+            edges = np.searchsorted(own[order], np.arange((1 << bits) + 1))
+            met = np.flatnonzero(np.diff(edges))
+            rows = [packed(v[at[edges[s]:edges[s + 1]]], w[at[edges[s]:edges[s + 1]]], n[edges[s]:edges[s + 1]]) for s in met]
+            yield pa.record_batch([pa.array(met.astype(np.int32)), pa.array(rows, pa.binary())], names=["shard", "pairs"])
 
-    dealt = texts.mapInArrow(count, "shard int, v long, w long, n long").repartition(1 << bits, "shard")
-    pairs = dealt.groupBy("shard", "v", "w").agg(F.sum("n").alias("n"))
+    # the one exchange of pairs: a row holds all pairs of a batch and shard
+    dealt = texts.mapInArrow(count, "shard int, pairs binary").repartition(1 << bits, "shard")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [tuple(b.column(i).to_numpy() for i in (1, 2, 3)) for b in batches]
-        names = ["tok", *WORD_FIELDS, "f3", "f4"]
+        got = [unpacked(p.as_py()) for b in batches for p in b.column(1)]
+        names = ["tok", *SENT]
         if not got:
             return
         v, w, n = (np.concatenate(c) for c in zip(*got))
-        _save(path, "pair", bits, mixed(v.view(np.uint64), w.view(np.uint64)), n.astype(np.uint32))
+        del got
+        keys = mixed(v, w)
+        order = np.argsort(keys)
+        keys = keys[order]
+        head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        n = np.add.reduceat(n[order], head)
+        keys, v, w = keys[head], v[order[head]], w[order[head]]
+        _save(path, "pair", bits, keys, n)
         toks, at = np.unique(np.concatenate([v, w]), return_inverse=True)
         av, aw = at[:len(v)], at[len(v):]
         size = len(toks)
@@ -180,31 +210,41 @@ def fit(docs: DataFrame, train: Column, text: str = "text") -> Model:
         def sums(where, weight):
             return np.bincount(where, weight, size).astype(np.int64)
 
-        cols = [sums(av, n), sums(av, n == 1), sums(av, n == 2), sums(av, n >= 3), sums(aw, None), sums(aw, n)]
-        cols += [sums(av, n == 3), sums(av, n == 4)]
+        begun = np.where(toks == np.uint64(xxhash.xxh64_intdigest(BEGIN)), sums(av, n), 0)
+        cols = [begun, sums(av, n == 1), sums(av, n == 2), sums(av, n >= 3), sums(aw, None), sums(aw, n)]
+        toks = toks.view(np.int64)
         for lo in range(0, size, 1 << 16):
             yield pa.record_batch([pa.array(c[lo:lo + (1 << 16)]) for c in (toks, *cols)], names=names)
+        # without a token: the shard's numbers of pairs counted three and four times
+        totals = [0, int((n == 3).sum()), int((n == 4).sum()), 0, 0, 0]
+        yield pa.record_batch([pa.array([None], pa.int64()), *(pa.array([t], pa.int64()) for t in totals)], names=names)
 
-    parts = pairs.mapInArrow(store, "tok long, " + ", ".join(f"{c} long" for c in (*WORD_FIELDS, "f3", "f4")))
-    words = checkpointed(parts.groupBy("tok").agg(*[F.sum(c).alias(c) for c in (*WORD_FIELDS, "f3", "f4")]))
+    parts = dealt.mapInArrow(store, "tok long, " + ", ".join(f"{c} long" for c in SENT))
+    words = written(parts.groupBy("tok").agg(*[F.sum(c).alias(c) for c in SENT]))
 
     def store_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [tuple(b.column(i).to_numpy() for i in range(7)) for b in batches]
         if got:
             tok, *cols = (np.concatenate(c) for c in zip(*got))
-            _save(path, "word", bits, tok.view(np.uint64), np.stack(cols, 1).astype(np.uint32))
+            tok = tok.view(np.uint64)
+            # every word opens as many pairs as it has occurrences; only the two ends differ
+            begin, end = (tok == np.uint64(xxhash.xxh64_intdigest(x)) for x in (BEGIN, END))
+            cols[0] = np.where(begin, cols[0], np.where(end, 0, cols[5]))
+            _save(path, "word", bits, tok, np.stack(cols, 1))
         yield pa.record_batch([pa.array([len(got)], pa.int64())], names=["n"])
 
     shard = F.shiftrightunsigned("tok", 64 - bits)
-    words.select("tok", *WORD_FIELDS).repartition(1 << bits, shard).mapInArrow(store_words, "n long").agg(F.sum("n")).first()
-    s = words.agg(
-        F.sum("raw"), F.count_if(F.col("raw") > 0), F.sum("closes"), *[F.sum(c) for c in ("n1", "n2", "f3", "f4")],
+    known_words = words.filter("tok IS NOT NULL")
+    known_words.select("tok", *SENT).repartition(1 << bits, shard).mapInArrow(store_words, "n long").agg(F.sum("n")).first()
+    s = known_words.agg(
+        F.sum("raw"), F.count_if(F.col("raw") > 0), F.sum("closes"), F.sum("n1"), F.sum("n2"),
         *[F.count_if(F.col("closes") == i) for i in (1, 2, 3, 4)], F.count_if(F.col("closes") >= 3)).first()
     if not s[0]:
         return Model(path, bits)
-    dw = discounts(*s[7:11])
-    gamma = (dw[0] * s[7] + dw[1] * s[8] + dw[2] * s[11]) / s[2]
-    return Model(path, bits, s[0], s[1], s[2], discounts(*s[3:7]), dw, gamma)
+    f3, f4 = words.filter("tok IS NULL").select("n1", "n2").first()
+    dw = discounts(*s[5:9])
+    gamma = (dw[0] * s[5] + dw[1] * s[6] + dw[2] * s[9]) / s[2]
+    return Model(path, bits, s[0], s[1], s[2], discounts(s[3], s[4], f3, f4), dw, gamma)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -197,3 +197,81 @@ def test_chunks_meet_where_boundaries_agree(public):
         shared = set(both[i - 1][1]) & set(both[i][0])
         if shared:
             assert i * 50 + min(shared) in true
+
+
+# scores of the word-pair model
+
+def kneser_ney(train, texts):
+    """log10 probabilities of texts by plain dictionaries."""
+    from gaugeflow.llm.ngrams import discounts
+
+    seqs = lambda t: ["<s>", *(t or "").encode().lower().split(), "</s>"]
+    pairs = Counter(p for t in train for p in zip(seqs(t), seqs(t)[1:]))
+    by_count = Counter(pairs.values())
+    opened, types, closes, raw = Counter(), {}, Counter(), Counter()
+    for (v, w), n in pairs.items():
+        opened[v] += n
+        types.setdefault(v, []).append(min(n, 3))
+        closes[w] += 1
+        raw[w] += n
+    d = (0, *discounts(*(by_count[i] for i in (1, 2, 3, 4))))
+    of_closes = Counter(closes.values())
+    dw = (0, *discounts(*(of_closes[i] for i in (1, 2, 3, 4))))
+    gamma_w = sum(dw[min(c, 3)] for c in closes.values()) / len(pairs)
+
+    def p(v, w):
+        low = max(closes[w] - dw[min(closes[w], 3)], 0) / len(pairs) + gamma_w / (len(raw) + 1)
+        if v not in opened:
+            return low
+        n = pairs[(v, w)]
+        return max(n - d[min(n, 3)], 0) / opened[v] + sum(d[k] for k in types[v]) / opened[v] * low
+
+    return [sum(math.log10(p(v, w)) for v, w in zip(seqs(t), seqs(t)[1:])) for t in texts]
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 23, 40])
+def test_scores_equal_a_plain_model(spark, monkeypatch, shard_bytes):
+    from gaugeflow.llm import ngrams
+
+    monkeypatch.setattr(ngrams, "SHARD_BYTES", shard_bytes)
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(["a", "B", "c", "dd", "é", "f9", "g"], rng.integers(0, 30), p=[.4, .2, .1, .1, .1, .05, .05])) for _ in range(120)] + [None, "", "new words only", "b a"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "a a a"), (3, texts[3])]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    want = kneser_ney([t for i, t in rows if not held(i)], [t for _, t in rows])
+    got = ngrams.scores(frame(spark, rows).repartition(4)).collect()
+    assert sorted((str(r.doc_id), round(r.score, 8)) for r in got) == sorted((str(i), round(x, 8)) for (i, _), x in zip(rows, want))
+
+
+def test_packed_pairs_come_back():
+    from gaugeflow.llm.ngrams import narrow, packed, unpacked
+
+    v, w, n = np.array([3, 3, 9], np.uint64), np.array([2**64 - 1, 0, 5], np.uint64), np.array([1, 7, 2**40])
+    assert [x.tolist() for x in unpacked(packed(v, w, n))] == [v.tolist(), w.tolist(), n.tolist()]
+    assert narrow(n).dtype == np.int64 and narrow(n[:2]).dtype == np.uint32
+
+
+def test_scores_without_training_text(spark):
+    from gaugeflow.llm import ngrams
+
+    only_held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
+    row = ngrams.scores(frame(spark, [(only_held, "x y")])).first()
+    assert row.held_out and row.n_tokens == 3 and row.train_tokens == 0 and row.n_known == 0
+
+
+# likeness of trees
+
+def test_likeness_is_the_share_of_common_spans():
+    from gaugeflow.llm import merkle
+
+    rng = np.random.default_rng(4)
+    texts = ["same word " * 400, "x" * 4000, "漢" * 900, "a b c\n\n" * 90, " ".join(map(str, rng.integers(0, 10**6, 700))), "l" * 250, "\t " * 300]
+    spans = lambda t: Counter(hashlib.blake2b(s, digest_size=merkle.SPAN // 2).hexdigest() for line in t.encode().split(b"\n") for s in merkle.spans(line))
+    for t, nxt in zip(texts, texts[1:] + texts[:1]):
+        new = merkle.edited(t, nxt)
+        a, b = spans(t), spans(new)
+        got = merkle.likeness(merkle.fingerprint(t.encode()), merkle.fingerprint(new.encode()))
+        assert got == pytest.approx(2 * (a & b).total() / (a.total() + b.total()), abs=1e-8)
+        own = merkle.likeness(merkle.fingerprint(t.encode()), merkle.fingerprint(merkle.edited(t, t[::-1]).encode()))
+        assert own >= 0.5 and all(len(s) <= merkle.MOST * 2 * merkle.WORD for s in merkle.spans(t.encode()))
+        assert b"".join(merkle.spans(t.encode())) == t.encode()
