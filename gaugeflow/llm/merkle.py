@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from gaugeflow.llm.common import only, written
 
-SPAN = 6  # hex digits of a span's digest
+SPAN = 7  # hex digits of a span: one for its length in steps of eight bytes, 15 at most, then its digest
+_WEIGHT = {d: int(d, 16) + 0.5 for d in "0123456789abcdef"}
 #: Most words of a span, and most bytes of a word and of the blanks behind it.
 MOST, WORD = 8, 24
 _WORD = re.compile(rb"[^ \t]{1,%d}[ \t]{0,%d}|[ \t]{1,%d}" % (WORD, WORD, WORD))
@@ -48,13 +49,17 @@ def spans(paragraph: bytes) -> list[bytes]:
     return out
 
 
+def leaf(span: bytes) -> str:
+    return f"{min(15, len(span) // 8):x}{_digest(span, SPAN // 2)}"
+
+
 def fingerprint(text: bytes | None) -> str:
     if not text:
         return _digest(b"") + "-"
     sections, digests, part, inner = [], [], [], []
     for line in text.split(b"\n"):
         full = _digest(line)
-        part.append("".join(_digest(s, SPAN // 2) for s in spans(line)))
+        part.append("".join(leaf(s) for s in spans(line)))
         inner.append(full)
         if not line.strip() or full[0] in "01":
             sections.append(",".join(part))
@@ -76,19 +81,20 @@ def _branches(sections: Counter) -> Counter:
     return out
 
 
-def _leaves(section: str) -> int:
-    return (len(section) - section.count(",")) // SPAN
+def _size(section: str) -> float:
+    """Lengths of a section's spans, in steps of eight bytes."""
+    return sum(_WEIGHT[d] for p in section.split(",") for d in p[::SPAN])
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of spans that both trees hold, 0 to 1; 1 exactly for equal roots."""
+    """Share of the text in spans that both trees hold, 0 to 1; 1 exactly for equal roots."""
     if a[:32] == b[:32]:
         return 1.0
     sa, sb = (Counter(x[33:].split(";")) for x in (a, b))
-    total = sum(_leaves(s) * n for c in (sa, sb) for s, n in c.items())
+    total = sum(_size(s) * n for c in (sa, sb) for s, n in c.items())
     same = sa & sb
-    shared = sum(_leaves(s) * n for s, n in same.items())
-    shared += (_branches(sa - same) & _branches(sb - same)).total()
+    shared = sum(_size(s) * n for s, n in same.items())
+    shared += sum(_WEIGHT[s[0]] * n for s, n in (_branches(sa - same) & _branches(sb - same)).items())
     return min(2.0 * shared / total, 1.0 - 1e-9) if total else 0.0
 
 
