@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gaugeflow.llm.common import only, written
+from gaugeflow.llm.common import only
 
 SPAN = 7  # hex digits of a span: one for its length in steps of eight bytes, 15 at most, then its digest
 _WEIGHT = {d: int(d, 16) + 0.5 for d in "0123456789abcdef"}
@@ -131,48 +131,46 @@ _OUT = "n_chars long, fingerprint string, edited_sha256 string, edited_fingerpri
 def versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row's tree, that of its edited text, and the likeness to it and to the next row's.
 
-    Rows are range-partitioned and sorted by key once and compared as they stream by; only the
-    last row of a partition waits, with its text, for the first row of the next one.
+    Rows are range-partitioned and sorted by key once. One pass over the ranges compares rows as they stream by, another
+    sends only the first and the last row of each range ahead, so that a range's last row meets the first one of the next. Both read
+    the same exchange, and nothing else is written.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     rows = only(docs, key, text).toDF("key", "text").withColumn("text", F.coalesce("text", F.lit("")))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())  # ranges grow with the files
     ordered = rows.repartitionByRange(parts, "key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"))
-    schema = f"key {kind}, {_OUT}, pid int, head string, tail string"
+    names = ["key", "n_chars", "fingerprint", "edited_sha256", "edited_fingerprint", "near_edited", "near_next"]
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, held, head = TaskContext.get().partitionId(), None, None
-        names = ["key", "n_chars", "fingerprint", "edited_sha256", "edited_fingerprint", "near_edited", "near_next", "pid", "head", "tail"]
-        types = [None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
-
-        def batch(out, key_type):
-            cols = list(zip(*out)) if out else [[] for _ in names]
-            return pa.record_batch([pa.array(list(c), t or key_type) for c, t in zip(cols, types)], names=names)
-
-        key_type = None
+        held = None
         for b in batches:
-            out, key_type = [], b.column(0).type
+            out, keys = [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1)):
                 t = t.as_py()
                 fp = fingerprint(t.encode())
                 if held:
-                    out.append((held[0], len(held[1]), held[2], *_compare(held[1], held[2], t, fp), pid, head, None))
-                    head = None
-                else:
-                    head = t
+                    keys.append(held[0])
+                    out.append((len(held[1]), held[2], *_compare(held[1], held[2], t, fp)))
                 held = (k, t, fp)
-            if out:
-                yield batch(out, key_type)
-        if held:
-            yield batch([(held[0], len(held[1]), held[2], None, None, None, None, pid, head, held[1])], key_type)
-
-    done = written(ordered.mapInArrow(run, schema))
-    heads = done.filter("head IS NOT NULL").select("pid", "head")
-    # one short row per partition: the order of partitions, the first after the last
-    ring = heads.select("pid", F.coalesce(F.lead("pid").over(Window.orderBy("pid")), F.min("pid").over(Window.partitionBy())).alias("next_pid"))
-    tails = (done.filter("tail IS NOT NULL").drop("head").join(ring, "pid")
-             .join(heads.select(F.col("pid").alias("next_pid"), "head"), "next_pid").select("key", "tail", "head"))
+            cols = list(zip(*out)) if out else [()] * 6
+            yield pa.record_batch([pa.array(keys, b.column(0).type), *(pa.array(list(c), t) for c, t in zip(cols, types))], names=names)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = last = None
+        for b in batches:
+            if b.num_rows:
+                head = b.column(1).slice(0, 1) if head is None else head
+                last = b.slice(b.num_rows - 1)
+        if last is not None:
+            yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), head, last.column(0), last.column(1)], names=["pid", "head", "key", "tail"])
+
+    # one row per range, dealt out again so that the three readers below share it
+    met = ordered.mapInArrow(ends, f"pid int, head string, key {kind}, tail string").repartition("pid")
+    ring = met.select("pid", F.coalesce(F.lead("pid").over(Window.orderBy("pid")), F.min("pid").over(Window.partitionBy())).alias("next_pid"))
+    tails = (met.select("pid", "key", "tail").join(ring, "pid")
+             .join(met.select(F.col("pid").alias("next_pid"), "head"), "next_pid").select("key", "tail", "head"))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,8 +181,8 @@ def versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             cols = list(zip(*out)) if out else [[]] * 6
             yield pa.record_batch([b.column(0), *[pa.array(list(c), t) for c, t in zip(cols, (
                 pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))]],
-                names=["key", "n_chars", "fingerprint", "edited_sha256", "edited_fingerprint", "near_edited", "near_next"])
+                names=names)
 
     cols = ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     last = tails.mapInArrow(close, f"key {kind}, {_OUT}").select(*cols)
-    return done.filter("tail IS NULL").select(*cols).union(last).withColumnRenamed("key", key)
+    return ordered.mapInArrow(run, f"key {kind}, {_OUT}").select(*cols).union(last).withColumnRenamed("key", key)
