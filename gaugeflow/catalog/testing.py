@@ -190,9 +190,9 @@ def significance_table(spark, sf):
         *KEYS, "n", "mean_diff", "cohens_dz", "t_p", "wilcoxon_p", "t_holm_p", "t_bh_p", "wilcoxon_holm_p", "wilcoxon_bh_p", "tier")
 
 
-def _measures(report: str, source: str, keys: str, measures: dict[str, str]) -> str:
+def _measures(report: str, source: str, keys: str, measures: dict[str, str], digits: int = 10) -> str:
     """Measures of a table as rows."""
-    return " UNION ALL ".join(f"SELECT '{report}' AS report, {keys}, '{m}' AS measure, {r(e)} AS value FROM {source}" for m, e in measures.items())
+    return " UNION ALL ".join(f"SELECT '{report}' AS report, {keys}, '{m}' AS measure, {r(e, digits)} AS value FROM {source}" for m, e in measures.items())
 
 
 _BY_CONFIG = "config, NULL::VARCHAR AS metric, NULL::VARCHAR AS epoch"
@@ -210,9 +210,9 @@ lg AS (SELECT count(*) AS n, sum(CASE WHEN f AND seed % 7 = 0 THEN 1 ELSE 0 END)
 UNION ALL {_measures('indicators', 'rs', _BY_CONFIG, {'n': 'n', 'accuracy_mean': 'am', 'H_alpha': 'h', 'alpha_tvar': 'tv', 'S_tau': 'st', 'rho_last': 'rl', 'perm_null_z': 'z'})}
 UNION ALL {_measures('null', 'rs', _BY_CONFIG, {'observed_var': 'ov', 'null_mean': 'nm', 'null_std': 'ns', 'threshold': 'th', 'z_mean': 'z'})}
 UNION ALL {_measures('curves', 'cv', 'config, NULL, epoch::VARCHAR', {'rho_mean': 'm', 'rho_std': 's', 'runs': 'n'})}
-UNION ALL {_measures('significance', 'sg', 'config, metric, NULL', {'n': 'n', 'mean_diff': 'md', 'cohens_dz': 'md / sd', 't_p': 't_p', 'wilcoxon_p': 'w_p', 't_holm_p': 'th', 't_bh_p': 'tb', 'wilcoxon_holm_p': 'wh', 'wilcoxon_bh_p': 'wb'})}
+UNION ALL {_measures('significance', 'sg', 'config, metric, NULL', {'n': 'n', 'mean_diff': 'md', 'cohens_dz': 'md / sd', 't_p': 't_p', 'wilcoxon_p': 'w_p', 't_holm_p': 'th', 't_bh_p': 'tb', 'wilcoxon_holm_p': 'wh', 'wilcoxon_bh_p': 'wb'}, digits=6)}
 UNION ALL {_measures('logs', 'lg', 'NULL, NULL, NULL', {'logs': 'n', 'broken_lines': 'bad', 'unfinished': 'open'})}
-""")
+""", digits=10)
 def logs_to_significance(spark, sf):
     """Epochs and finals written as log files with broken lines, and read back into six report tables."""
     name = F.concat(config_slug("config"), F.lit("_seed"), F.col("seed").cast("string"), F.lit(".jsonl")).alias("file")
@@ -224,8 +224,8 @@ def logs_to_significance(spark, sf):
     folder = scratch(spark, "logs")
     runlogs.write_logs(epochs.unionByName(finals), folder)
     tables = reporting.log_reports(spark, folder)
-    tables["significance"] = tables["significance"].select(
-        *KEYS, "n", "mean_diff", "cohens_dz", "t_p", "wilcoxon_p", "t_holm_p", "t_bh_p", "wilcoxon_holm_p", "wilcoxon_bh_p")
+    tests = ("mean_diff", "cohens_dz", "t_p", "wilcoxon_p", "t_holm_p", "t_bh_p", "wilcoxon_holm_p", "wilcoxon_bh_p")
+    tables["significance"] = tables["significance"].select(*KEYS, "n", *[F.round(c, 6).alias(c) for c in tests])
     return reporting.as_measures(tables)
 
 
