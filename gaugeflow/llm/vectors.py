@@ -111,8 +111,12 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
     # -0.0 and 0.0 are one value
     digest = F.sha2(F.concat_ws(",", F.transform("vec", lambda x: (x + F.lit(0.0)).cast("string"))), 256)
     rows = checkpointed(rows.withColumn("code", F.when(F.col("sound"), digest)))
+    # squares of very small or very large components leave the range of doubles: a power of two brings them back without rounding
+    top = F.array_max(F.transform("vec", lambda x: F.abs(x)))
+    scale = F.when((top < 1e-100) | (top > 1e100), F.pow(F.lit(2.0), F.floor(F.log2(top)))).otherwise(F.lit(1.0))
     nodes = checkpointed(rows.filter("sound").groupBy("label", "code").agg(
         F.count(F.lit(1)).alias("weight"), F.min("key").alias("least"), F.first("vec").alias("vec"))
+        .withColumn("scale", scale).withColumn("vec", F.transform("vec", lambda x: x / F.col("scale"))).drop("scale")
         .withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("vec")))
     dims = [r[0] for r in nodes.select("dim").distinct().collect()]
     axes = {d: principal_axes(nodes, d) for d in dims}

@@ -276,3 +276,11 @@ def test_likeness_is_the_share_of_text_in_common_spans():
         own = merkle.likeness(merkle.fingerprint(t.encode()), merkle.fingerprint(merkle.edited(t, t[::-1]).encode()))
         assert own >= 0.5 and all(len(s) <= merkle.MOST * 2 * merkle.WORD for s in merkle.spans(t.encode()))
         assert b"".join(merkle.spans(t.encode())) == t.encode()
+
+
+def test_vectors_at_the_ends_of_the_range_link_by_direction(spark):
+    from gaugeflow.llm import vectors
+
+    rows = [(1, [1e-200, 2e-200, 0.0], 1), (2, [1e200, 2e200, 0.0], 1), (3, [1.0, 2.0, 0.0], 1), (4, [0.0, 0.0, 1e-310], 1), (5, [0.0, 0.0, 1e308], 1), (6, [1.0, 0.0, 0.0], 1)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), "vec_id").collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
