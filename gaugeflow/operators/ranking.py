@@ -13,10 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugeflow.functions.hashing import key_hash
-from gaugeflow.session import checkpointed
+from gaugeflow.session import checkpointed, written
 
 CHUNK_ROWS = 2_000_000
 CHUNK_DIGITS = 3
+VALUE_CELLS = 512
 
 
 def _offsets(chunks: DataFrame, group: Sequence[str], chunk: str, size: str) -> DataFrame:
@@ -105,6 +106,53 @@ def sequence_positions(df: DataFrame, group: Sequence[str], order: Sequence[str]
     return ranked.withColumn(pos, F.col("_rank") - 1).drop("_rank")
 
 
+def counted_ranks(counts: DataFrame, group: Sequence[str], value: str, size: str, cells: int = VALUE_CELLS) -> DataFrame:
+    """Adds ``before``, the rows of the group with a smaller value, and ``rows``, those with any value.
+
+    ``counts`` has one row per (group, value) and its number of rows, so tied rows are one and a cut never
+    parts them. Each group's values are cut into ``cells`` ranges that hold about the same number of distinct
+    values; running sums are taken inside a range, and only the sums of ranges meet in one task. The cuts come
+    from an approximate aggregate; they are written, since both branches must see the same ones, and the
+    result is exact wherever they lie. A NULL value has no rank and is not counted; a NULL group is a group.
+    """
+    counts = written(counts, "counts")
+    probs = ", ".join(f"{i / cells}D" for i in range(1, cells))
+    cuts = counts.groupBy(*group).agg(
+        F.sum(F.when(F.col(value).isNotNull(), F.col(size))).alias("_rows"),
+        F.array_distinct(F.expr(f"percentile_approx(`{value}`, array({probs}), {10 * cells})")).alias("_cuts"))
+    cuts = written(cuts, "cuts").withColumnsRenamed({g: f"_g_{g}" for g in group})
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    cell = F.when(F.col(value).isNotNull(), F.size(F.filter("_cuts", lambda c: c < F.col(value)))).otherwise(F.lit(cells))
+    placed = counts.join(cuts, same).withColumn("_cell", cell).drop("_cuts", *[f"_g_{g}" for g in group])
+    keys = [*group, "_cell"]
+    offsets = _offsets(placed.groupBy(*keys).agg(F.sum(size).alias("_size")), group, "_cell", "_size")
+    offsets = offsets.drop("_total").withColumnsRenamed({k: f"_o_{k}" for k in keys})
+    upto = F.sum(size).over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    before = F.when(F.col(value).isNotNull(), F.col("_before") + F.col("_upto") - F.col(size)).cast("long")
+    return placed.withColumn("_upto", upto).join(offsets, met).select(
+        *counts.columns, before.alias("before"), F.coalesce("_rows", F.lit(0)).cast("long").alias("rows"))
+
+
+def average_rank(df: DataFrame, group: Sequence[str], value: str, out: str, cells: int = VALUE_CELLS) -> DataFrame:
+    """Rank of each row in its group by value, tied rows sharing their mean; a NULL value has a NULL rank.
+
+    Groups of any size: distinct values are ranked in ranges and found again by their value.
+    """
+    keys = [*group, value]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    ranks = counted_ranks(counts, group, value, "_n", cells).select(
+        *[F.col(k).alias(f"_r_{k}") for k in keys], (F.col("before") + (F.col("_n") + 1) / 2.0).alias(out))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return df.join(ranks, same).drop(*[f"_r_{k}" for k in keys])
+
+
 def fill_neighbours(df: DataFrame, group: Sequence[str], pos: str, value: str,
                     chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Adds ``prev`` and ``next``: the nearest filled sample (pos, value) at or before and

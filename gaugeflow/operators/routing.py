@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugeflow.functions.hashing import key_hash
 from gaugeflow.functions.scalars import EPS, array_sum, array_var_pop, binary_entropy, let, sigmoid
+from gaugeflow.operators.ranking import counted_ranks
 
 HISTOGRAM_BINS = 60
 SATURATED = 0.9
@@ -73,7 +74,8 @@ def exact_quantiles(values: DataFrame, value: str, probs: Sequence[float], lo: f
     """Exact quantiles (linear interpolation) of a column with values in [lo, hi].
 
     Counting values in narrow cells finds the few cells that hold the wanted ranks; only
-    their distinct values are then ordered. Nothing gathers the column.
+    their distinct values are then ordered, and a cell with very many of them is cut again by
+    its own values. Nothing gathers the column, even when all values crowd into one cell.
     """
     spark = values.sparkSession
     cell = F.least(F.lit(cells - 1), F.floor((F.col(value) - lo) / ((hi - lo) / cells))).cast("int")
@@ -88,10 +90,9 @@ def exact_quantiles(values: DataFrame, value: str, probs: Sequence[float], lo: f
         "frac", at - F.floor(at)).filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("upto")))
     picks = picks.distinct()
     distinct = placed.join(picks.select("cell").distinct(), "cell").groupBy("cell", "v").agg(F.count(F.lit(1)).alias("c"))
-    within = Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = distinct.withColumn("_upto", F.sum("c").over(within))
-    hit = picks.join(ranked, "cell").filter(
-        (F.col("rank") - F.col("before") < F.col("_upto")) & (F.col("rank") - F.col("before") >= F.col("_upto") - F.col("c")))
+    ranked = counted_ranks(distinct, ["cell"], "v", "c").select("cell", "v", "c", F.col("before").alias("_below"))
+    at = F.col("rank") - F.col("before")
+    hit = picks.join(ranked, "cell").filter((at >= F.col("_below")) & (at < F.col("_below") + F.col("c")))
     return hit.groupBy("prob").agg(
         (F.min("v") + (F.max("v") - F.min("v")) * F.first("frac")).alias("quantile"))
 

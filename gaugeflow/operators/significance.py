@@ -15,6 +15,7 @@ from gaugeflow.functions.distributions import (
     exact_signed_rank_p, normal_quantile, normal_upper_p, polynomial, t_critical, t_two_sided_p, t_upper_p,
 )
 from gaugeflow.functions.scalars import finite, percent_points, tier
+from gaugeflow.operators.ranking import average_rank, counted_ranks
 
 #: With method "auto" the signed-rank test is exact up to this many pairs and normal beyond, as in the recorded results.
 EXACT_PAIRS = 50
@@ -169,8 +170,28 @@ def _add_wilcoxon(s: DataFrame) -> DataFrame:
 
 def wilcoxon(pairs: DataFrame, keys: Sequence[str], method: str = "auto") -> DataFrame:
     """Two-sided signed-rank test, zeros dropped: by the exact law of the rank sum, by its normal
-    approximation, or ("auto") exact up to 50 pairs. The exact law costs the cube of the number of pairs."""
-    return _add_wilcoxon(_ranked(_differences(pairs), keys).groupBy(*keys).agg(*_rank_aggs(method))).filter("n_nonzero > 0")
+    approximation, or ("auto") exact up to 50 pairs. The exact law costs the cube of the number of pairs.
+
+    A comparison may hold any number of pairs: differences are counted by size and ranked in ranges.
+    """
+    if method not in SIGNED_RANK_METHODS:
+        raise ValueError(f"unknown method {method!r}")
+    size = F.when(F.col("d") != 0, F.abs("d"))
+    counts = _differences(pairs).select(*keys, "d", size.alias("size")).groupBy(*keys, "size").agg(
+        F.count(F.lit(1)).alias("ties"), F.count(F.when(F.col("d") > 0, 1)).alias("up"))
+    ranked = counted_ranks(counts, keys, "size", "ties")
+    doubled, ties = 2 * F.col("before") + F.col("ties") + 1, F.col("ties")
+    short = F.lit(method == "exact") if method != "auto" else F.col("rows") <= EXACT_PAIRS  # with zeros at most this many more
+    some = F.col("size").isNotNull()
+    s = ranked.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(some, ties)), F.lit(0)).alias("n_nonzero"),
+        F.coalesce(F.sum(F.when(some, F.col("up") * doubled)), F.lit(0)).cast("long").alias("_pos"),
+        F.coalesce(F.sum(F.when(some, ties * doubled)), F.lit(0)).cast("long").alias("_all"),
+        F.coalesce(F.sum(F.when(some, ties.cast("double") * (ties * ties - 1))), F.lit(0.0)).alias("_ties"),
+        F.collect_list(F.when(some & short & (ties > 1), F.struct(doubled.alias("doubled"), "ties"))).alias("_tied"),
+        F.sum(ties).alias("_pairs"))
+    law = F.lit(method == "exact") if method != "auto" else F.col("_pairs") <= EXACT_PAIRS
+    return _add_wilcoxon(s.withColumn("_by_law", law)).filter("n_nonzero > 0")
 
 
 def _score_aggs() -> list[Column]:
@@ -326,13 +347,6 @@ def tier_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return side(before, "before").join(side(after, "after"), cols).filter("tier_before <> tier_after")
 
 
-def average_rank(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
-    """Rank with ties shared: rank() plus half of the remaining ties."""
-    r = F.rank().over(Window.partitionBy(*group).orderBy(value))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
-    return df.withColumn(out, r + (ties - 1) / 2.0)
-
-
 def spearman(df: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
     """Rank correlation per group with its two-sided p; NULL below three finite pairs."""
     d = df.filter(finite(x).isNotNull() & finite(y).isNotNull())

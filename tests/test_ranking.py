@@ -6,9 +6,10 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeflow.operators import cleaning
-from gaugeflow.operators.ranking import hash_ranked, sequence_positions
+from gaugeflow.operators.ranking import average_rank, hash_ranked, sequence_positions
 from gaugeflow.operators.windows import sliding_windows
 
 
@@ -112,3 +113,20 @@ def test_windows_of_long_runs(spark, window, stride, block):
         for s in range(0, L - window + 1, stride):
             want[(r, s)] = [p + n / 10 for p in range(s, s + window)]
     assert got == want
+
+
+def test_average_ranks_of_groups_cut_in_ranges(spark):
+    """Ties, NULL values and a NULL group, whatever the number of ranges; -0.0 ties with 0.0."""
+    rows = [("big", float(i * 7919 % 400)) for i in range(1500)] + [("big", None), ("tied", 3.0), ("tied", 3.0), (None, -0.0), (None, 0.0), (None, 1.0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, g string, v double").repartition(5)
+    want = pd.DataFrame(rows, columns=["g", "v"]).groupby("g", dropna=False)["v"].rank()
+    for cells in (2, 7, 512):
+        got = {r.id: r["rank"] for r in average_rank(df, ["g"], "v", "rank", cells).collect()}
+        assert len(got) == len(rows) and all(got[i] == (None if pd.isna(w) else w) for i, w in enumerate(want))
+
+
+def test_ranks_are_not_taken_over_a_whole_group(spark):
+    df = spark.range(1000).select(F.lit("one").alias("g"), (F.col("id") % 300).cast("double").alias("v"))
+    plan = average_rank(df, ["g"], "v", "rank")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("_cell#" in line for line in windows)

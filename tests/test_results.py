@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +134,19 @@ def test_signed_rank_with_ties_and_zeros(spark):
     assert r.n_nonzero == 7 and r.statistic == min(pos, sum(ranks) - pos) and r.wilcoxon_p == pytest.approx(p)
 
 
+def test_signed_rank_of_many_pairs_with_ties(spark):
+    """More pairs than a range holds: sums of ranks, ties and zeros as one sort gives them."""
+    rng = np.random.default_rng(4)
+    d = np.concatenate([rng.integers(-300, 320, 4000) / 10.0, np.zeros(50)])
+    df = spark.createDataFrame([("c", i, float(x), 0.0) for i, x in enumerate(d)], "config string, seed int, a double, b double").repartition(7)
+    r = sig.wilcoxon(df, ["config"]).first()
+    x = pd.Series(d[d != 0])
+    rank, ties = x.abs().rank(), x.abs().value_counts()
+    low, n = min(rank[x > 0].sum(), rank[x < 0].sum()), len(x)
+    z = (n * (n + 1) / 4 - low) / np.sqrt(n * (n + 1) * (2 * n + 1) / 24 - (ties ** 3 - ties).sum() / 48)
+    assert (r.n_nonzero, r.statistic) == (n, low) and r.wilcoxon_p == pytest.approx(math.erfc(z / math.sqrt(2)))
+
+
 def test_shapiro_small_samples(spark):
     rows = [("three", i, x, 0.0) for i, x in enumerate((1.0, 2.0, 4.0))] + [("two", i, float(i), 0.0) for i in range(2)]
     df = spark.createDataFrame(rows, "config string, seed int, a double, b double")

@@ -143,6 +143,13 @@ def test_exact_quantiles(spark):
         assert all(abs(got[p] - np.percentile(v, 100 * p)) < 1e-12 for p in (0.05, 0.3, 0.95))
 
 
+def test_exact_quantiles_of_values_in_one_cell(spark):
+    v = 0.5 + np.random.default_rng(6).random(5000) / 1e7
+    df = spark.createDataFrame([(float(x),) for x in v], "a double").repartition(6)
+    got = {r.prob: r["quantile"] for r in routing.exact_quantiles(df, "a", [0.0, 0.05, 0.5, 1.0], 0.0, 1.0).collect()}
+    assert all(abs(got[p] - np.percentile(v, 100 * p)) < 1e-15 for p in (0.0, 0.05, 0.5, 1.0))
+
+
 def test_permutation_null_sees_order(spark):
     rng = np.random.default_rng(2)
     smooth = alpha_frame(spark, [np.sin(np.arange(64) / 8 + p).tolist() for p in rng.random(12)])
