@@ -1,11 +1,14 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
 Documents are cut into pieces no longer than a sequence. Pieces that fill one are done. The
-others are dealt into blocks by hash; each block is packed by several islands that start from
-best fit in different orders. Crossover puts whole well-filled bins of one packing into another,
+others start from best fit in falling order over all of them at once: it needs only how many pieces have
+each length, and lays down bins by pattern, so its size depends on the capacity and not on the table. Whole
+bins are dealt into blocks by hash; each block is packed by several islands that start from its bins and from
+best fit in other orders. Crossover puts whole well-filled bins of one packing into another,
 removes the bins that hold the same pieces, and best-fits the displaced pieces. After each era every
 island's best packing moves to the next island. Sequences that stay poorly filled are opened
-once more and packed together across blocks.
+once more and packed together across blocks. An island never gives back more bins than it began with, so the
+result is never above best fit over the whole table.
 
 Defined results: a NULL text is empty, one piece that holds the end id; repeated rows are separate
 documents; an empty table gives no rows. Texts are tokenized whole.
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gaugeflow.llm.common import only, per_worker
+from gaugeflow.operators.ranking import hash_ranked
 from gaugeflow.session import checkpointed
 
 CAPACITY, END = 2048, 0
@@ -84,6 +88,67 @@ def best_fit(bins: list[list[int]], free: list[int], items, sizes, capacity: int
         insort(room, (f - size, i))
 
 
+def patterns(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Best fit in falling order of so many pieces of each length, as (number of bins, {length: pieces in each}).
+
+    Bins alike are filled together; every length parts at most one group of them and opens at most two, so there
+    are at most three groups a length, however many pieces there are.
+    """
+    groups: dict[int, list[tuple[int, dict[int, int]]]] = {}  # by free room
+    rooms: list[int] = []
+
+    def put(room: int, bins: int, pattern: dict[int, int]) -> None:
+        if bins:
+            if room not in groups:
+                insort(rooms, room)
+            groups.setdefault(room, []).append((bins, pattern))
+
+    for length in sorted(counts, reverse=True):
+        left = counts[length]
+        while left:
+            at = bisect_left(rooms, length)
+            if at < len(rooms):
+                room = rooms[at]
+                bins, pattern = groups[room].pop()
+                if not groups[room]:
+                    del groups[room], rooms[at]
+            else:
+                room, bins, pattern = capacity, left, {}
+            each = min(room // length, left)  # a bin stays the best fit until it has no more room
+            filled = min(bins, left // each)
+            put(room - each * length, filled, {**pattern, length: each})
+            if pattern:
+                put(room, bins - filled, pattern)
+            left -= filled * each
+    return [g for room in rooms for g in groups[room]]
+
+
+def _first_bins(items: DataFrame, capacity: int, seed: int) -> DataFrame:
+    """Adds ``bin`` to items (uid, length): best fit over all of them. The driver sees one count per length."""
+    counts = {r.length: r.n for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    taken, base, slots = dict.fromkeys(counts, 0), 0, []  # (length, first rank, first bin, bins)
+    for bins, pattern in patterns(counts, capacity):
+        for length, each in pattern.items():
+            slots.append((length, taken[length], base, bins))
+            taken[length] += bins * each
+        base += bins
+    table = np.array(sorted(slots), np.int64).reshape(-1, 4)
+    first = {int(v): int(i) for v, i in zip(*np.unique(table[:, 0], return_index=True))}
+    last = {v: int(np.searchsorted(table[:, 0], v, "right")) for v in first}
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            length, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+            bins = np.empty(len(length), np.int64)
+            for v in np.unique(length).tolist():
+                mine, at = np.flatnonzero(length == v), table[first[v]:last[v]]
+                slot = at[np.searchsorted(at[:, 1], rank[mine] - 1, "right") - 1]
+                bins[mine] = slot[:, 2] + (rank[mine] - 1 - slot[:, 1]) % slot[:, 3]
+            yield pa.record_batch([b.column("uid"), b.column("length"), pa.array(bins)], names=["uid", "length", "bin"])
+
+    return hash_ranked(items, ["length"], ["uid"], seed, total=None).select("uid", "length", "rank").mapInArrow(place, "uid long, length long, bin long")
+
+
 def crossover(a: list[list[int]], b: list[list[int]], sizes, capacity: int, rng) -> list[list[int]]:
     """``a`` with well-filled whole bins of ``b`` put in; pieces this displaces are best-fitted again."""
     fill_b = np.array([sum(sizes[i] for i in x) for x in b])
@@ -140,13 +205,17 @@ _ISLAND = "block long, island int, uids array<long>, sizes array<long>, elite ar
 
 
 def _pack_blocks(items: DataFrame, blocks: int, capacity: int, seed: int, first_id: int) -> DataFrame:
-    """(uid, length, sequence_id, offset, filled) for items (uid, length) dealt into so many blocks."""
-    dealt = items.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "uid"), F.lit(blocks)))
+    """(uid, length, sequence_id, offset, filled) for items (uid, length, bin), whose bins are dealt into so many blocks."""
+    dealt = items.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "bin"), F.lit(blocks)))
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "uid"], ascending=False)
         uids, sizes = pdf["uid"].tolist(), pdf["length"].tolist()
-        return pd.DataFrame([(int(pdf["block"].iloc[0]), k, uids, sizes, [], None) for k in range(ISLANDS)],
+        start: dict[int, list[int]] = {}
+        for i, x in enumerate(pdf["bin"].tolist()):
+            start.setdefault(x, []).append(i)
+        bins = [start[x] for x in sorted(start)]
+        return pd.DataFrame([(int(pdf["block"].iloc[0]), k, uids, sizes, [bins], None) for k in range(ISLANDS)],
                             columns=["block", "island", "uids", "sizes", "elite", "visitor"])
 
     def era(number: int):
@@ -190,9 +259,9 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     cut = checkpointed(pieces(docs, key, text, capacity).withColumn("uid", F.monotonically_increasing_id()))
     items = cut.filter(F.col("length") < capacity).select("uid", "length")
     blocks = max(1, -(-items.count() // block_items))
-    first = _pack_blocks(items, blocks, capacity, seed, 0)
+    first = _pack_blocks(_first_bins(items, capacity, seed), blocks, capacity, seed, 0)
     loose = F.col("filled") < WELL_FILLED * capacity
-    again = first.filter(loose).select("uid", "length")
+    again = first.filter(loose).select("uid", "length", F.col("sequence_id").alias("bin"))
     more = max(1, -(-again.count() // block_items))
     second = _pack_blocks(again, more, capacity, seed + 1, blocks * _STRIDE)
     places = first.filter(~loose).union(second).select("uid", "sequence_id", "offset")

@@ -5,8 +5,8 @@ only these, split on one more bit. The directory itself is a table, built from s
 hash prefix; no row reaches the driver.
 
 Defined results: a NULL text has no bytes; every row costs ``ROW_BYTES`` besides its text; a row
-larger than the limit is a shard of its own; repeated rows hash apart, because the row's place in
-a written table takes part in the hash; an empty table gives no rows.
+larger than the limit is a shard of its own. A document's shard follows from its key and text and the rest of the table, however
+that is partitioned; repeated rows hash apart by their number among equal ones. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from gaugeflow.llm.common import only
+from gaugeflow.operators.ranking import hash_ranked
 from gaugeflow.session import checkpointed
 
 LIMIT = 8 << 20
@@ -29,10 +30,11 @@ def _prefix(bits: int):
 
 def shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """(key, n_bytes, shard, depth, shard_bytes): ``shard`` is the bucket's prefix in binary digits."""
-    rows = only(docs, key, text).toDF("key", "text").select(
+    rows = checkpointed(only(docs, key, text).toDF("key", "text").select(
         "key", (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("n_bytes"),
-        F.xxhash64("key", F.monotonically_increasing_id()).alias("h"))
-    rows = checkpointed(rows)
+        F.xxhash64("text").alias("t"), F.monotonically_increasing_id().alias("uid")))
+    rows = hash_ranked(rows, ["key", "n_bytes", "t"], ["uid"], 4, total=None)
+    rows = checkpointed(rows.select("key", "n_bytes", F.xxhash64("key", "t", "rank").alias("h")))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     bits = min(MAX_BITS, max(1, math.ceil(math.log2(max(total, 1) / limit)) + 2)) if total else 1
     while True:  # the directory doubles until no cell of several rows is over the limit

@@ -284,3 +284,45 @@ def test_vectors_at_the_ends_of_the_range_link_by_direction(spark):
     rows = [(1, [1e-200, 2e-200, 0.0], 1), (2, [1e200, 2e200, 0.0], 1), (3, [1.0, 2.0, 0.0], 1), (4, [0.0, 0.0, 1e-310], 1), (5, [0.0, 0.0, 1e308], 1), (6, [1.0, 0.0, 0.0], 1)]
     got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), "vec_id").collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+
+
+def test_patterns_are_best_fit_in_falling_order():
+    from gaugeflow.llm import packing
+
+    rng = np.random.default_rng(8)
+    for capacity, sizes in ((50, rng.integers(1, 50, 900)), (2048, np.minimum(rng.geometric(1 / 500, 3000), 2047)), (64, np.full(100, 1)), (10, np.array([], int))):
+        items, bins, free = sorted(map(int, sizes), reverse=True), [], []
+        packing.best_fit(bins, free, range(len(items)), items, capacity)
+        values, counts = np.unique(items, return_counts=True)
+        groups = packing.patterns(dict(zip(map(int, values), map(int, counts))), capacity)
+        assert sum(n for n, _ in groups) == len(bins) and len(groups) <= 3 * len(values)
+        assert sorted(capacity - sum(a * b for a, b in p.items()) for n, p in groups for _ in range(n)) == sorted(free)
+        assert {int(v): sum(n * p.get(int(v), 0) for n, p in groups) for v in values} == dict(zip(map(int, values), map(int, counts)))
+
+
+def test_packing_is_never_above_best_fit(spark, sf_dir):
+    """Production parameters over all documents; places gapless and every piece in one of them."""
+    from gaugeflow.llm import packing
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = packing.pack(docs.repartition(5)).collect()
+    sizes, bins, free = sorted((r.length for r in rows), reverse=True), [], []
+    packing.best_fit(bins, free, range(len(sizes)), sizes, packing.CAPACITY)
+    assert len({r.sequence_id for r in rows}) <= len(bins)
+    inside = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == inside.get(r.sequence_id, 0)
+        inside[r.sequence_id] = r.offset + r.length
+    assert max(inside.values()) <= packing.CAPACITY
+
+
+def test_shards_do_not_depend_on_partitions(spark, sf_dir):
+    """Repeated rows, rows without a key and equal keys with other texts included."""
+    from gaugeflow.llm import sharding
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(1, "a")] * 40 + [(1, "b")] * 3 + [(None, None)] * 50 + [(2, "")], "doc_id long, text string")
+    docs = docs.unionByName(odd)
+    one, other = (Counter(map(tuple, sharding.shards(docs.repartition(n), limit=20000).collect())) for n in (1, 7))
+    assert one == other and sum(one.values()) == docs.count()
+    assert all(b <= 20000 or b == n for _, n, _, _, b in one)
