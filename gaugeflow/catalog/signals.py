@@ -17,8 +17,8 @@ def _points(df, *cols):
     return df.select("window_id", "channel", *cols, F.posexplode("series").alias("t", "value"))
 
 
-def _seed(name):
-    return degrade.degradation_seed(RUN_SEED, name)
+def _seed(name, run=RUN_SEED):
+    return degrade.degradation_seed(run, name)
 
 
 def _h(*parts):
@@ -86,14 +86,15 @@ def random_channel_subset(spark, sf):
     return degrade.random_subset(w, ROW, "channel", domain.CHANNEL_NAMES, degrade.subset_size(4, 0.6), 5)
 
 
-_ALL_FAULTS = f"""{ELEMENTS}, {STATS},
+def _faults_sql(run):
+    return f"""{ELEMENTS}, {STATS},
 base AS (SELECT window_id, class, channel, t, v, power, std FROM el JOIN st USING (channel)),
-pkb AS (SELECT window_id, channel, row_number() OVER (PARTITION BY window_id ORDER BY {_h('window_id', 'channel', str(_seed('bias')))}, channel) AS rb,
-  row_number() OVER (PARTITION BY window_id ORDER BY {_h('window_id', 'channel', str(_seed('stuck')))}, channel) AS rs FROM (SELECT DISTINCT window_id, channel FROM el)),
-lost AS (SELECT window_id, t, row_number() OVER (PARTITION BY window_id ORDER BY {_h('window_id', 't', str(_seed('dropout')))}, t) <= 2 AS gone FROM (SELECT DISTINCT window_id, t FROM el)),
+pkb AS (SELECT window_id, channel, row_number() OVER (PARTITION BY window_id ORDER BY {_h('window_id', 'channel', str(_seed('bias', run)))}, channel) AS rb,
+  row_number() OVER (PARTITION BY window_id ORDER BY {_h('window_id', 'channel', str(_seed('stuck', run)))}, channel) AS rs FROM (SELECT DISTINCT window_id, channel FROM el)),
+lost AS (SELECT window_id, t, row_number() OVER (PARTITION BY window_id ORDER BY {_h('window_id', 't', str(_seed('dropout', run)))}, t) <= 2 AS gone FROM (SELECT DISTINCT window_id, t FROM el)),
 full_ AS (SELECT b.*, rb, rs, gone, first_value(v) OVER w AS v0, lag(v) OVER w AS vp, lead(v) OVER w AS vn,
-    {_h('b.window_id', 'b.channel', 'b.t', str(_seed('gaussian_noise_snr20')))} AS h20, {_h('b.window_id', 'b.channel', 'b.t', str(_seed('gaussian_noise_snr10')))} AS h10,
-    CASE WHEN {u(_h('b.channel', str(_seed('drift'))))} < 0.5 THEN -1 ELSE 1 END AS sg
+    {_h('b.window_id', 'b.channel', 'b.t', str(_seed('gaussian_noise_snr20', run)))} AS h20, {_h('b.window_id', 'b.channel', 'b.t', str(_seed('gaussian_noise_snr10', run)))} AS h10,
+    CASE WHEN {u(_h('b.channel', str(_seed('drift', run))))} < 0.5 THEN -1 ELSE 1 END AS sg
   FROM base b JOIN pkb USING (window_id, channel) JOIN lost USING (window_id, t) WINDOW w AS (PARTITION BY b.window_id, b.channel ORDER BY b.t)),
 faults AS (
   SELECT 'clean' AS degradation, window_id, class, channel, t, v AS x FROM full_
@@ -106,6 +107,9 @@ faults AS (
   UNION ALL SELECT 'downsample', window_id, class, channel, t, CASE WHEN t % 2 = 0 THEN v WHEN t = 15 THEN vp ELSE (vp + vn) / 2 END FROM full_)"""
 
 
+_ALL_FAULTS = _faults_sql(RUN_SEED)
+
+
 @query("all_faults", f"""
 WITH {_ALL_FAULTS} SELECT degradation, class, channel, count(*) AS samples, {r('avg(x)')} AS mean, {r('stddev_pop(x)')} AS std FROM faults GROUP BY ALL
 """)
@@ -439,8 +443,34 @@ def two_expert_routing(spark, sf):
                     routing.route_hard(paired, F.col("s_t"), F.col("s_f")).alias("hard"))
 
 
-@query("ablation_audit")
+def _audit_sql(seed):
+    return f"""
+SELECT config, seed, accuracy, macro_f1, degradation, degraded_accuracy FROM (
+WITH {_faults_sql(seed)},
+whole AS (SELECT *, lead(x) OVER (PARTITION BY degradation, window_id, channel ORDER BY t) AS nx, {u(f"md5(concat_ws('|', window_id // 8, '{seed}'))")} < 0.3 AS test FROM faults),
+used AS (SELECT * FROM whole WHERE test OR degradation = 'clean'),
+tf AS (SELECT degradation, test, window_id, class, channel,
+    [avg(x), stddev_pop(x), min(x), max(x), sum(x * (t - 7.5)) / 16, avg(x * nx)] AS vs FROM used GROUP BY ALL),
+sf AS (SELECT degradation, test, window_id, class, channel, k,
+    sqrt(sum(x * cos(2 * pi() * k * t / 16)) ** 2 + sum(x * sin(2 * pi() * k * t / 16)) ** 2) AS v FROM used, range(1, 9) AS g(k) GROUP BY ALL),
+feats AS (SELECT degradation, test, window_id, class, channel, 'temporal' AS family, i, vs[i] AS v FROM tf, range(1, 7) AS g(i) UNION ALL SELECT degradation, test, window_id, class, channel, 'spectral', k, v FROM sf),
+fit AS (SELECT class AS guess, channel, family, i, avg(v) AS mu, var_pop(v) + 1e-6 AS va FROM feats WHERE NOT test GROUP BY ALL),
+prior AS (SELECT class AS guess, ln(count(DISTINCT window_id) / (sum(count(DISTINCT window_id)) OVER ())) AS lp FROM used WHERE NOT test GROUP BY class),
+ll AS (SELECT degradation, window_id, class, guess, family, sum(-0.5 * (ln(va) + (v - mu) ** 2 / va)) AS s
+  FROM feats JOIN fit USING (channel, family, i) WHERE test GROUP BY ALL),
+sc AS (SELECT config, degradation, window_id, class, guess, any_value(lp) + sum(s) AS score FROM ll JOIN prior USING (guess),
+  (VALUES ('full', 'temporal'), ('full', 'spectral'), ('w/o_spectral', 'temporal'), ('w/o_temporal', 'spectral')) AS f(config, fam) WHERE fam = family GROUP BY ALL),
+pr AS (SELECT config, degradation, class AS yt, guess AS yp FROM sc QUALIFY row_number() OVER (PARTITION BY config, degradation, window_id ORDER BY score DESC, guess) = 1),
+sides AS (SELECT config, degradation, yt AS label, 1 AS sup, 0 AS pre, (yt = yp)::INT AS tp FROM pr UNION ALL SELECT config, degradation, yp, 0, 1, 0 FROM pr),
+cls AS (SELECT config, degradation, label, sum(sup) AS sup, sum(tp) AS tp, sum(pre) AS pre FROM sides GROUP BY ALL),
+fin AS (SELECT config, degradation, sum(tp) / sum(sup) AS acc, avg(2.0::DOUBLE * tp / (sup + pre)) AS f1 FROM cls GROUP BY ALL)
+SELECT c.config, {seed}::BIGINT AS seed, {r('c.acc')} AS accuracy, {r('c.f1')} AS macro_f1, d.degradation, {r('d.acc')} AS degraded_accuracy
+FROM fin c JOIN fin d ON c.config = d.config AND c.degradation = 'clean' AND d.degradation <> 'clean')"""
+
+
+@query("ablation_audit", " UNION ALL ".join(_audit_sql(seed) for seed in (1, 2)))
 def ablation_audit(spark, sf):
-    """Feature-family ablation fitted and scored per seed, clean and under every fault."""
-    finals = audit.audit(domain.windows(spark, sf), "class", "window_id", seeds=(1, 2))
+    """Feature-family ablation fitted and scored per seed, clean and under every fault; eight windows in a row are one run."""
+    w = domain.windows(spark, sf).withColumn("run", F.floor(F.col("window_id") / 8).cast("long"))
+    finals = audit.audit(w, "class", "window_id", seeds=(1, 2), run="run", channels=domain.CHANNEL_NAMES)
     return finals.select("config", "seed", "accuracy", "macro_f1", F.explode("degradation").alias("degradation", "degraded_accuracy"))

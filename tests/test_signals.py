@@ -213,3 +213,23 @@ def test_audit(spark):
     assert out["full"].accuracy > 0.9 and set(out["full"].degradation) == set(degrade.DEGRADATIONS)
     with pytest.raises(ValueError):
         audit.audit(df, "class", "window_id", [1], ["nope"])
+
+
+def test_audit_model_is_gaussian_and_split_by_run(spark, windows):
+    """Scores of one window against its formula; windows of one run are never on both sides."""
+    feats = audit._with_features(windows).cache()
+    fitted = audit.model(audit.moments(feats, "class"))
+    got = audit.scores(feats, fitted, ["window_id", "class"]).filter("window_id = 3").first()
+    rows = {(r.window_id, r["class"], r.channel): r for r in feats.collect()}
+    for k, c in enumerate(x["class"] for x in got.classes):
+        for family in ("temporal", "spectral"):
+            want = 0.0
+            for ch in {r[2] for r in rows}:
+                train = np.array([r[family] for (w, y, h), r in rows.items() if y == c and h == ch])
+                mean, var = train.mean(0), train.var(0) + audit.VARIANCE_FLOOR
+                want += (-0.5 * (np.log(var) + (np.array(rows[3, "k1", ch][family]) - mean) ** 2 / var)).sum()
+            assert got[family][k] == pytest.approx(want)
+    grouped = windows.withColumn("run", F.floor(F.col("window_id") / 4))
+    finals = audit.audit(grouped, "class", "window_id", [1, 2, 3, 4, 5], ["full"], test_share=0.5, run="run").collect()
+    tested = grouped.select("window_id", "run", *[(audit.uniform("run", s) < 0.5).alias(f"s{s}") for s in (1, 2, 3, 4, 5)]).distinct().collect()
+    assert len(finals) == sum(any(r[f"s{s}"] for r in tested) and not all(r[f"s{s}"] for r in tested) for s in (1, 2, 3, 4, 5))
