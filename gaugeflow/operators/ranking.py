@@ -141,8 +141,10 @@ def counted_ranks(counts: DataFrame, group: Sequence[str], value: str, size: str
 def average_rank(df: DataFrame, group: Sequence[str], value: str, out: str, cells: int = VALUE_CELLS) -> DataFrame:
     """Rank of each row in its group by value, tied rows sharing their mean; a NULL value has a NULL rank.
 
-    Groups of any size: distinct values are ranked in ranges and found again by their value.
+    Groups of any size: distinct values are ranked in ranges and found again by their value. The rows are written
+    first: a value that is a sum of doubles may differ in its last bit each time it is computed, and would not be found.
     """
+    df = written(df, "ranked")
     keys = [*group, value]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     ranks = counted_ranks(counts, group, value, "_n", cells).select(

@@ -125,6 +125,18 @@ def test_average_ranks_of_groups_cut_in_ranges(spark):
         assert len(got) == len(rows) and all(got[i] == (None if pd.isna(w) else w) for i, w in enumerate(want))
 
 
+def test_ranks_of_values_that_differ_each_time_they_are_computed(spark):
+    """As sums of doubles do when their parts arrive in another order."""
+
+    def anew(batches):
+        for b in batches:
+            yield b.assign(v=np.random.default_rng().random(len(b)))
+
+    df = spark.range(50).mapInPandas(anew, "id long, v double")
+    got = sorted(r["rank"] for r in average_rank(df.selectExpr("id", "'a' AS g", "v"), ["g"], "v", "rank").collect())
+    assert got == list(range(1, 51))
+
+
 def test_ranks_are_not_taken_over_a_whole_group(spark):
     df = spark.range(1000).select(F.lit("one").alias("g"), (F.col("id") % 300).cast("double").alias("v"))
     plan = average_rank(df, ["g"], "v", "rank")._jdf.queryExecution().optimizedPlan().toString()
