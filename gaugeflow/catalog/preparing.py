@@ -664,7 +664,8 @@ def ordered_run_files(spark, sf):
     """Runs written as CSV files without a position column: the order of rows is the order of samples."""
     folder = scratch(spark, "runs")
     s = domain.samples(spark, sf).select("class", F.col("run_id").alias("run"), "pos", F.col("value").alias("reading"), "level")
-    in_order = s.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "run", "pos").sortWithinPartitions("run", "pos").drop("pos")
+    # sorted by the folders first, as the writer wants them: it would sort once more, and where that sort spills, rows of a run change places
+    in_order = s.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "run", "pos").sortWithinPartitions("class", "run", "pos").drop("pos")
     in_order.write.partitionBy("class", "run").option("header", True).csv(folder)
     d = runfiles.scan_runs(spark, folder, "reading DOUBLE, level DOUBLE", run="run=([^/]+)/")
     at = lambda name: F.regexp_extract("path", f"{name}=([^/]+)/", 1)

@@ -1,10 +1,12 @@
 """Files in, files out."""
 
+import datetime
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeflow.catalog import preparing
 from gaugeflow.functions.scalars import config_slug
 from gaugeflow.operators import cleaning, selection, windows as win
 from gaugeflow.plans import grids
@@ -136,6 +138,20 @@ def test_long_run_files_keep_their_order(spark, tmp_path, small_blocks):
     assert [(r.file_row, r.value) for r in rows if r.f == "b.csv"] == [(0, 7.0)] and not [r for r in rows if r.f == "c.csv"]
 
 
+def test_runs_written_by_tasks_that_spill_keep_their_order(spark, tmp_path):
+    """Sorts of large tasks spill, and merged spills do not keep the order of equal keys."""
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(i, at + datetime.timedelta(seconds=i), i % 3, "view", float(i), f'{{"k": {i}}}') for i in range(3000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    conf, name = spark._jvm.org.apache.spark.SparkEnv.get().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    conf.set(name, "100")
+    try:
+        got = preparing.ordered_run_files(spark, str(tmp_path)).filter("channel = 'reading'").collect()
+    finally:
+        conf.remove(name)
+    assert sorted((r.run_id, r.file_row, r.value) for r in got) == sorted((f"R{i % 3}", i // 3, float(i)) for i in range(3000))
+
+
 def test_log_reports(spark, logs):
     from gaugeflow.plans.reporting import as_measures, log_reports
 
