@@ -29,7 +29,8 @@ from gaugeflow.session import shared_dir
 #: Training text of one shard, and the least number of leading bits that shards are told apart by; the bits follow the text.
 SHARD_BYTES, LEAST_BITS = 8 << 20, 4
 END, BEGIN = b"\n", b"\n\n"  # no word holds a line end
-REMEMBERED = 1 << 20
+#: Words whose hashes a worker keeps: two workers and Spark share an executor's memory.
+REMEMBERED = 1 << 17
 #: What is kept of a word: pairs it opens and how many pair types with count 1, 2, 3 or more, types it closes, its count.
 WORD_FIELDS = ("opened", "n1", "n2", "n3", "closes", "raw")
 #: What shards send of it: "opened" only of the begin, since elsewhere it follows from "raw".
@@ -84,6 +85,15 @@ def _pairs(texts, known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([s[:-1] for s in seqs]), np.concatenate([s[1:] for s in seqs]), np.array([len(s) - 1 for s in seqs])
 
 
+def _summed(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted hashes of the distinct pairs, a place of each in v and w, and their counts."""
+    keys = mixed(v, w)
+    order = np.argsort(keys)
+    keys = keys[order]
+    head = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return keys[head], order[head], np.diff(head, append=len(keys))
+
+
 def shard_edges(keys: np.ndarray, bits: int) -> np.ndarray:
     """Where each shard's run of the sorted keys begins, and the end."""
     return np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
@@ -177,13 +187,17 @@ def fit(docs: DataFrame, train: Column, text: str = "text") -> Model:
         known = per_worker("ngram words", dict)
         for b in batches:
             v, w, _ = _pairs(b.column(0), known)
-            keys, first, n = np.unique(mixed(v, w), return_index=True, return_counts=True)
-            own = (keys >> np.uint64(64 - bits)).astype(np.int64)
-            order = np.lexsort((v[first], own))
-            at, n = first[order], n[order]
-            edges = np.searchsorted(own[order], np.arange((1 << bits) + 1))
-            met = np.flatnonzero(np.diff(edges))
-            rows = [packed(v[at[edges[s]:edges[s + 1]]], w[at[edges[s]:edges[s + 1]]], n[edges[s]:edges[s + 1]]) for s in met]
+            keys, first, n = _summed(v, w)
+            v, w = v[first], w[first]  # from here on the distinct pairs only
+            del first
+            edges = shard_edges(keys, bits)
+            del keys
+            met, rows = np.flatnonzero(np.diff(edges)), []
+            for s in met:
+                own = slice(edges[s], edges[s + 1])
+                order = np.argsort(v[own])
+                rows.append(packed(v[own][order], w[own][order], n[own][order]))
+            del v, w, n
             yield pa.record_batch([pa.array(met.astype(np.int32)), pa.array(rows, pa.binary())], names=["shard", "pairs"])
 
     # the one exchange of pairs: a row holds all pairs of a batch and shard

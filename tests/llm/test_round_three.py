@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from gaugeflow.llm import bytepairs, clustering, resampling
+from gaugeflow.llm import bytepairs, clustering, ngrams, resampling
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, uid long, rank long"
 WORDS = [f"w{i % 61}" for i in range(400)]
@@ -326,3 +326,17 @@ def test_shards_do_not_depend_on_partitions(spark, sf_dir):
     one, other = (Counter(map(tuple, sharding.shards(docs.repartition(n), limit=20000).collect())) for n in (1, 7))
     assert one == other and sum(one.values()) == docs.count()
     assert all(b <= 20000 or b == n for _, n, _, _, b in one)
+
+
+def test_pairs_of_a_batch_are_counted_in_bounded_memory():
+    """The hashes of few words are kept; pairs are summed as np.unique() does."""
+    rng = np.random.default_rng(8)
+    v, w = (rng.integers(0, 1 << 10, 400_000).astype(np.uint64) for _ in range(2))
+    want = np.unique(ngrams.mixed(v, w), return_counts=True)
+    keys, at, n = ngrams._summed(v, w)
+    assert (keys == want[0]).all() and (n == want[1]).all() and (ngrams.mixed(v[at], w[at]) == keys).all()
+    assert [len(x) for x in ngrams._summed(v[:0], w[:0])] == [0, 0, 0]
+    known = {}
+    for i in range(300):
+        ngrams.hashes(b" ".join(b"%d" % (1000 * i + j) for j in range(1000)), known)
+    assert len(known) < 150_000
