@@ -1,7 +1,8 @@
 """Corpus preparation as a chain of stages, each written as Parquet and read again as the next one's input.
 
 Language ID drops documents that no language explains. Near-dedup keeps the document with the smallest id of
-each class of texts whose sets of five-word shingles have a similarity of 0.8 or more. Mixing repeats, keeps, cuts or leaves out documents as their source's
+each class of texts whose sets of five-word shingles have a similarity of 0.8 or more: candidates by SimHash and multi-index hashing,
+verified, then an exact search for what SimHash leaves apart. Mixing repeats, keeps, cuts or leaves out documents as their source's
 target asks. Packing lays the result out in sequences. SQL can express none of the models and searches.
 """
 

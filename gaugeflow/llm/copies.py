@@ -1,6 +1,8 @@
 """Classes of near copies: texts whose sets of word shingles have a Jaccard similarity of at least a threshold.
 
-No pair is missed: texts are ordered by one global order of shingles, rare ones first, and two sets of sizes n >= m
+First come SimHash fingerprints of the shingles and multi-index hashing (``simhash``): texts whose fingerprints are equal or
+a few bits apart are candidates. Similar texts may be more bits apart than any radius reaches, so what is not yet in
+one class is searched exactly. No pair is missed: texts are ordered by one global order of shingles, rare ones first, and two sets of sizes n >= m
 with similarity t share a shingle among the first n - ceil(t n) + 1 of the one and the first m - ceil(t m) + 1 of the
 other. Texts that share such a shingle are candidates, and every candidate is verified on the whole sets. The order
 only decides how many candidates there are, so the common shingles may come from a sample.
@@ -22,6 +24,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gaugeflow.llm import simhash
 from gaugeflow.llm.common import connected_components, only, written
 from gaugeflow.session import checkpointed
 
@@ -30,8 +33,9 @@ WORDS, SIMILARITY = 5, 0.8
 ONE_OF, COMMON, MOST = 16, 8, 1 << 16
 #: Least bits of a set's bitmap. Two bitmaps differ in at most as many bits as the sets differ in shingles.
 BITS = 1024
-#: Rounds in which a bucket is compared with one of its texts before what is still apart is compared pair by pair.
-ROUNDS = 2
+#: Texts of a bucket that all others are compared with in a round; another round follows while pair by pair there would be more than
+#: so many pairs to a text, so many rounds at most.
+HUBS, PAIRS, ROUNDS = 16, 4, 2
 REMEMBERED = 1 << 20
 #: Cells of keys by which texts are left out before they meet the pairs that need them.
 CELLS = 1 << 20
@@ -219,12 +223,49 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(_settle(np.concatenate([held, *waiting]))[1])
 
 
+def fingerprint_pairs(nodes: DataFrame, radius: int = simhash.RADIUS) -> DataFrame:
+    """Pairs (a, b) of nodes that join nodes of equal fingerprints, and fingerprints at most ``radius`` bits apart."""
+    heads = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    equal = nodes.join(heads, "fp").select(F.col("node").alias("x"), F.col("head").alias("y"))
+    near = simhash.links(heads.select("fp"), radius).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select("x", "y")
+    return equal.union(near).filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def _apart(now: DataFrame) -> DataFrame:
+    """(sig, largest, pairs) of the buckets with more than one class: their largest class, and the pairs between its texts and the others."""
+    sizes = now.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("size"))
+    found = sizes.groupBy("sig").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("texts"))
+    return found.filter(F.col("top.size") < F.col("texts")).select(
+        "sig", F.col("top.component").alias("largest"), ((F.col("texts") - F.col("top.size")) * F.col("texts")).alias("pairs"))
+
+
+OTHER = ("node", "n", "place", "component")
+
+
+def _with_hubs(now: DataFrame, apart: DataFrame, turn: int) -> DataFrame:
+    """Texts of a bucket next to up to ``HUBS`` of its texts that are in another class."""
+    now = now.join(apart.select("sig"), "sig")
+    by = F.xxhash64("node", F.lit(turn))
+    hubs = now.groupBy("sig", F.pmod(by, F.lit(HUBS)).alias("slot")).agg(F.min(F.struct(by.alias("by"), *OTHER)).alias("hub"))
+    hubs = hubs.select("sig", *[F.col(f"hub.{c}").alias(f"other_{c}") for c in OTHER])
+    return now.join(hubs, "sig").filter("component <> other_component")
+
+
+def _rest(now: DataFrame, apart: DataFrame) -> DataFrame:
+    """Texts outside the largest class of their bucket next to all its texts that are in another class than they."""
+    now = checkpointed(now.join(apart.select("sig", "largest"), "sig").select("sig", *OTHER, "largest"))
+    others = now.select("sig", *[F.col(c).alias(f"other_{c}") for c in OTHER], F.col("component").eqNullSafe(F.col("largest")).alias("in_largest"))
+    few = now.filter("component <> largest").select("sig", *OTHER)
+    return few.join(others, "sig").filter("component <> other_component AND (in_largest OR component < other_component)")
+
+
 def near_copies(docs: DataFrame, key: str, text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(key, component_id): one row per row of ``docs``, whose keys are unique and not NULL; component_id is the
     smallest key reachable over pairs of similar texts.
 
-    A bucket (the texts that share a leading shingle) is first compared with one of its texts, then with another; only
-    texts that are not yet in one class are compared pair by pair. So a large group of near copies costs few pairs.
+    Pairs that SimHash finds are verified first. Then a bucket (the texts that share a leading shingle) is compared with a
+    few of its texts, with others in the next round; only texts that are not in its largest class by then are compared with
+    all of it. So a large group of near copies costs few pairs.
     """
     rows = only(docs, key, text).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("binary").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
@@ -239,45 +280,45 @@ def near_copies(docs: DataFrame, key: str, text: str = "text", words: int = WORD
                 c = text_code(t)
                 if c not in done:
                     h = shingles(t, known, words)
-                    done[c] = bitmap(h), len(h), prefix(h, similarity, common, counts).tobytes()
+                    fp = simhash.fingerprint(t, words)
+                    done[c] = bitmap(h), len(h), prefix(h, similarity, common, counts).tobytes(), fp - (fp >> 63 << 64)
                 node.append(c)
                 cols.append(done[c])
-            bits, n, head = zip(*cols) if cols else ((), (), ())
-            yield pa.record_batch([b.column(0), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.array(n, pa.int32()), pa.array(head, pa.binary())],
-                                  names=["key", "node", "bits", "n", "head"])
+            bits, n, head, fp = zip(*cols) if cols else ((), (), (), ())
+            yield pa.record_batch([b.column(0), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.array(n, pa.int32()), pa.array(head, pa.binary()),
+                                   pa.array(fp, pa.int64())], names=["key", "node", "bits", "n", "head", "fp"])
 
     # one pass over the texts; what is known of each is a columnar table, of which later steps read the columns they want
-    coded = written(rows.mapInArrow(code, f"key {kind}, node long, bits binary, n int, head binary"))
-    nodes = written(coded.groupBy("node").agg(F.min("key").alias("key"), F.first("bits").alias("bits"), F.first("n").alias("n")))
-    bits = nodes.select("node", "bits", "n")
+    coded = written(rows.mapInArrow(code, f"key {kind}, node long, bits binary, n int, head binary, fp long"))
+    nodes = written(coded.groupBy("node").agg(F.min("key").alias("key"), F.first("bits").alias("bits"), F.first("n").alias("n"), F.first("fp").alias("fp")))
+    bits, texts_apart = nodes.select("node", "bits", "n"), nodes.count()
     entries = (coded.agg(F.sum(F.octet_length("head"))).first()[0] or 0) // 8
     buckets = max(1, -(-entries // BUCKET))
     members = written(coded.select("node", "n", "head").mapInArrow(partial(_spread, buckets=buckets), "bucket int, entries binary").repartition(
         buckets, "bucket").mapInArrow(_members, "sig long, node long, n int, place int"))
 
     edges = comps = None
-    for turn in range(ROUNDS + 1):
-        now = members if comps is None else members.join(comps, "node", "left")
-        now = now.withColumn("component", F.coalesce("component", "node") if comps is not None else F.col("node"))
-        other = [F.col(c).alias(f"other_{c}") for c in ("node", "n", "place", "component")]
-        if turn < ROUNDS:
-            first = now.groupBy("sig").agg(
-                F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "n", "place", "component")).alias("first"),
-                F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-            across = now.join(first.select("sig", "first.*").select("sig", *other), "sig").filter("component <> other_component")
+    turn, last = 0, False
+    while not last:
+        if turn == 0:
+            pairs = fingerprint_pairs(nodes)
         else:
-            apart = now.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig")
-            now = checkpointed(now.join(apart, "sig").select("sig", "node", "n", "place", "component"))
-            across = now.join(now.select("sig", *other), "sig").filter("component < other_component")
-        pairs = across.filter(_fit(F.col("n"), F.col("place"), F.col("other_n"), F.col("other_place"), similarity)).select(
-            F.greatest("node", "other_node").alias("a"), F.least("node", "other_node").alias("b")).distinct()
+            now = members if comps is None else members.join(comps, "node", "left")
+            now = now.withColumn("component", F.coalesce("component", "node") if comps is not None else F.col("node"))
+            apart = checkpointed(_apart(now))
+            # a round that found nothing will not be followed by a better one
+            last = turn > 1 and (turn > ROUNDS or not news or (apart.agg(F.sum("pairs")).first()[0] or 0) <= PAIRS * texts_apart)
+            pairs = (_rest(now, apart) if last else _with_hubs(now, apart, turn)).filter(
+                _fit(F.col("n"), F.col("place"), F.col("other_n"), F.col("other_place"), similarity)).select(
+                F.greatest("node", "other_node").alias("a"), F.least("node", "other_node").alias("b")).distinct()
         pairs = checkpointed(bounded(pairs, bits, similarity))
         needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(F.pmod("node", F.lit(CELLS)).cast("int").alias("cell")).distinct()
         cells = np.zeros(CELLS, bool)
         cells[[r.cell for r in needed.toLocalIterator()]] = True  # at most CELLS numbers
         texts = rows.select("text").mapInArrow(partial(_in_cells, cells=np.packbits(cells)), "node long, packed binary").groupBy("node").agg(F.first("packed").alias("packed"))
         found = checkpointed(verified(pairs, texts, similarity, words))
-        if not found.isEmpty():
+        turn, news = turn + 1, not found.isEmpty()
+        if news:
             edges = found if edges is None else edges.union(found)
             comps = checkpointed(connected_components(edges))
     named = nodes.select("node", "key")

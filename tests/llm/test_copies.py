@@ -63,6 +63,29 @@ def test_stage_keeps_the_first_of_each_class(spark, texts):
     assert sorted(got, key=lambda x: (x is None, x)) == [*sorted(set(want)), None]
 
 
+def test_fingerprints_come_first_and_the_rest_is_searched(spark, texts, monkeypatch):
+    """SimHash gives the first candidates; classes are the same whatever it finds."""
+    _, _, want = classes(texts)
+    found = []
+    pairs = copies.fingerprint_pairs
+    monkeypatch.setattr(copies, "fingerprint_pairs", lambda nodes: found.append(pairs(nodes)) or found[-1].filter(f"{len(found) == 1}"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for _ in range(2):
+        got = {r.doc_id: r.component_id for r in copies.near_copies(docs, "doc_id").collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    assert len(found) == 2 and found[0].count() > 5
+
+
+def test_a_large_group_of_near_copies_costs_few_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(f"x{rng.randrange(60)}" if rng.random() < 0.02 else w for w in base)) for i in range(400)], "doc_id long, text string")
+    pairs = []
+    monkeypatch.setattr(copies, "bounded", lambda p, bits, s, do=copies.bounded: pairs.append(p.count()) or do(p, bits, s))
+    got = [r.component_id for r in copies.near_copies(docs, "doc_id").collect()]
+    assert max(got.count(c) for c in set(got)) > 200 and sum(pairs) < 400 * 400 / 4
+
+
 def test_any_order_of_shingles_leaves_no_pair_out(texts):
     known, rng = {}, np.random.default_rng(2)
     h = [copies.shingles((t or "").encode(), known) for t in texts]
