@@ -40,7 +40,9 @@ REMEMBERED = 1 << 20
 #: Cells of keys by which texts are left out before they meet the pairs that need them.
 CELLS = 1 << 20
 #: Leading shingles in a bucket, about; the number of buckets follows the texts. A task sorts when so many wait.
-BUCKET, HELD = 1 << 19, 1 << 21
+BUCKET, HELD = 1 << 18, 1 << 20
+#: A shingle that leads no more texts than this has them paired where they meet; so many entries at a time.
+FEW, AT_ONCE = 32, 1 << 17
 ENTRY = np.dtype([("sig", np.uint64), ("node", np.int64), ("n", np.int32), ("place", np.int32), ("out", bool)])
 #: What rounding may take from a bound.
 SLACK = 1e-9
@@ -152,8 +154,12 @@ def _in_cells(batches: Iterator[pa.RecordBatch], cells: np.ndarray) -> Iterator[
     wanted = np.unpackbits(cells).astype(bool)
     pack = zstandard.ZstdCompressor(level=3).compress
     for b in batches:
-        got = {c: t for t in b.column("text").to_pylist() if wanted[(c := text_code(t)) % CELLS]}
-        yield pa.record_batch([pa.array(list(got), pa.int64()), pa.array([pack(t or b"") for t in got.values()], pa.binary())], names=["node", "packed"])
+        got = {}
+        for t in b.column("text"):  # one by one: a batch of texts is not held twice
+            t = t.as_py()
+            if wanted[(c := text_code(t)) % CELLS] and c not in got:
+                got[c] = pack(t or b"")
+        yield pa.record_batch([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.binary())], names=["node", "packed"])
 
 
 def _spread(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -178,32 +184,58 @@ def _bucket(sig: np.ndarray, buckets: int) -> np.ndarray:
     return ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _settle(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(kept, sent) of entries: what goes out is every entry of a shingle of two texts or more that is not out yet;
-    one entry of each shingle is kept to meet later ones."""
+def _settle(held: np.ndarray, few: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(kept, sent) of entries: what goes out is every entry of a shingle of more than ``few`` texts that is not out yet;
+    one entry of such a shingle is kept to meet later ones, and all entries of the others."""
     held = held[np.lexsort((~held["out"], held["node"], held["sig"]))]
     fresh = np.ones(len(held), bool)
     fresh[1:] = (held["sig"][1:] != held["sig"][:-1]) | (held["node"][1:] != held["node"][:-1])
     held = held[fresh]
     starts = np.flatnonzero(np.diff(held["sig"], prepend=~held["sig"][:1]))
     count = np.diff(starts, append=len(held))
-    shared = np.repeat(count > 1, count)
+    shared = np.repeat((count > few) | np.logical_or.reduceat(held["out"], starts), count)
     sent = held[shared & ~held["out"]]
     held["out"] |= shared
-    return held[starts], sent
+    keep = ~shared
+    keep[starts] = True
+    return held[keep], sent
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, node, n, place) of the shingles that lead two texts or more. What a task holds is bounded by its distinct
-    shingles, however many texts one of them leads."""
+def _pairs_of_few(held: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+    """(greater, smaller) nodes of the entries of each shingle that can be similar by their sizes and places; entries come
+    ordered by shingle and node, and a pair is given once for so many entries."""
+    starts = np.flatnonzero(np.diff(held["sig"], prepend=~held["sig"][:1]))
+    cuts = np.unique(np.append(starts[np.searchsorted(starts, np.arange(0, len(held), AT_ONCE), side="right") - 1], len(held))) if len(held) else []
+    for s, e in zip(cuts, cuts[1:]):
+        part, found = held[s:e], []
+        for apart in range(1, FEW):
+            x, y = part[:-apart], part[apart:]
+            same = x["sig"] == y["sig"]
+            if not same.any():
+                break
+            x, y = x[same], y[same]
+            n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
+            need = np.ceil((n + m) * (similarity / (1 + similarity)) - SLACK)
+            fit = (n - x["place"] >= need) & (m - y["place"] >= need)
+            found.append(np.stack([y["node"][fit], x["node"][fit]], 1))
+        if found:
+            yield np.unique(np.concatenate(found), axis=0)
+
+
+MEMBER = "sig long, node long, n int, place int, other long"
+
+
+def _members(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(sig, node, n, place) of the shingles that lead more than ``FEW`` texts, and (node, other) for the pairs of the others'
+    texts. What a task holds is bounded by ``FEW`` texts of each of its distinct shingles, however many one of them leads."""
     unpack = zstandard.ZstdDecompressor().decompress
     held, waiting, rows = np.zeros(0, ENTRY), [], 0
 
     def emit(sent: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(sent), 1 << 16):
             part = sent[at:at + (1 << 16)]
-            yield pa.record_batch([pa.array(part["sig"].view(np.int64)), *[pa.array(np.ascontiguousarray(part[c])) for c in ("node", "n", "place")]],
-                                  names=["sig", "node", "n", "place"])
+            yield pa.record_batch([pa.array(part["sig"].view(np.int64)), *[pa.array(np.ascontiguousarray(part[c])) for c in ("node", "n", "place")], pa.nulls(len(part), pa.int64())],
+                                  names=["sig", "node", "n", "place", "other"])
 
     for b in batches:
         for bucket, raw in zip(b.column("bucket").to_pylist(), b.column("entries")):
@@ -216,11 +248,17 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting.append(part)
             rows += k
             if rows > max(HELD, 2 * len(held)):
-                held, sent = _settle(np.concatenate([held, *waiting]))
+                held, sent = _settle(np.concatenate([held, *waiting]), FEW)
                 waiting, rows = [], 0
                 yield from emit(sent)
     if waiting:
-        yield from emit(_settle(np.concatenate([held, *waiting]))[1])
+        held, sent = _settle(np.concatenate([held, *waiting]), FEW)
+        yield from emit(sent)
+    for p in _pairs_of_few(held[~held["out"]], similarity):
+        for at in range(0, len(p), 1 << 16):
+            a, b = (pa.array(np.ascontiguousarray(p[at:at + (1 << 16), i])) for i in (0, 1))
+            empty = [pa.nulls(len(a), k) for k in (pa.int64(), pa.int32(), pa.int32())]
+            yield pa.record_batch([empty[0], a, *empty[1:], b], names=["sig", "node", "n", "place", "other"])
 
 
 def fingerprint_pairs(nodes: DataFrame, radius: int = simhash.RADIUS) -> DataFrame:
@@ -239,6 +277,14 @@ def _apart(now: DataFrame) -> DataFrame:
         "sig", F.col("top.component").alias("largest"), ((F.col("texts") - F.col("top.size")) * F.col("texts")).alias("pairs"))
 
 
+def _in_two_classes(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) of nodes that are not in one class yet."""
+    if comps is None:
+        return pairs
+    known = pairs.join(comps.toDF("a", "x"), "a", "left").join(comps.toDF("b", "y"), "b", "left")
+    return known.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+
+
 OTHER = ("node", "n", "place", "component")
 
 
@@ -263,9 +309,9 @@ def near_copies(docs: DataFrame, key: str, text: str = "text", words: int = WORD
     """(key, component_id): one row per row of ``docs``, whose keys are unique and not NULL; component_id is the
     smallest key reachable over pairs of similar texts.
 
-    Pairs that SimHash finds are verified first. Then a bucket (the texts that share a leading shingle) is compared with a
-    few of its texts, with others in the next round; only texts that are not in its largest class by then are compared with
-    all of it. So a large group of near copies costs few pairs.
+    Pairs that SimHash finds are verified first. Then come the pairs of small buckets (at most ``FEW`` texts that share a leading
+    shingle). A larger bucket is compared with a few of its texts, with others in the next round; only texts that are not in its
+    largest class by then are compared with all of it. So a large group of near copies costs few pairs.
     """
     rows = only(docs, key, text).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("binary").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
@@ -276,7 +322,8 @@ def near_copies(docs: DataFrame, key: str, text: str = "text", words: int = WORD
         for b in batches:
             node, cols = [], []
             done: dict = {}  # copies in one batch are shingled once
-            for t in b.column(1).to_pylist():
+            for t in b.column(1):  # one by one: a batch of texts is not held twice
+                t = t.as_py()
                 c = text_code(t)
                 if c not in done:
                     h = shingles(t, known, words)
@@ -294,8 +341,10 @@ def near_copies(docs: DataFrame, key: str, text: str = "text", words: int = WORD
     bits, texts_apart = nodes.select("node", "bits", "n"), nodes.count()
     entries = (coded.agg(F.sum(F.octet_length("head"))).first()[0] or 0) // 8
     buckets = max(1, -(-entries // BUCKET))
-    members = written(coded.select("node", "n", "head").mapInArrow(partial(_spread, buckets=buckets), "bucket int, entries binary").repartition(
-        buckets, "bucket").mapInArrow(_members, "sig long, node long, n int, place int"))
+    met = written(coded.select("node", "n", "head").mapInArrow(partial(_spread, buckets=buckets), "bucket int, entries binary").repartition(
+        buckets, "bucket").mapInArrow(partial(_members, similarity=similarity), MEMBER))
+    members = met.filter("other IS NULL").drop("other")
+    of_few = met.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
     edges = comps = None
     turn, last = 0, False
@@ -310,11 +359,15 @@ def near_copies(docs: DataFrame, key: str, text: str = "text", words: int = WORD
             last = turn > 1 and (turn > ROUNDS or not news or (apart.agg(F.sum("pairs")).first()[0] or 0) <= PAIRS * texts_apart)
             pairs = (_rest(now, apart) if last else _with_hubs(now, apart, turn)).filter(
                 _fit(F.col("n"), F.col("place"), F.col("other_n"), F.col("other_place"), similarity)).select(
-                F.greatest("node", "other_node").alias("a"), F.least("node", "other_node").alias("b")).distinct()
+                F.greatest("node", "other_node").alias("a"), F.least("node", "other_node").alias("b"))
+            pairs = (pairs.union(_in_two_classes(of_few, comps)) if turn == 1 else pairs).distinct()
         pairs = checkpointed(bounded(pairs, bits, similarity))
         needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(F.pmod("node", F.lit(CELLS)).cast("int").alias("cell")).distinct()
         cells = np.zeros(CELLS, bool)
         cells[[r.cell for r in needed.toLocalIterator()]] = True  # at most CELLS numbers
+        if not cells.any():  # no pair: the texts need not be read
+            turn, news = turn + 1, False
+            continue
         texts = rows.select("text").mapInArrow(partial(_in_cells, cells=np.packbits(cells)), "node long, packed binary").groupBy("node").agg(F.first("packed").alias("packed"))
         found = checkpointed(verified(pairs, texts, similarity, words))
         turn, news = turn + 1, not found.isEmpty()

@@ -132,3 +132,50 @@ def test_stage_keeps_one_row_of_each_class_read_from_files_or_not(spark, tmp_pat
         got = corpus_pipeline.one_of_each(spark, given, "")
         assert got.columns == list(corpus_pipeline.COLUMNS) and sorted((r.doc_id, r.text) for r in got.collect() if r.doc_id != 2) == [(1, t), (4, rows[5][1])]
         assert got.filter("doc_id = 2").count() == 1
+
+
+def test_texts_of_small_buckets_are_paired_where_they_meet(spark, monkeypatch):
+    """Only buckets of many texts take part in the rounds of joins; the others' pairs are found without one."""
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(900)]
+    texts = []
+    for _ in range(30):
+        base = rng.choices(vocabulary, k=80)
+        texts += [" ".join(rng.choice(vocabulary) if rng.random() < share else w for w in base) for share in (0, 0.01, 0.02, 0.03)]
+    _, pairs, want = classes(texts)
+    rows = []
+    monkeypatch.setattr(copies, "_with_hubs", lambda now, *a, do=copies._with_hubs: rows.append(now.count()) or do(now, *a))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in copies.near_copies(docs, "doc_id").collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(pairs) > 50
+    assert rows and sum(rows) == 0
+
+
+def test_pairs_of_few_are_those_of_every_shingle(monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = np.zeros(4000, copies.ENTRY)
+    rows["sig"], rows["node"], rows["n"], rows["place"] = rng.integers(0, 900, 4000), rng.integers(0, 300, 4000), 10, rng.integers(0, 3, 4000)
+    rows["sig"][:500] = 7  # leads too many texts to pair them all
+    rows["n"] += rows["node"] % 4
+    first = {}
+    for r in rows.tolist():
+        first.setdefault(r[:2], r)
+    by_sig = {}
+    for r in first.values():
+        by_sig.setdefault(r[0], []).append(r)
+    want = set()
+    for sig, of in by_sig.items():
+        for x in of:
+            for y in of:
+                if len(of) <= copies.FEW and x[1] > y[1] and min(x[2] - x[3], y[2] - y[3]) >= -(-(x[2] + y[2]) * 4 // 9):
+                    want.add((x[1], y[1]))
+    held, out = np.zeros(0, copies.ENTRY), set()
+    for at in range(0, 4000, 250):
+        part = np.array([r for r in rows[at:at + 250].tolist() if first[r[:2]] is r or first[r[:2]] == r], copies.ENTRY)
+        held, sent = copies._settle(np.concatenate([held, part]), copies.FEW)
+        out |= set(sent["sig"].tolist())
+    assert out == {s for s, of in by_sig.items() if len(of) > copies.FEW} and 7 in out
+    for size in (1 << 17, 64):
+        monkeypatch.setattr(copies, "AT_ONCE", size)
+        got = np.concatenate(list(copies._pairs_of_few(held[~held["out"]], 0.8)))
+        assert set(map(tuple, got.tolist())) == want and len(want) > 100
