@@ -22,7 +22,7 @@ SPECTRUM_LENGTH = 64
 
 def _by_length(batch: pd.Series, fn) -> pd.Series:
     """Applies ``fn`` to a matrix of all series of equal length at once."""
-    out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+    out = np.empty(len(batch), object)
     lengths = batch.map(len).to_numpy()
     for n in np.unique(lengths):
         at = np.flatnonzero(lengths == n)
@@ -31,8 +31,8 @@ def _by_length(batch: pd.Series, fn) -> pd.Series:
         else:
             rows = list(fn(np.stack(batch.iloc[at].to_list()).astype(float)))
         for i, r in zip(at, rows):
-            out.iloc[i] = r
-    return out
+            out[i] = r
+    return pd.Series(out, index=batch.index)
 
 
 @F.pandas_udf(ArrayType(DoubleType()))

@@ -50,7 +50,7 @@ def model(stats: DataFrame) -> DataFrame:
     Its size is channels x classes x features of a window, whatever the number of windows.
     """
     fam = stats.groupBy("channel", "class", "family").agg(
-        F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("feature", "mean", "variance"))).alias("m"))
+        F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("feature", "mean", "variance", F.ln("variance").alias("log")))).alias("m"))
 
     def of(family):
         return F.max(F.when(F.col("family") == family, F.col("m"))).alias(family)
@@ -62,24 +62,28 @@ def model(stats: DataFrame) -> DataFrame:
 
 def log_likelihood(values: Column, known: Column) -> Column:
     """Of a row's features under the moments of one class, without the constant."""
-    return array_sum(F.zip_with(values, known, lambda v, m: -0.5 * (F.ln(m["variance"]) + (v - m["mean"]) * (v - m["mean"]) / m["variance"])))
+    return array_sum(F.zip_with(values, known, lambda v, m: -0.5 * (m["log"] + (v - m["mean"]) * (v - m["mean"]) / m["variance"])))
 
 
 def scores(features: DataFrame, fitted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per window: the classes in order with their numbers of training windows, and the log-likelihoods of
-    both families under each, summed over channels. Every window has every channel."""
+    both families under each, summed over channels. Every window has every channel. Only numbers are shuffled; the
+    classes are looked up again."""
     known = features.withColumn("known", F.element_at(fitted.scalar(), F.col("channel")))
-    rows = known.select(*keys, "channel", F.transform("known", lambda c: F.struct(
-        c["class"].alias("class"), c["n"].alias("n"), log_likelihood(F.col("temporal"), c["temporal"]).alias("temporal"),
-        log_likelihood(F.col("spectral"), c["spectral"]).alias("spectral"))).alias("c"))
-    whole = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("channel", "c"))).alias("by_channel"))
-    first = F.col("by_channel")[0]["c"]
+
+    def under_each(family):
+        return F.transform("known", lambda c: log_likelihood(F.col(family), c[family])).alias(family)
+
+    rows = known.select(*keys, "channel", under_each("temporal"), under_each("spectral"))
+    whole = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("channel", "temporal", "spectral"))).alias("by_channel"))
+    first = F.col("by_channel")[0]
 
     def summed(family):
-        return F.transform(first, lambda _, k: array_sum(F.transform("by_channel", lambda b: F.get(b["c"], k)[family]))).alias(family)
+        return F.transform(first[family], lambda _, k: array_sum(F.transform("by_channel", lambda b: F.get(b[family], k)))).alias(family)
 
-    return whole.filter(first.isNotNull()).select(*keys, F.transform(first, lambda c: F.struct(c["class"].alias("class"), c["n"].alias("n"))).alias("classes"),
-                        summed("temporal"), summed("spectral"))
+    whole = whole.filter(first["temporal"].isNotNull()).withColumn("known", F.element_at(fitted.scalar(), first["channel"]))
+    classes = F.transform("known", lambda c: F.struct(c["class"].alias("class"), c["n"].alias("n")))
+    return whole.select(*keys, classes.alias("classes"), summed("temporal"), summed("spectral"))
 
 
 def audit(windows: DataFrame, label: str, window: str, seeds: Sequence[int], configs: Sequence[str] = tuple(FAMILIES),

@@ -233,3 +233,16 @@ def test_audit_model_is_gaussian_and_split_by_run(spark, windows):
     finals = audit.audit(grouped, "class", "window_id", [1, 2, 3, 4, 5], ["full"], test_share=0.5, run="run").collect()
     tested = grouped.select("window_id", "run", *[(audit.uniform("run", s) < 0.5).alias(f"s{s}") for s in (1, 2, 3, 4, 5)]).distinct().collect()
     assert len(finals) == sum(any(r[f"s{s}"] for r in tested) and not all(r[f"s{s}"] for r in tested) for s in (1, 2, 3, 4, 5))
+
+
+def test_scores_send_numbers_only_and_take_logarithms_from_the_model(spark):
+    rows = [(i, "AB"[i % 2], c, [float((i * k * 7 + len(c)) % 5) for k in range(8)]) for i in range(12) for c in ("c0", "c11")]
+    feats = audit._with_features(spark.createDataFrame(rows, "window_id long, class string, channel string, series array<double>"))
+    fitted = audit.model(audit.moments(feats, "class"))
+    for of in fitted.first()["model"].values():
+        assert all(np.isclose(m["log"], np.log(m["variance"])) for c in of for f in ("temporal", "spectral") for m in c[f])
+    scored = audit.scores(feats, fitted, ["window_id"])
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert all("class" not in line for line in plan.splitlines() if "collect_list(struct(channel, channel" in line and "temporal, temporal" in line)
+    assert "collect_list(struct(channel, channel" in plan and "c, c#" not in plan
+    assert [c["class"] for c in scored.filter("window_id = 5").first()["classes"]] == ["A", "B"]
