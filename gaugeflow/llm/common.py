@@ -6,15 +6,18 @@ import re
 import sys
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeflow.session import checkpointed, shared_dir
 
 #: A word, in Java's, Python's and DuckDB's notation alike: a run without blanks, tabs and line ends.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Edges of a graph that one task joins, about.
+EDGES = 1 << 17
 
 
 def per_worker(key, build: Callable):
@@ -88,12 +91,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Large-star and small-star steps, each one join and one map-side minimum, until the edges
     stop changing. Nothing but a row count and a checksum reaches the driver, and every round
     is cut by a reliable checkpoint. A hub's rows are halved by partial minima before they meet.
+    First every task joins its own edges, in as many tasks as their number asks for (``EDGES``), and leaves one edge
+    a node; where one task is enough that is all. Few edges in many rounds over many partitions would
+    leave more files of shuffles than rows.
     """
     now = checkpointed(
         edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
         .filter("a <> b").distinct())
-    mark = _mark(now)
-    while True:
+    tasks = max(1, -(-now.count() // EDGES))
+    now = checkpointed(now.coalesce(tasks).mapInArrow(_forest, f"a {now.dtypes[0][1]}, b {now.dtypes[1][1]}"))  # no step adds edges
+    mark = _mark(now) if tasks > 1 else None
+    while tasks > 1:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         # large star: every larger neighbour hooks onto the least of the neighbourhood
@@ -101,7 +109,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         # small star: the node and its smaller neighbours hook onto the least of them
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = checkpointed(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        now = checkpointed(small.union(least.select("a", F.col("m").alias("b"))).distinct()).coalesce(tasks)
         new = _mark(now)
         if new == mark:
             break
@@ -110,6 +118,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every node of a task's edges next to the smallest one that they lead to."""
+    ends = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+    if ends:
+        nodes, at = np.unique(np.concatenate([np.stack(e) for e in ends], axis=1), return_inverse=True)
+        a, b = at.reshape(2, -1)
+        forest = Forest(len(nodes))
+        forest.union(a, b)
+        root = forest.roots()
+        below = root != np.arange(len(nodes))
+        yield pa.record_batch([pa.array(nodes[below]), pa.array(nodes[root[below]])], names=["a", "b"])
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 

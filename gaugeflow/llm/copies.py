@@ -36,13 +36,14 @@ BITS = 1024
 #: Texts of a bucket that all others are compared with in a round; another round follows while pair by pair there would be more than
 #: so many pairs to a text, so many rounds at most.
 HUBS, PAIRS, ROUNDS = 16, 4, 2
-REMEMBERED = 1 << 20
+#: Words whose hashes a worker remembers; rows of a batch of texts that are looked at together.
+REMEMBERED, ROWS = 1 << 16, 1 << 11
 #: Cells of keys by which texts are left out before they meet the pairs that need them.
 CELLS = 1 << 20
 #: Leading shingles in a bucket, about; the number of buckets follows the texts. A task sorts when so many wait.
 BUCKET, HELD = 1 << 18, 1 << 20
 #: A shingle that leads no more texts than this has them paired where they meet; so many entries at a time.
-FEW, AT_ONCE = 32, 1 << 17
+FEW, AT_ONCE = 32, 1 << 15
 ENTRY = np.dtype([("sig", np.uint64), ("node", np.int64), ("n", np.int32), ("place", np.int32), ("out", bool)])
 #: What rounding may take from a bound.
 SLACK = 1e-9
@@ -149,11 +150,21 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int =
     return both.select("a", "x", "b", "y").mapInArrow(run, "a long, b long")
 
 
+def needed_cells(pairs: DataFrame) -> np.ndarray:
+    """One bit a cell, set where a text of the pairs falls in it. The bits are put together by Spark: CELLS of them reach the driver, in one job."""
+    at = pairs.select(F.explode(F.array("a", "b")).alias("node")).select((F.pmod("node", F.lit(CELLS)) + 1).alias("at"))
+    parts = at.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    cells = np.zeros(CELLS // 8, np.uint8)
+    for r in parts.collect():
+        cells.reshape(-1, len(r.bits))[r.part - 1] = np.frombuffer(r.bits, np.uint8)
+    return cells
+
+
 def _in_cells(batches: Iterator[pa.RecordBatch], cells: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(node, packed) of the texts whose cell is wanted, so that few texts are shuffled that no pair needs; copies in one batch once."""
-    wanted = np.unpackbits(cells).astype(bool)
+    """(node, packed) of the texts whose cell is wanted, so that few texts are shuffled that no pair needs; copies that come together once."""
+    wanted = np.unpackbits(cells, bitorder="little").astype(bool)
     pack = zstandard.ZstdCompressor(level=3).compress
-    for b in batches:
+    for b in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
         got = {}
         for t in b.column("text"):  # one by one: a batch of texts is not held twice
             t = t.as_py()
@@ -319,9 +330,9 @@ def near_copies(docs: DataFrame, key: str, text: str = "text", words: int = WORD
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
-        for b in batches:
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
             node, cols = [], []
-            done: dict = {}  # copies in one batch are shingled once
+            done: dict = {}  # copies that come together are shingled once
             for t in b.column(1):  # one by one: a batch of texts is not held twice
                 t = t.as_py()
                 c = text_code(t)
@@ -362,13 +373,11 @@ def near_copies(docs: DataFrame, key: str, text: str = "text", words: int = WORD
                 F.greatest("node", "other_node").alias("a"), F.least("node", "other_node").alias("b"))
             pairs = (pairs.union(_in_two_classes(of_few, comps)) if turn == 1 else pairs).distinct()
         pairs = checkpointed(bounded(pairs, bits, similarity))
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(F.pmod("node", F.lit(CELLS)).cast("int").alias("cell")).distinct()
-        cells = np.zeros(CELLS, bool)
-        cells[[r.cell for r in needed.toLocalIterator()]] = True  # at most CELLS numbers
+        cells = needed_cells(pairs)
         if not cells.any():  # no pair: the texts need not be read
             turn, news = turn + 1, False
             continue
-        texts = rows.select("text").mapInArrow(partial(_in_cells, cells=np.packbits(cells)), "node long, packed binary").groupBy("node").agg(F.first("packed").alias("packed"))
+        texts = rows.select("text").mapInArrow(partial(_in_cells, cells=cells), "node long, packed binary").groupBy("node").agg(F.first("packed").alias("packed"))
         found = checkpointed(verified(pairs, texts, similarity, words))
         turn, news = turn + 1, not found.isEmpty()
         if news:

@@ -1,12 +1,13 @@
 """The near-dedup stage of the pipeline against brute force."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from gaugeflow.llm import copies
+from gaugeflow.llm import common, copies
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -179,3 +180,48 @@ def test_pairs_of_few_are_those_of_every_shingle(monkeypatch):
         monkeypatch.setattr(copies, "AT_ONCE", size)
         got = np.concatenate(list(copies._pairs_of_few(held[~held["out"]], 0.8)))
         assert set(map(tuple, got.tolist())) == want and len(want) > 100
+
+
+def test_few_edges_take_few_tasks_however_many_partitions(spark, monkeypatch):
+    rng = random.Random(9)
+    ids = rng.sample(range(10_000), 320)
+    edges = [*zip(ids[:200], ids[1:200]), *[(ids[200], x) for x in ids[201:300]], *[(x, x) for x in ids[300:]]]
+    want = {x: min(g) for g in (ids[:200], ids[200:300]) for x in g}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(16)
+    used = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in used}
+    tasks, tracker = [], spark.sparkContext.statusTracker()
+    try:
+        for k, v in used.items():
+            spark.conf.set(k, v)
+        for size in (common.EDGES, 100):
+            monkeypatch.setattr(common, "EDGES", size)
+            spark.sparkContext.setJobGroup(f"edges {size}", "")
+            assert {r.node: r.component for r in common.connected_components(df).collect()} == want
+            stages = {s for j in tracker.getJobIdsForGroup(f"edges {size}") for s in tracker.getJobInfo(j).stageIds}
+            tasks.append(sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i))  # a stage that was skipped has none
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert 0 < tasks[0] < 400 < tasks[1]  # a task a step after the first, not 64 of each exchange
+
+
+def test_pairs_of_a_full_bucket_need_little_memory():
+    held = np.zeros(1 << 18, copies.ENTRY)
+    held["sig"], held["node"], held["n"] = np.arange(1 << 18) // 30, np.random.default_rng(3).permutation(1 << 18), 400
+    tracemalloc.start()
+    try:
+        pairs = sum(len(p) for p in copies._pairs_of_few(held, 0.8))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert pairs == ((1 << 18) // 30) * 435 + 4 * 3 // 2 and peak < 60e6
+
+
+def test_cells_of_pairs_are_read_in_one_job(spark):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(-(1 << 63), 1 << 63), rng.randrange(-(1 << 63), 1 << 63)) for _ in range(500)]
+    cells = copies.needed_cells(spark.createDataFrame(pairs, "a long, b long").repartition(7))
+    assert np.flatnonzero(np.unpackbits(cells, bitorder="little")).tolist() == sorted({x % copies.CELLS for p in pairs for x in p})
+    assert not copies.needed_cells(spark.createDataFrame([], "a long, b long")).any()
